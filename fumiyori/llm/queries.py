@@ -10,9 +10,21 @@ from fumiyori.llm.leakage import leaked_passages, merge_spans
 from fumiyori.llm.lookalike import same_look
 from fumiyori.llm.mojibake import damaged_rows
 from fumiyori.llm.residue import residue_windows
+from fumiyori.llm.sentences import reordered, split_sentences
 from fumiyori.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every row that holds at least two."""
+    units = split_sentences(read_table(spark, sf_dir, "sentences").where("sentence_id IS NOT NULL"), ["sentence_id"], "sentence_text")
+    return units.where("n_parts >= 2").select("sentence_id", "char_start", "char_end")
+
+
+def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sentence units with their new order within the work."""
+    return reordered(read_table(spark, sf_dir, "sentences"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical place of every mention and alias without a master, -1 for none."""
     return match_places(*(read_table(spark, sf_dir, t) for t in ("sentence_places", "place_aliases", "place_masters")))
@@ -65,7 +77,7 @@ def p10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p3_found, p4_found, p4_restored, p8_ids, p9_found, p9_passages, p9_spans, p10_found, p10_windows)
+    for f in (p1_found, p1_sentences, p2_found, p3_found, p4_found, p4_restored, p8_ids, p9_found, p9_passages, p9_spans, p10_found, p10_windows)
 }
 #: None of these is expressed in SQL: tests compare them with brute force, round trips and a public encoder.
 ORACLES: dict[str, str] = {}
