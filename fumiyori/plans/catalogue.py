@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fumiyori.plans import problems
+from fumiyori.plans import problems, relation_queries, text_queries
 
-_MODULES = [problems]
+_MODULES = [problems, text_queries, relation_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
