@@ -252,7 +252,11 @@ def candidate_pairs(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
         .select("kind", "m", "s", F.substring("key", F.col("from") + 1, size(F.col("m"), F.col("s")).cast("int")).alias("piece"), F.col("key").alias("key_a"), F.col("whole").alias("whole_a"))
         .where("piece <> ''")
     )
-    return probes.join(index, ["kind", "m", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b").distinct()
+    met = probes.join(index, ["kind", "m", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b").distinct()
+    # The built-in distance is banded by its threshold; an exchange of neighbours counts two there.
+    apart = F.levenshtein("key_a", "key_b", k + 1)
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    return met.where(apart.between(0, k) | ((apart == k + 1) & (letters("key_a") == letters("key_b"))))
 
 
 def _years_agree(a: tuple, b: tuple) -> bool | None:
