@@ -12,7 +12,12 @@ from fumiyori.functions import vocabulary as V
 
 def hits(c: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur in a text (each counts once)."""
-    return reduce(lambda a, b: a + b, (F.coalesce(c.rlike(p), F.lit(False)).cast("int") for p in patterns))
+    return F.size(F.filter(F.array(*(c.rlike(p) for p in patterns)), lambda hit: hit))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def is_invalid_name(c: Column) -> Column:
@@ -26,12 +31,11 @@ def is_invalid_candidate(c: Column) -> Column:
 def context_a(place: Column, sentence: Column, before: Column, after: Column) -> Column:
     """Struct is_place, confidence, place_type, reason of engine A."""
     text = F.concat(F.coalesce(before, F.lit("")), F.lit(" "), F.coalesce(sentence, F.lit("")), F.lit(" "), F.coalesce(after, F.lit("")))
-    p = F.least(F.lit(1.0), hits(text, V.PLACE_CONTEXT) * 0.1)
-    q = F.least(F.lit(1.0), hits(text, V.PERSON_CONTEXT) * 0.15)
+    found = F.struct(F.least(F.lit(1.0), hits(text, V.PLACE_CONTEXT) * 0.1).alias("p"), F.least(F.lit(1.0), hits(text, V.PERSON_CONTEXT) * 0.15).alias("q"))
     ambiguous = place.isin([k for k, v in V.AMBIGUOUS_PERSON.items() if v > 0.5])
     kind = F.when(place.rlike("[都道府県市区町村]"), "都市").when(place.rlike("寺|神社|城|駅|橋"), "建物").when(place.rlike("[山川海湖島]"), "自然").when(place.rlike("国|藩"), "歴史").otherwise("一般")
     fixed = lambda confidence, label: F.struct(F.lit(False).alias("is_place"), F.lit(confidence).alias("confidence"), F.lit(label).alias("place_type"))
-    scored = F.struct((p > q).alias("is_place"), F.round(F.greatest(p, q) * F.when(ambiguous, 0.7).otherwise(1.0), 4).alias("confidence"), kind.alias("place_type"))
+    scored = _let(found, lambda h: F.struct((h.p > h.q).alias("is_place"), F.round(F.greatest(h.p, h.q) * F.when(ambiguous, 0.7).otherwise(1.0), 4).alias("confidence"), kind.alias("place_type")))
     return (
         F.when(F.coalesce(F.length(place), F.lit(0)) == 0, fixed(0.0, "不明"))
         .when(is_invalid_name(place), fixed(0.9, "無効"))
@@ -43,24 +47,27 @@ def context_a(place: Column, sentence: Column, before: Column, after: Column) ->
 def context_b(place: Column, sentence: Column, before: Column, after: Column) -> Column:
     """Struct is_place, confidence, place_type, reasoning of engine B."""
     text = F.concat(F.coalesce(before, F.lit("")), F.lit(" "), F.coalesce(sentence, F.lit("")), F.lit(" "), F.coalesce(after, F.lit("")))
-    places, persons, past = hits(text, V.PLACE_CONTEXT), hits(text, V.PERSON_CONTEXT), hits(text, V.HISTORY_CONTEXT)
-    total = places + past
-    ambiguous = place.isin([k for k, v in V.AMBIGUOUS_PERSON.items() if v > 0.5]) & (persons > places)
+    found = F.struct(hits(text, V.PLACE_CONTEXT).alias("place"), hits(text, V.PERSON_CONTEXT).alias("person"), hits(text, V.HISTORY_CONTEXT).alias("past"))
+    sure = place.isin([k for k, v in V.AMBIGUOUS_PERSON.items() if v > 0.5])
     cities = [r[0] for r in V.rows(V.CITIES)]
-    kind = F.when(past > 0, "歴史地名").when(place.isin(cities), "都市部").when(place.rlike("[都府県]$"), "都道府県").otherwise("一般地名")
     fixed = lambda confidence, label, text: F.struct(F.lit(False).alias("is_place"), F.lit(confidence).alias("confidence"), F.lit(label).alias("place_type"), F.concat(F.lit(text), place).alias("reasoning"))
-    scored = F.struct(
-        (total > persons).alias("is_place"),
-        F.when(total > 0, F.round(F.least(F.lit(0.95), 0.5 + total * 0.15), 4)).otherwise(0.5).alias("confidence"),
-        kind.alias("place_type"),
-        F.format_string("地名指標%d件 vs 人名指標%d件", total, persons).alias("reasoning"),
-    )
+
+    def judge(h: Column) -> Column:
+        total = h.place + h.past
+        kind = F.when(h.past > 0, "歴史地名").when(place.isin(cities), "都市部").when(place.rlike("[都府県]$"), "都道府県").otherwise("一般地名")
+        scored = F.struct(
+            (total > h.person).alias("is_place"),
+            F.when(total > 0, F.round(F.least(F.lit(0.95), 0.5 + total * 0.15), 4)).otherwise(0.5).alias("confidence"),
+            kind.alias("place_type"),
+            F.format_string("地名指標%d件 vs 人名指標%d件", total, h.person).alias("reasoning"),
+        )
+        return F.when(sure & (h.person > h.place), fixed(0.8, "人名", "人名指標: ")).otherwise(scored)
+
     return (
         F.when(place.isin(V.PERSON_NAMES), fixed(0.95, "人名", "人名: "))
         .when(place.isin(V.ACADEMIC_B), fixed(0.90, "学術用語", "学術用語: "))
         .when(place.isin(V.COMMON_NOUNS), fixed(0.85, "一般名詞", "一般名詞: "))
-        .when(ambiguous, fixed(0.8, "人名", "人名指標: "))
-        .otherwise(scored)
+        .otherwise(_let(found, judge))
     )
 
 
@@ -70,7 +77,7 @@ def verdict(n: Column, n_place: Column, mean_confidence: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.struct(F.lit(False).alias("is_valid"), F.lit(0.0).alias("confidence"), F.lit("不明").alias("action"))).otherwise(
         F.struct(
             (ratio >= 0.5).alias("is_valid"),
-            F.round(mean_confidence * F.when(ratio == 0, 1.0).when(ratio < 0.3, 0.8).when(ratio < 0.7, 0.9).otherwise(1.0), 4).alias("confidence"),
+            F.round(mean_confidence * F.when(ratio == 0, 1.0).when(ratio < 0.3, 0.8).when(ratio < 0.7, 0.9).otherwise(1.0), 9).alias("confidence"),
             F.when(ratio == 0, "削除推奨").when(ratio < 0.3, "削除検討").when(ratio < 0.7, "要再検討").otherwise("保持推奨").alias("action"),
         )
     )

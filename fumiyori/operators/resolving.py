@@ -94,7 +94,7 @@ def geocode(names: DataFrame, name: str = "name", compat: bool = True) -> DataFr
     best = met.groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "ordinal", "lat", "lon", "location", "confidence")).alias("g"))
     confidence = F.when(F.col("g.rank") == 5, F.greatest(F.lit(0.3), F.col("g.confidence") - 0.3)).when(F.col("g.rank") == 6, F.greatest(F.lit(0.4), F.col("g.confidence") - 0.2)).otherwise(F.col("g.confidence"))
     found = F.col("g.lat").isNotNull()
-    return best.select("name", F.when(found, F.col("g.rank")).alias("tier"), F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon"), F.col("g.location").alias("location"), prefecture_of(F.col("g.location")).alias("prefecture"), F.round(confidence, 4).alias("confidence"))
+    return best.select("name", F.when(found, F.col("g.rank")).alias("tier"), F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon"), F.col("g.location").alias("location"), prefecture_of(F.col("g.location")).alias("prefecture"), F.when(found, F.round(confidence, 4)).alias("confidence"))
 
 
 def best_address(results: DataFrame, name: str = "name", address: str = "address", lat: str = "lat", lon: str = "lon") -> DataFrame:
