@@ -9,6 +9,7 @@ from fumiyori.functions import text as X
 from fumiyori.functions import vocabulary as V
 from fumiyori.operators import resolving as G
 from fumiyori.operators import statistics as S
+from fumiyori.operators.sizing import spread
 from fumiyori.operators.relations import name_key
 from fumiyori.sources import pages as P
 from fumiyori.plans.relation_queries import query as _register
@@ -262,6 +263,27 @@ def author_scan(t):
     return t("authors").orderBy("author_name", "author_id").select("author_id", name_key(F.col("author_name")).alias("name_key"))
 
 
+@query("""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, coalesce(round(avg(value), 6), 0) AS avg_value FROM events GROUP BY ALL""")
+def hourly_metrics(t):
+    """The streaming metrics on the events as a batch."""
+    from fumiyori.streaming.metrics import hourly_metrics as metrics
+
+    return metrics(t("events"))
+
+
+@query()
+def pipeline_mentions(t):
+    """Documents cut into sentences, tagged and resolved in one plan."""
+    from fumiyori.functions.text import clean_markup
+    from fumiyori.plans import pipeline
+
+    texts = spread(t("documents").where("work_id IS NOT NULL").select("doc_id", "work_id", "text")).select("doc_id", "work_id", clean_markup(F.col("text")).alias("text")).where("text <> ''")
+    cut = pipeline.sentences_of_texts(texts.select(F.col("doc_id").alias("work_id"), "text"))
+    sentences = cut.withColumn("sentence_id", F.xxhash64("work_id", "sentence_order"))
+    return pipeline.mentions_of_sentences(sentences, t("place_masters").where("canonical_name IS NOT NULL"), t("place_aliases"))
+
+
 QUERIES = {k: v for k, v in relation_queries.Q.items() if k not in _BEFORE}
 ORACLES = {k: v for k, v in relation_queries.ORACLES.items() if k in QUERIES}
 _ = X

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fumiyori.functions import text as X
 from fumiyori.functions import vocabulary as V
 from fumiyori.functions.scoring import sentence_quality
+from fumiyori.operators.sizing import spread
 from fumiyori.session import read_table
 
 _WS = r"[\s　\x{00a0}]"
@@ -28,7 +29,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")))
 
 
 def sentence_split(spark, sf_dir):
