@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fumiyori.operators.sizing import spread
+
 #: Folder of the vocabulary files; a parameter, never part of the repository.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Pieces whose ids one worker remembers; at the bound the memory starts anew (speed only).
@@ -147,4 +149,4 @@ def token_ids(column: Column, vocabulary: str = "byte_bpe_50k", folder: str = TO
 
 def encode_corpus(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, ids`` of every document."""
-    return documents.select("doc_id", token_ids(F.col("text"), folder=folder).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), folder=folder).alias("ids"))

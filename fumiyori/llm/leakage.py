@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.operators.sizing import spread
+
 #: Characters of one FM-index; a parameter of memory (some 60 bytes a character while it is built).
 SHARD_CHARS = 1_000_000
 #: Every how many text positions a suffix position is kept.
@@ -234,7 +236,7 @@ def _search(documents: DataFrame, phrases: Phrases, shard_chars: int) -> DataFra
         if shard:
             yield flush()
 
-    return documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, item_id long, bare_start long, bare_end long")
+    return spread(documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, item_id long, bare_start long, bare_end long")
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumiyori.llm.mojibake import examine
+from fumiyori.operators.sizing import spread
 
 PAIRS = {"「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "【": "】", "［": "］", "[": "]", "〔": "〕", "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}
 QUOTES = "「『“„«\"‹"
@@ -382,7 +383,7 @@ def split_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             yield out[[*keys, "part", "char_start", "char_end", "sentence_text", "n_parts"]]
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "part int", "char_start int", "char_end int", "sentence_text string", "n_parts int"])
-    return df.select(*dict.fromkeys([*keys, text])).mapInPandas(run, schema)
+    return spread(df.select(*dict.fromkeys([*keys, text]))).mapInPandas(run, schema)
 
 
 def reordered(sentences: DataFrame) -> DataFrame:
