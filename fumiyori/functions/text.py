@@ -189,7 +189,8 @@ def _first_year(c: Column, pattern: str, base: int = 0) -> Column:
 
 
 def extract_year(c: Column) -> Column:
-    """Year of publication: western patterns, eras, contexts; the first match in this order."""
+    """Year of publication: western patterns, eras, contexts; the first match in this order. Wide digits count."""
+    c = F.translate(c, "０１２３４５６７８９", "0123456789")
     return F.coalesce(*(_first_year(c, p) for p in V.YEAR_PATTERNS), *(_first_year(c, p, b) for p, b in V.ERA_PATTERNS), *(_first_year(c, p) for p in V.YEAR_CONTEXTS))
 
 

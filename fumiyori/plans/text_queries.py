@@ -204,7 +204,7 @@ ORACLES = {
                CASE WHEN t = '' OR regexp_matches(t, '[。！？」』]$') THEN t WHEN regexp_matches(t, '？|か$') THEN t || '？' WHEN regexp_matches(t, '！|(だ|である|た|ない)$') THEN t || '！' ELSE t || '。' END AS by_ending
         FROM (SELECT sentence_id, sentence_text AS t FROM sentences)""",
     "detect_genre": f"SELECT work_id, {_sql_genre(V.GENRES_A)} AS genre_a, {_sql_genre(V.GENRES_B)} AS genre_b FROM works",
-    "extract_year": f"SELECT * FROM (SELECT doc_id, {_sql_year()} AS year FROM documents) WHERE year IS NOT NULL",
+    "extract_year": f"SELECT * FROM (SELECT doc_id, {_sql_year()} AS year FROM (SELECT doc_id, translate(text, '０１２３４５６７８９', '0123456789') AS text FROM documents)) WHERE year IS NOT NULL",
     "normalize_place_names": f"""
         SELECT master_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(translate({_strip('display_name')}, '１２３４５６７８９０', '1234567890'), '東亰', '東京'), '大坂', '大阪'), '横濱', '横浜'), '県府市区町村', ''), '[のにへでを]$', ''), '山山+', '山', 'g'), '川川+', '川', 'g'), '島島+', '島', 'g'), '^$', '') AS place_key FROM place_masters""",
     "preprocess_text": f"SELECT sentence_id, trim(regexp_replace(sentence_text, '{_WS}+', ' ', 'g'), ' ') AS clean FROM sentences",
