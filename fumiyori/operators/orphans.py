@@ -134,7 +134,7 @@ def find_orphans(references: list[Reference], deletions: DataFrame) -> DataFrame
             "table_name",
             "column_name",
             "row_id",
-            F.coalesce(F.date_format("ref_at", "yyyy-MM"), F.lit("unknown")).alias("period"),
+            F.coalesce(F.date_format(F.to_utc_timestamp("ref_at", F.current_timezone()), "yyyy-MM"), F.lit("unknown")).alias("period"),
             "reason",
         )
         .distinct()

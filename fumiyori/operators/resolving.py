@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fumiyori.functions import vocabulary as V
@@ -32,6 +32,40 @@ def pattern_candidates(tokens: DataFrame, token: str = "token") -> DataFrame:
     return tokens.where(reduce(lambda a, b: a | b, (F.col(token).rlike(f"^(?:{p})") for p in V.CANDIDATE_PATTERNS))).withColumn("confidence", F.lit(0.6))
 
 
+def compound_candidates(tokens: DataFrame) -> DataFrame:
+    """A prefecture token directly followed by one with a city sign, joined: ``sentence_id, text, start, end, confidence``.
+
+    ``tokens`` has ``sentence_id, pos, token, start``.
+    """
+    follow = Window.partitionBy("sentence_id").orderBy("pos")
+    pairs = tokens.withColumn("after", F.lead("token").over(follow)).where(F.col("token").rlike(r"[都道府県]\z") & F.col("after").rlike("[市区町村]"))
+    text = F.concat("token", "after")
+    return pairs.select("sentence_id", text.alias("text"), "start", (F.col("start") + F.length(text)).alias("end"), F.lit(0.9).alias("confidence"))
+
+
+def accepted(candidates: DataFrame, verdicts: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Candidates (``name``) that a stored verdict accepts; without a verdict a name is accepted."""
+    judged = verdicts.select("name", "is_place_name", "confidence")
+    ok = F.coalesce(F.col("is_place_name") & (F.col("confidence") >= threshold), F.lit(True))
+    return candidates.join(judged, "name", "left").where(ok).drop("is_place_name", "confidence")
+
+
+def create_masters(names: DataFrame, masters: DataFrame) -> DataFrame:
+    """``masters`` with one row for every new normalized name; rejected names stay blocked."""
+    from fumiyori.operators.merging import get_or_create
+
+    fresh = names.select(normalize_place_name(F.col("name")).alias("normalized_name"), "name").where("normalized_name <> ''").groupBy("normalized_name").agg(F.min("name").alias("display_name"))
+    new = fresh.select("normalized_name", "display_name", F.lit("pending").alias("validation_status"), F.lit(0).cast("long").alias("usage_count"))
+    return get_or_create(masters, new, "normalized_name", "master_id")
+
+
+def locate_masters(masters: DataFrame, located: DataFrame) -> DataFrame:
+    """Masters with coordinates filled where both are known and neither is 0; ``located`` has ``name, lat, lon, confidence``."""
+    known = located.where("lat IS NOT NULL AND lon IS NOT NULL AND lat <> 0 AND lon <> 0").select(F.col("name").alias("display_name"), "lat", "lon", F.col("confidence").alias("_c"))
+    merged = masters.join(known, "display_name", "left")
+    return merged.withColumns({"latitude": F.coalesce("latitude", "lat"), "longitude": F.coalesce("longitude", "lon"), "geocoding_confidence": F.coalesce("geocoding_confidence", "_c")}).select(*masters.columns)
+
+
 def best_candidates(candidates: DataFrame, by: list[str], text: str = "text", order: str = "ordinal") -> DataFrame:
     """One candidate per text: highest confidence, then lowest ordinal; short and invalid ones left out."""
     clean = candidates.withColumn(text, strip(F.col(text))).where((F.length(text) > 1) & ~is_invalid_candidate(F.col(text)))

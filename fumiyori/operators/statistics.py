@@ -118,3 +118,18 @@ def alerts(events: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataF
     last = events.groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     rules = events.sparkSession.createDataFrame([(k, op, float(t)) for k, (op, t) in thresholds.items()], "event_type string, op string, threshold double")
     return last.join(F.broadcast(rules), "event_type").where("(op = '<' AND value < threshold) OR (op = '>' AND value > threshold)").select("event_type", "value", "threshold")
+
+
+def usage_actions(judged: DataFrame, key: str) -> DataFrame:
+    """``key, n_uses, n_place, action`` of per-sentence verdicts (``is_place``)."""
+    n, k = F.count(F.lit(1)), F.count_if("is_place")
+    return judged.groupBy(key).agg(n.alias("n_uses"), k.alias("n_place")).withColumn("action", F.when(F.col("n_uses") == 0, "削除推奨: 使用例なし").when(F.col("n_place") == 0, "削除推奨").when(F.col("n_place") / F.col("n_uses") < 0.5, "削除検討").otherwise("保持推奨"))
+
+
+def run_report(steps: DataFrame) -> DataFrame:
+    """Steps (``ok`` boolean, ``n_new``, ``n_sentences``, ``seconds``) as one row of totals and rates."""
+    n, good = F.count(F.lit(1)), F.count_if("ok")
+    return steps.agg(
+        n.alias("processed"), good.alias("succeeded"), (n - good).alias("failed"), F.coalesce(F.sum("n_new"), F.lit(0)).alias("new_works"), F.coalesce(F.sum("n_sentences"), F.lit(0)).alias("sentences"),
+        rate(good, n).alias("success_rate"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)) / F.greatest(F.lit(1), F.sum("n_sentences")), 6).alias("seconds_per_sentence"),
+    )

@@ -198,6 +198,45 @@ def schema_difference(t):
     return schema_diff(t("authors"), AUTHORS_CORE)
 
 
+@query("SELECT sentence_id, prefecture || display_name AS text, 0 AS start_position, 0.9 AS confidence FROM (SELECT master_id AS sentence_id, prefecture, display_name FROM place_masters) WHERE regexp_matches(prefecture, '[都道府県]$') AND regexp_matches(display_name, '[市区町村]')")
+def compound_candidates(t):
+    """Prefecture and city tokens that follow each other (tokens made of the masters' names)."""
+    p = t("place_masters").select(F.col("master_id").alias("sentence_id"), F.posexplode(F.array("prefecture", "display_name")).alias("pos", "token"))
+    return G.compound_candidates(p.withColumn("start", F.lit(0))).select("sentence_id", "text", F.col("start").alias("start_position"), "confidence")
+
+
+@query()
+def usage_actions(t):
+    """Recommended action per mention text, from engine B on its sentences (its scores have SQL above)."""
+    none = F.lit(None).cast("string")
+    judged = _texts(t).select("name", C.context_b(F.col("name"), F.col("sentence_text"), none, none).is_place.alias("is_place"))
+    return S.usage_actions(judged, "name")
+
+
+@query("""
+    SELECT author_id, count(DISTINCT s.sentence_id) AS processed, count(m.relation_id) AS extracted, count(p.latitude) AS geocoded, round(count(p.latitude) * 100.0::DOUBLE / greatest(1, count(m.relation_id)), 2) AS success_rate
+    FROM works w JOIN sentences s USING (work_id) LEFT JOIN sentence_places m USING (sentence_id) LEFT JOIN place_masters p USING (master_id) WHERE author_id IS NOT NULL GROUP BY 1""")
+def author_geocoding(t):
+    """Sentences, mentions and located mentions of every author."""
+    s = t("works").where("author_id IS NOT NULL").select("work_id", "author_id").join(t("sentences").select("sentence_id", "work_id"), "work_id")
+    m = t("sentence_places").select("relation_id", "sentence_id", "master_id").join(t("place_masters").select("master_id", "latitude"), "master_id", "left").groupBy("sentence_id").agg(F.count("relation_id").alias("e"), F.count("latitude").alias("g"))
+    per = s.join(m, "sentence_id", "left").groupBy("author_id", "sentence_id").agg(F.max("e").alias("e"), F.max("g").alias("g")).groupBy("author_id")
+    e, g = F.coalesce(F.sum("e"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))
+    return per.agg(F.count(F.lit(1)).alias("processed"), e.alias("extracted"), g.alias("geocoded"), F.round(g * 100.0 / F.greatest(F.lit(1), e), 2).alias("success_rate"))
+
+
+@query("SELECT count(*) AS processed, count(processed_at) AS succeeded, count(*) - count(processed_at) AS failed, count(*)::BIGINT AS new_works, coalesce(sum(sentence_count), 0)::BIGINT AS sentences, round(count(processed_at) * 100.0::DOUBLE / count(*), 2) AS success_rate, round(sum(content_length * 0.001::DOUBLE) / greatest(1, sum(sentence_count)), 6) AS seconds_per_sentence FROM works")
+def run_reports(t):
+    """A report over works as steps of a run."""
+    w = t("works").select(F.col("processed_at").isNotNull().alias("ok"), F.lit(1).alias("n_new"), F.col("sentence_count").alias("n_sentences"), (F.col("content_length") * 0.001).alias("seconds"))
+    return S.run_report(w)
+
+
+@query("SELECT master_id FROM place_masters WHERE contains(concat_ws(' ', normalized_name, display_name, canonical_name), '橋')")
+def place_substring_search(t):
+    return t("place_masters").where(F.concat_ws(" ", "normalized_name", "display_name", "canonical_name").contains("橋")).select("master_id")
+
+
 # --- pages: index and card pages are written from the tables and read back --------------------
 
 
