@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.llm.frames import frame
 from fumiyori.operators.sizing import spread
 
 #: Characters of one FM-index; a parameter of memory (some 60 bytes a character while it is built).
@@ -220,7 +221,7 @@ def _search(documents: DataFrame, phrases: Phrases, shard_chars: int) -> DataFra
         def flush() -> pd.DataFrame:
             texts = list(shard)
             hits = {(doc, item, offset + a, offset + b) for t, item, a, b in phrases.find(texts) for doc, offset in shard[texts[t]]}
-            return pd.DataFrame(sorted(hits), columns=["doc_id", "item_id", "bare_start", "bare_end"]).astype("int64")
+            return frame(["doc_id", "item_id", "bare_start", "bare_end"], sorted(hits))
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.llm.frames import frame
 from fumiyori.llm.lookalike import consistent
 from fumiyori.session import cut_lineage
 
@@ -218,7 +219,8 @@ def learn_readings(authors: DataFrame) -> dict[str, str]:
                         if len(part) == 2 and all(map(_KANJI.match, part)):
                             for cut in range(1, len(sound)):
                                 rows += [(part[0], sound[:cut], part[1]), (part[1], sound[cut:], part[0])]
-            yield pd.DataFrame(rows, columns=["kanji", "sound", "partner"])
+            if rows:
+                yield frame(["kanji", "sound", "partner"], rows)
 
     cast = authors.where("author_name IS NOT NULL AND author_name_kana IS NOT NULL").select("author_name", "author_name_kana").mapInPandas(votes, "kanji string, sound string, partner string")
     counted = cast.groupBy("kanji", "sound").agg(F.countDistinct("partner").alias("n"))
@@ -330,7 +332,8 @@ def same_names(authors: DataFrame) -> DataFrame:
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(i, *f) for i, n, k, a in zip(batch["id"].tolist(), batch["name"], batch["kana"], batch["alias"], strict=True) for f in dict.fromkeys(forms(n, k, a, learned))]
-            yield pd.DataFrame(out, columns=["id", "kind", "key", "whole"])
+            if out:
+                yield frame(["id", "kind", "key", "whole"], out)
 
     spelled = cut_lineage(rows.mapInPandas(spell, "id long, kind string, key string, whole string"))
     # A row that has an initial only looks for rows whose full name has it ("i" finds "I").
@@ -363,7 +366,8 @@ def same_names(authors: DataFrame) -> DataFrame:
                     verdict = "strong"
                 if verdict:
                     out.append((r.a, r.b, verdict))
-            yield pd.DataFrame(out, columns=["a", "b", "verdict"])
+            if out:
+                yield frame(["a", "b", "verdict"], out)
 
     links = cut_lineage(pairs.join(facts("a"), "a").join(facts("b"), "b").mapInPandas(judge, "a long, b long, verdict string").groupBy("a", "b").agg(F.min("verdict").alias("verdict")))
     strong = links.where("verdict = 'strong'").select("a", "b")

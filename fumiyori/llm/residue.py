@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.llm.frames import frame
 from fumiyori.operators.sizing import spread
 
 #: Share of a window's mass in the exemplar, and of the exemplar's in the window, that make a match.
@@ -264,7 +265,8 @@ def _count(index: ResidueIndex, documents: DataFrame) -> tuple[dict[str, int], i
                 for window in windows(text):
                     found[""] += 1
                     found.update(vocabulary.intersection(terms(window)))
-        yield pd.DataFrame({"term": list(found), "n": pd.Series(list(found.values()), dtype="int64")})
+        if found:
+            yield frame(["term", "n"], list(found.items()))
 
     rows = spread(documents.select("text").where("text <> ''")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r.term: r.n for r in rows}
@@ -279,6 +281,7 @@ def residue_windows(documents: DataFrame, exemplars: dict[str, str] | None = Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(doc, label, w) for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True) for w in windows(text) if (label := index.match(w))]
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "window"]).astype({"doc_id": "int64", "label": "object", "window": "object"})
+            if rows:
+                yield frame(["doc_id", "label", "window"], rows)
 
     return spread(documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, label string, window string")

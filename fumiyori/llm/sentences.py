@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.llm.frames import frame
 from fumiyori.llm.mojibake import examine
 from fumiyori.operators.sizing import spread
 
@@ -371,16 +372,14 @@ def split_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("_row", "part", "char_start", "char_end", "sentence_text", "n_parts")}
+            # Nullable integers arrive as floats: whole numbers are what they were.
+            values = [[None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v for v in batch[k].tolist()] for k in keys]
+            rows = []
             for i, t in enumerate(batch[text]):
                 spans = sentence_spans(t)
-                for k, (a, b) in enumerate(spans, 1):
-                    for column, value in zip(rows, (i, k, a, b, t[a:b], len(spans)), strict=True):
-                        rows[column].append(value)
-            out = pd.DataFrame(rows)
-            for key in keys:
-                out[key] = batch[key].take(out["_row"]).to_numpy() if len(out) else batch[key].head(0)
-            yield out[[*keys, "part", "char_start", "char_end", "sentence_text", "n_parts"]]
+                rows += [(*(v[i] for v in values), k, a, b, t[a:b], len(spans)) for k, (a, b) in enumerate(spans, 1)]
+            if rows:
+                yield frame([*keys, "part", "char_start", "char_end", "sentence_text", "n_parts"], rows)
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "part int", "char_start int", "char_end int", "sentence_text string", "n_parts int"])
     return spread(df.select(*dict.fromkeys([*keys, text]))).mapInPandas(run, schema)
