@@ -174,3 +174,70 @@ def test_config_and_store(spark, tmp_path):
 
 def test_gazetteer_is_small(spark):
     assert G.gazetteer(spark).count() == len(V.rows(V.CITIES)) + len(V.rows(V.HISTORICAL)) + 47 + 10
+
+
+def test_resolution_tiers_and_rejected(spark):
+    masters = spark.createDataFrame([(1, "東京", "東京都", None), (2, "京", "京", None), (3, "新橋", "新橋駅", "rejected"), (4, "日本橋", "日本橋", "pending"), (5, "日本橋北", "日本橋北詰", None)], "master_id long, normalized_name string, display_name string, validation_status string")
+    aliases = spark.createDataFrame([(1, "江戸"), (3, "芝口"), (None, "空")], "master_id long, alias_name string")
+    names = spark.createDataFrame([("東京府",), ("東京都",), ("江戸",), ("日本",), ("新橋駅",), ("芝口",), ("無",), ("",), (None,), ("日本橋北詰の",)], "name string")
+    got = {r.name: (r.master_id, r.tier) for r in G.resolve_masters(names, masters, aliases).collect()}
+    assert got == {"東京府": (1, 1), "東京都": (1, 1), "江戸": (1, 3), "日本": (4, 4), "新橋駅": (None, None), "芝口": (None, None), "無": (None, None), "日本橋北詰の": (5, 4)}
+
+
+def test_created_and_located_masters(spark):
+    masters = spark.createDataFrame([(7, "東京", "東京都", "rejected", 3, None, None, None)], "master_id long, normalized_name string, display_name string, validation_status string, usage_count long, latitude double, longitude double, geocoding_confidence double")
+    names = spark.createDataFrame([("東京府",), ("京都府",), ("京都",), ("",), (None,)], "name string")
+    made = G.create_masters(names, masters)
+    assert sorted((r.master_id, r.normalized_name, r.display_name) for r in made.collect()) == [(7, "東京", "東京都"), (8, "京都", "京都")]
+    located = spark.createDataFrame([("京都", 35.0, 135.7, 0.9), ("東京都", 0.0, 139.0, 0.9)], "name string, lat double, lon double, confidence double")
+    assert {r.master_id: r.latitude for r in G.locate_masters(made, located).collect()} == {7: None, 8: 35.0}
+
+
+def test_verdict_gate_and_addresses(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    verdicts = spark.createDataFrame([("a", True, 0.9), ("b", True, 0.5)], "name string, is_place_name boolean, confidence double")
+    assert sorted(r.name for r in G.accepted(names, verdicts).collect()) == ["a", "c"]
+    results = spark.createDataFrame([("x", 1, "パリ", 48.0, 2.0), ("x", 2, "日本", 35.0, 139.0), ("y", 1, "どこか", 1.0, 1.0), ("y", 2, "東京y町", 35.0, 139.0)], "name string, ordinal int, address string, lat double, lon double")
+    assert {r.name: r.address for r in G.best_address(results).collect()} == {"x": "日本", "y": "東京y町"}
+
+
+def test_json_sources_round_trip(spark, tmp_path):
+    import json
+
+    path = tmp_path / "authors.json"
+    path.write_text(json.dumps({"authors": [{"name": "某", "works_count": 3}, {"name": "誰", "section": "ア"}], "total_count": 2, "scraped_at": "x"}))
+    rows = {r.author_name: (r.aozora_works_count, r.copyright_status, r.section) for r in P.read_author_json(spark, str(path)).collect()}
+    assert rows == {"某": (3, "expired", "その他"), "誰": (0, "expired", "ア")}
+    assert P.preview_author_json(spark, str(path), 1).count() == 1
+    authors = spark.createDataFrame([(1, "ア", "expired")], "author_id long, section string, copyright_status string")
+    P.write_author_json(authors, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "authors")).count() == 1
+
+
+def test_schema_evolution(spark):
+    from fumiyori.schema import AUTHORS_CORE, evolve, schema_diff
+
+    old = spark.createDataFrame([(1, "a", None)], "author_id long, author_name string, section string")
+    new = evolve(old)
+    assert new.first().copyright_status == "expired" and new.first().section is None
+    assert {("missing", "birth_year"), ("extra", "section")} <= {tuple(r) for r in schema_diff(old, AUTHORS_CORE).collect()}
+
+
+def test_pipeline_writes_and_reads(spark, tmp_path):
+    import os
+
+    from fumiyori.plans import pipeline
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test data here")
+    paths = pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path))
+    assert {name: spark.read.parquet(path).count() > 0 for name, path in paths.items()} == dict.fromkeys(paths, True)
+
+
+def test_logical_deletion(spark):
+    masters = spark.createDataFrame([(1, "a", None), (2, "b", "pending")], "master_id long, display_name string, validation_status string")
+    mentions = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "relation_id long, master_id long")
+    marked, left, report = M.reject_places(masters, mentions, spark.createDataFrame([("a",), ("z",), ("a",)], "name string"))
+    assert {r.master_id: r.validation_status for r in marked.collect()} == {1: "rejected", 2: "pending"}
+    assert [r.relation_id for r in left.collect()] == [3]
+    assert {tuple(r) for r in report.collect()} == {("a", 2, True), ("z", 0, False)}
