@@ -10,16 +10,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Order values that one window partition holds; a long work is cut into such blocks, so no task sees all of it.
+BLOCK = 4096
+
+
 def context_windows(sentences: DataFrame, reach: int = 2) -> DataFrame:
-    """``sentence_id, context_before, context_after``: texts of the neighbours by order value, null if none."""
-    order = Window.partitionBy("work_id").orderBy(F.col("sentence_order").cast("long"))
-    joined = lambda a, b: F.nullif(F.concat_ws("", F.collect_list("sentence_text").over(order.rangeBetween(a, b))), F.lit(""))
-    return sentences.select("sentence_id", joined(-reach, -1).alias("context_before"), joined(1, reach).alias("context_after"))
+    """``sentence_id, context_before, context_after``: texts of the neighbours by order value, null if none.
+
+    A work is cut into blocks of order values; rows near a border are also given to the block
+    beyond it as neighbours. A sentence without an order has no neighbours.
+    """
+    place = F.col("sentence_order").cast("long")
+    at = lambda o: F.floor(o / BLOCK)
+    blocks = F.when(place.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(at(place), at(place - reach), at(place + reach))))
+    rows = sentences.select("sentence_id", "work_id", "sentence_text", place.alias("_o"), F.explode(blocks).alias("_block"))
+    order = Window.partitionBy("work_id", "_block").orderBy("_o")
+    joined = lambda a, b: F.when(F.col("_o").isNotNull(), F.nullif(F.concat_ws("", F.collect_list("sentence_text").over(order.rangeBetween(a, b))), F.lit("")))
+    found = rows.select("sentence_id", "_o", "_block", joined(-reach, -1).alias("context_before"), joined(1, reach).alias("context_after"))
+    return found.where(F.col("_o").isNull() | (F.col("_block") == at(F.col("_o")))).drop("_o", "_block")
+
+
+def block_ranks(rows: DataFrame, group: str, block: list[Column], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their rank within ``group``: the rank within a block, plus the rows of the blocks before it.
+
+    ``block`` are expressions that rise with ``order``; only one row a block meets in the window over a whole group.
+    """
+    keys = [f"_b{i}" for i in range(len(block))]
+    placed = rows.withColumns(dict(zip(keys, block, strict=True)))
+    sizes = placed.groupBy(group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    other = before.select(F.col(group).alias("_g"), *(F.col(k).alias(f"{k}_") for k in keys), "_before")
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy(group, *keys).orderBy(*order)))
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return ranked.join(other, same).withColumn(name, (F.col("_r") + F.col("_before")).cast("int")).select(*rows.columns, name)
 
 
 def sentence_positions(sentences: DataFrame) -> DataFrame:
     """``sentence_id, sentence_position``: the rank of the id within its work."""
-    return sentences.select("sentence_id", F.row_number().over(Window.partitionBy("work_id").orderBy("sentence_id")).alias("sentence_position"))
+    rows = sentences.select("sentence_id", "work_id")
+    return block_ranks(rows, "work_id", [F.floor(F.col("sentence_id") / BLOCK)], ["sentence_id"], "sentence_position").select("sentence_id", "sentence_position")
 
 
 def star(mentions: DataFrame, sentences: DataFrame, works: DataFrame, authors: DataFrame, how: str = "inner") -> DataFrame:

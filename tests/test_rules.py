@@ -241,3 +241,12 @@ def test_logical_deletion(spark):
     assert {r.master_id: r.validation_status for r in marked.collect()} == {1: "rejected", 2: "pending"}
     assert [r.relation_id for r in left.collect()] == [3]
     assert {tuple(r) for r in report.collect()} == {("a", 2, True), ("z", 0, False)}
+
+
+def test_blocks_do_not_change_windows(spark, monkeypatch):
+    rows = [(i, w, o, f"t{i}") for i, (w, o) in enumerate([(1, 1), (1, 2), (1, 4), (1, 5), (1, 9), (2, 1), (2, 3), (2, None), (3, -1), (3, 0), (3, 1)])]
+    s = spark.createDataFrame(rows, "sentence_id long, work_id long, sentence_order int, sentence_text string")
+    whole = sorted(map(str, R.context_windows(s).collect())), sorted(map(tuple, R.sentence_positions(s).collect()))
+    monkeypatch.setattr(R, "BLOCK", 2)
+    assert (sorted(map(str, R.context_windows(s).collect())), sorted(map(tuple, R.sentence_positions(s).collect()))) == whole
+    assert R.context_windows(s.where("false")).count() == R.sentence_positions(s.where("false")).count() == 0
