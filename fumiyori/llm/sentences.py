@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fumiyori.llm.frames import frame
 from fumiyori.llm.mojibake import examine
+from fumiyori.operators.relations import BLOCK, block_ranks
 from fumiyori.operators.sizing import spread
 
 PAIRS = {"「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "【": "】", "［": "］", "[": "]", "〔": "〕", "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}
@@ -386,11 +387,13 @@ def split_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def reordered(sentences: DataFrame) -> DataFrame:
-    """Every sentence unit with its new ``sentence_order`` within the work: the old order, then the place in the row."""
-    from pyspark.sql import Window
+    """Every sentence unit with its new ``sentence_order`` within the work: the old order, then the place in the row.
 
+    Rows without an order come first. Works are ranked by blocks, so a long one is not one task.
+    """
     rows = sentences.where(F.col("sentence_id").isNotNull()).select("sentence_id", "work_id", F.col("sentence_order").alias("row_order"), F.col("sentence_text").alias("row_text"))
-    # New positions come from the numbers of units before a row, so only numbers pass the window, not texts.
     units = split_sentences(rows, ["sentence_id", "work_id", "row_order"], "row_text")
-    order = Window.partitionBy("work_id").orderBy("row_order", "sentence_id", "part")
-    return units.withColumn("sentence_order", F.row_number().over(order)).select("sentence_id", "work_id", "sentence_order", "sentence_text", "char_start", "char_end")
+    known = F.col("row_order").isNotNull()
+    blocks = [F.when(known, F.floor(F.col("row_order") / BLOCK)).otherwise(F.lit(-(1 << 40))), F.when(known, F.lit(0).cast("long")).otherwise(F.floor(F.col("sentence_id") / BLOCK))]
+    ranked = block_ranks(units, "work_id", blocks, ["row_order", "sentence_id", "part"], "sentence_order")
+    return ranked.select("sentence_id", "work_id", "sentence_order", "sentence_text", "char_start", "char_end")
