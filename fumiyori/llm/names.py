@@ -254,11 +254,12 @@ def candidate_pairs(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
         .select("kind", "m", "s", F.substring("key", F.col("from") + 1, size(F.col("m"), F.col("s")).cast("int")).alias("piece"), F.col("key").alias("key_a"), F.col("whole").alias("whole_a"))
         .where("piece <> ''")
     )
-    met = probes.join(index, ["kind", "m", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b").distinct()
+    met = probes.join(index, ["kind", "m", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b")
     # The built-in distance is banded by its threshold; an exchange of neighbours counts two there.
+    # It comes before the duplicates are removed, so only near pairs are shuffled again.
     apart = F.levenshtein("key_a", "key_b", k + 1)
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    return met.where(apart.between(0, k) | ((apart == k + 1) & (letters("key_a") == letters("key_b"))))
+    return met.where(apart.between(0, k) | ((apart == k + 1) & (letters("key_a") == letters("key_b")))).distinct()
 
 
 def _years_agree(a: tuple, b: tuple) -> bool | None:
@@ -341,8 +342,12 @@ def same_names(authors: DataFrame) -> DataFrame:
     searched = probing.where(~F.col("kind").startswith("P"))
     near = candidate_pairs(searched).unionByName(probing.select("kind", F.col("key").alias("key_a"), F.col("whole").alias("whole_a"), F.col("key").alias("key_b"), F.col("whole").alias("whole_b")).distinct())
 
-    side = lambda s: probing.select("kind", F.col("key").alias(f"key_{s}"), F.col("whole").alias(f"whole_{s}"), F.col("id").alias(s), F.col("weak_side").alias(f"weak_{s}"))
-    met = near.join(side("a"), ["kind", "key_a", "whole_a"]).join(side("b"), ["kind", "key_b", "whole_b"]).where((F.col("a") != F.col("b")) & (~F.col("kind").startswith("I") | F.col("weak_a") | F.col("weak_b")))
+    side = lambda s, rows: rows.select("kind", F.col("key").alias(f"key_{s}"), F.col("whole").alias(f"whole_{s}"), F.col("id").alias(s))
+    meet = lambda forms, a, b: forms.join(side("a", a), ["kind", "key_a", "whole_a"]).join(side("b", b), ["kind", "key_b", "whole_b"]).where("a <> b")
+    # An initial is shared by a great many full names: only rows that have no more than it look for them.
+    initial = F.col("kind").startswith("I")
+    swapped = near.select("kind", F.col("key_b").alias("key_a"), F.col("whole_b").alias("whole_a"), F.col("key_a").alias("key_b"), F.col("whole_a").alias("whole_b"))
+    met = meet(near.where(~initial), probing, probing).unionByName(meet(near.unionByName(swapped).where(initial).distinct(), probing.where("weak_side"), probing))
     pairs = met.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("whole_a")).otherwise(F.col("whole_b")).alias("wa"), F.when(F.col("a") < F.col("b"), F.col("whole_b")).otherwise(F.col("whole_a")).alias("wb")).distinct()
     facts = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("name", "kana", "birth", "death")))
     counts = _kanji_counts(authors)
