@@ -253,7 +253,8 @@ def author_index_pages(t):
 
 
 def _cards(t):
-    w = t("works")
+    """One card page a work; an id below 0 has no address, as addresses hold digits only."""
+    w = t("works").where("author_id >= 0")
     title = F.translate("title", "<>&", "")
     return w.select(
         F.concat(F.lit("https://bunko.example/cards/"), F.lpad(F.col("author_id").cast("string"), 6, "0"), F.lit("/card"), F.col("work_id"), F.lit(".html")).alias("url"),
@@ -264,22 +265,22 @@ def _cards(t):
     ).where("url IS NOT NULL AND html IS NOT NULL")
 
 
-@query("SELECT lpad(author_id::VARCHAR, 6, '0') AS source_work_id, work_id::VARCHAR AS card_id, CASE WHEN publication_year BETWEEN 1800 AND 2100 THEN publication_year END AS publication_year, '係' || work_id AS input_person, '校' || work_id AS proof_person FROM works WHERE author_id IS NOT NULL AND title IS NOT NULL")
+@query("SELECT lpad(author_id::VARCHAR, 6, '0') AS source_work_id, work_id::VARCHAR AS card_id, CASE WHEN publication_year BETWEEN 1800 AND 2100 THEN publication_year END AS publication_year, '係' || work_id AS input_person, '校' || work_id AS proof_person FROM works WHERE author_id >= 0 AND title IS NOT NULL")
 def card_metadata(t):
     return P.card_metadata(_cards(t)).select("source_work_id", "card_id", "publication_year", "input_person", "proof_person")
 
 
-@query("SELECT '/cards/' || work_id || '/card.html' AS href FROM works WHERE author_id IS NOT NULL AND title IS NOT NULL")
+@query("SELECT '/cards/' || work_id || '/card.html' AS href FROM works WHERE author_id >= 0 AND title IS NOT NULL")
 def work_links(t):
     return P.works_under_heading(_cards(t)).select("href")
 
 
-@query("SELECT '/cards/' || work_id || '/card.html' AS href FROM works WHERE author_id IS NOT NULL AND title IS NOT NULL")
+@query("SELECT '/cards/' || work_id || '/card.html' AS href FROM works WHERE author_id >= 0 AND title IS NOT NULL")
 def card_links(t):
     return P.links(_cards(t), "cards").select("href")
 
 
-@query("SELECT work_id::VARCHAR AS card_id, 1 AS n_h1, 1 AS n_h2, 0 AS n_h3, 1 AS n_ol, 1 AS n_li, 0 AS n_author_items FROM works WHERE author_id IS NOT NULL AND title IS NOT NULL")
+@query("SELECT work_id::VARCHAR AS card_id, 1 AS n_h1, 1 AS n_h2, 0 AS n_h3, 1 AS n_ol, 1 AS n_li, 0 AS n_author_items FROM works WHERE author_id >= 0 AND title IS NOT NULL")
 def page_structure(t):
     return P.structure_profile(_cards(t)).select(F.regexp_extract("url", r"card(\d+)\.html", 1).alias("card_id"), "n_h1", "n_h2", "n_h3", "n_ol", "n_li", "n_author_items")
 
