@@ -4,7 +4,10 @@ Labelled exemplars of residue are kept in an inverted index of their terms (word
 scripts, character pairs of spaceless ones, one term for every placeholder). Passage windows
 of a document (its lines and the sentences in them) retrieve the exemplars that share their
 rarer terms; a window is residue if its TF-IDF mass is mostly contained in an exemplar and
-most of the exemplar is there. Documents with such a window come out.
+most of the exemplar is there. Beside whole windows, runs of terms inside a window are held
+against the exemplars, so residue glued to other text is found, and every placeholder is
+judged by the words around it: it is residue unless they speak of it. Documents with such a
+window come out.
 
 Inverse document frequencies of the exemplars' terms are counted over all windows of all
 documents; a term that no exemplar has weighs as much as their average one.
@@ -30,6 +33,10 @@ from fumiyori.operators.sizing import spread
 
 #: Share of a window's mass in the exemplar, and of the exemplar's in the window, that make a match.
 WINDOW_SHARE, EXEMPLAR_SHARE = 0.8, 0.6
+#: Share of an exemplar in a run of terms inside a window; terms of the shortest exemplar sought so; of one sought at any place, not only first or last.
+RUN_SHARE, RUN_TERMS, FREE_TERMS = 0.85, 3, 7
+#: Characters on each side of a placeholder or run that tell whether it is spoken of.
+AROUND = 60
 
 # Exemplars by label, "§" for a placeholder.
 EXEMPLARS = {
@@ -173,12 +180,44 @@ _SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|%%\s*{_NAME}\s*%%|@@\s*{_NAME}\s*@@|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>"
     r"|__[A-Za-z][A-Za-z0-9_.]*?__|\[[A-Z]{2,}(?:_[A-Z]+)*\]|<[A-Z]{2,}(?:_[A-Z]+)*>|%[A-Z]{2,}(?:_[A-Z]+)*%|｛[^｛｝\n]{1,20}｝|【[^【】\n]*(?:入力|入れて|未設定|挿入|記入)[^【】\n]*】"
 )
+# Brackets that ordinary text has too hold a placeholder beyond the exemplars only with the name of a field.
+_STRONG = re.compile(r"\{\{|[$#]\{|%%|@@|<%|\{%|【")
+_FIELD = re.compile(r"(?i)(?<![a-z])(?:title|name|author|year|date|month|day|place|city|country|address|email|phone|user|summary|body|text|content|id|number|kana|work|card|item|publisher|price|url)(?![a-z])|名|年|月日|日付|本文|題|著者|作者|住所|番号|概要|項目|内容")
+# Words near a placeholder or notice that speak of it as such; words that report a notice as said, read or written.
+_SPOKEN = re.compile(
+    r"(?i)\b(?:explain(?:s|ed) (?:that|how|why)|templat|placeholder|variable|syntax|notation|braces?\b|brackets?\b|literal|(?:began|begins|starts|ended|ends) with|stands for|Platzhalter|Vorlage|Klammer|gabarit|accolade)"
+    r"|記法|記号|変数|雛形|ひな形|ひな型|テンプレート|プレースホルダ|置き換|差し込み|括弧|占位|模板|括号|변수|템플릿|괄호"
+)
+_REPORTED = re.compile(
+    r"(?i)\b(?:called|mean[st]|printers|essay|dictionary|phrase|the words?|the text|the message|messages? like|said|says|reads?\b|sign\b|wrote|written|typed|quot|hieß|Schild|écrit|intitulé)"
+    r"|と書|と呼|と記|という|といふ|と表示|と言|と云|と刷|と読め|解説|説明し|随筆|貼り紙|看板|の札|所谓|写着|라고"
+)
+_QUOTED = re.compile(r"[「『“„«\"‘‹]\s*$"), re.compile(r"^\s*[.。]?[」』”»\"’›]")
+_STATUS = re.compile(r"(?<![\d.])(?:400 Bad Request|401 Unauthorized|403 Forbidden|404 Not Found|408 Request Time-?out|429 Too Many Requests|500 Internal Server Error|502 Bad Gateway|503 Service (?:Temporarily )?Unavailable|504 Gateway Time-?out)(?![a-z])", re.I)
 _BREAK = re.compile(r"[\r\n\u0085  \x0b\x0c]+")
 _END = re.compile(r"(?<=[。！？!?])|(?<=[.])(?=\s)")
 _TERM = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿]+|\d+|[぀-ヿ㐀-鿿豈-﫿]+|§")
 _FOLDED = re.compile("[­͏​-‏⁠﻿︀-️]")
 
 
+def _is_spoken(line: str, start: int, end: int) -> bool:
+    """Whether the words around a notice in a line speak of it or report it, or it stands in quotation marks."""
+    before, after = line[max(0, start - AROUND) : start], line[end : end + AROUND]
+    return bool(any(words.search(x) for words in (_SPOKEN, _REPORTED) for x in (before, after)) or _QUOTED[0].search(before) and _QUOTED[1].search(after))
+
+
+def open_slots(text: str | None) -> Iterator[str]:
+    """Sentences with an unfilled placeholder that nothing in them speaks of."""
+    if not text or not _SLOT.search(text):
+        return
+    for line in _BREAK.split(text):
+        for part in _END.split(line) if _SLOT.search(line) else ():
+            for m in _SLOT.finditer(part):
+                if (_STRONG.match(m.group()) or _FIELD.search(m.group().replace("_", " "))) and not _SPOKEN.search(part[max(0, m.start() - AROUND) : m.start()] + " " + part[m.end() : m.end() + AROUND]):
+                    yield _SLOT.sub("§", part.replace("§", " ")).strip()
+                    break
+
+
 def windows(text: str | None) -> Iterator[str]:
     """Lines, and the sentences of lines that hold several; placeholders become one sign."""
     if not text:
@@ -192,20 +231,26 @@ def windows(text: str | None) -> Iterator[str]:
                 yield from parts
 
 
-def terms(window: str) -> Counter[str]:
-    """Term frequencies of a window."""
-    found: Counter[str] = Counter()
-    for token in _TERM.findall(unicodedata.normalize("NFKC", _FOLDED.sub("", window)).casefold()):
+def _folded(window: str) -> str:
+    return unicodedata.normalize("NFKC", _FOLDED.sub("", window)).casefold()
+
+
+def placed_terms(folded: str) -> Iterator[tuple[str, int, int]]:
+    """The terms of a folded window in order, with their places."""
+    for m in _TERM.finditer(folded):
+        token, at = m.group(), m.start()
         if token[0].isdigit():
-            found["0"] += 1
-        elif token == "§" or not ("぀" <= token[0] <= "鿿" or "豈" <= token[0]):
-            found[token] += 1
-        elif len(token) == 1:
-            found[token] += 1
+            yield "0", at, m.end()
+        elif token == "§" or len(token) == 1 or not ("぀" <= token[0] <= "鿿" or "豈" <= token[0]):
+            yield token, at, m.end()
         else:
             for i in range(len(token) - 1):
-                found[token[i : i + 2]] += 1
-    return found
+                yield token[i : i + 2], at + i, at + i + 2
+
+
+def terms(window: str) -> Counter[str]:
+    """Term frequencies of a window."""
+    return Counter(t for t, _, _ in placed_terms(_folded(window)))
 
 
 class ResidueIndex:
@@ -239,7 +284,7 @@ class ResidueIndex:
             return None
         total = sum(n * self.weight.get(t, self.other) for t, n in held.items())
         if sum(held[t] * self.weight[t] for t in known) < WINDOW_SHARE * total:
-            return None
+            return self.inside(window, known)
         shared: dict[int, float] = {}
         covered: dict[int, float] = {}
         for term in known:
@@ -251,6 +296,37 @@ class ResidueIndex:
             need = 0.25 if len(self.exemplars[k]) > 20 and self.labels[k] == "filler" else EXEMPLAR_SHARE
             if mass >= WINDOW_SHARE * total and covered[k] >= need * self.mass[k]:
                 return self.labels[k]
+        return self.inside(window, known)
+
+    def inside(self, window: str, known: list[str]) -> str | None:
+        """The label of an exemplar that a run of terms inside the window repeats, unless it is spoken of."""
+        if m := _STATUS.search(window):
+            if not _is_spoken(window, *m.span()):
+                return "error"
+        if len(known) < RUN_TERMS:
+            return None
+        covered: dict[int, float] = {}
+        for term in known:
+            for k in self.postings[term]:
+                covered[k] = covered.get(k, 0.0) + self.weight[term]
+        near = [k for k, mass in covered.items() if mass >= RUN_SHARE * self.mass[k] and len(self.exemplars[k]) >= RUN_TERMS and self.labels[k] != "placeholder"]
+        if not near:
+            return None
+        folded = _folded(window)
+        row = list(placed_terms(folded))
+        for k in near:
+            exemplar = self.exemplars[k]
+            width = sum(exemplar.values())
+            last, past = len(row) - width, 0
+            for at in range(last + 1) if len(exemplar) >= FREE_TERMS else sorted({0, last}) if last >= 0 else ():
+                if at < past or row[at][0] not in exemplar:
+                    continue
+                run = Counter(t for t, _, _ in row[at : at + width])
+                both = sum(min(n, exemplar[t]) * self.weight[t] for t, n in run.items() if t in exemplar)
+                if both >= RUN_SHARE * sum(n * self.weight[t] for t, n in exemplar.items()):
+                    if not _is_spoken(folded, row[at][1], row[at + width - 1][2]):
+                        return self.labels[k]
+                    past = at + width
         return None
 
 
@@ -280,7 +356,11 @@ def residue_windows(documents: DataFrame, exemplars: dict[str, str] | None = Non
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, label, w) for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True) for w in windows(text) if (label := index.match(w))]
+            rows = []
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                found = [(doc, label, w) for w in windows(text) if (label := index.match(w))]
+                known = {w for _, _, w in found}
+                rows += found + [(doc, "placeholder", w) for w in open_slots(text) if w not in known]
             if rows:
                 yield frame(["doc_id", "label", "window"], rows)
 

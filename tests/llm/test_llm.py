@@ -288,6 +288,15 @@ def test_residue(spark):
     assert residue.residue_windows(long).select("doc_id").distinct().count() == 1
 
 
+INSIDE = ["彼は{{name}}と言った。", "In {{year}} she moved to Kyoto.", "The ferry to [PLACE_NAME] left at noon.", "彼女は橋の上でお探しのページは移動または削除された可能性があります", "船は沖へこのページを表示するにはJavaScriptを有効にしてください。", "Then she opened the 404 Not Found", "The lamp went out and Please turn on JavaScript in your browser and reload the page."]
+NOT_INSIDE = ["A letter template has {{name}} where the name belongs.", "雛形では${title}の所に題が入る。", "He wrote [SIC] after the word, and <BR> too.", "The page said “404 Not Found” in red.", "画面には「お探しのページは移動または削除された可能性があります」と表示された。"]
+
+
+def test_residue_inside_other_sentences(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*INSIDE, *NOT_INSIDE])], "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_windows(df).select("doc_id").distinct().collect()} == set(range(len(INSIDE)))
+
+
 # --- queries ------------------------------------------------------------------------
 
 
