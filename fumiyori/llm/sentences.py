@@ -2,7 +2,8 @@
 
 Spaceless scripts (Japanese, Chinese, Thai): a lattice of dictionary words is laid over the
 text around every gap and its cheapest path read; the gap is classified by the word that
-ends before it (final particles and forms) and the word that opens after it. Spaced scripts:
+ends before it (final particles and forms) and the word that opens after it. A Japanese full
+stop outside marks ends its sentence unless a particle of quotation follows. Spaced scripts:
 a lattice of terminators; every end mark, with the closing marks after it, is one node that
 is judged by its word (abbreviation, ordinal, initial, ellipsis) and by what follows.
 
@@ -41,7 +42,11 @@ BREAKS = set("\n\r\v\f\u0085\u2028\u2029")
 WORDS = {
     "ja": {
         "j": "と って とは とも など という といふ なんて と言 と云 と叫 と聞 と思 が を に の は も で へ や から まで より ので のに けれど ながら さえ ばかり だけ しか ほど くらい では には へと での との として にて とて なら 、 ， ・ ― — ：",
-        "o": "ところが ところで とても とにかく とうとう ともかく ともあれ とある となり とき ときに とたん どこ どう どんな だが だから でも では、 しかし そして それ その そこ これ この ここ あの ああ あれ あなた なんと なぜ なお もう もし やがて やはり はい はじめ のち また まだ まあ にわかに がらん えっ え？ おや さて すると ついに つまり さらに ただ たとえば 私 彼 彼女 妹 医者 老人 船頭 画家 巡査 駅長 叔父 女学生 子供たち 宿の 隣の 旅の 郵便夫 古本屋 若い 去年 翌朝 祭り 雨の 霧の 秋の 夜明け 夕暮れ 正月 日曜 十年 汽車 気温 待て 第",
+        "o": "ところが ところで とても とにかく とうとう ともかく ともあれ とある となり とき ときに とたん どこ どう どんな だが だから でも では、 しかし そして それ その そこ これ この ここ あの ああ あれ あなた なんと なぜ なお もう もし やがて やはり はい はじめ のち また まだ まあ にわかに がらん えっ え？ おや さて すると ついに つまり さらに ただ たとえば 私 彼 彼女 妹 医者 老人 船頭 画家 巡査 駅長 叔父 女学生 子供たち 宿の 隣の 旅の 郵便夫 古本屋 若い 去年 翌朝 祭り 雨の 霧の 秋の 夜明け 夕暮れ 正月 日曜 十年 汽車 気温 待て 第 "
+        # Words that begin like a particle.
+        "がっかり がっくり がやがや がらがら がらり がちゃん がんばれ にわとり にわか にぎやか におい にがい にこにこ にっこり にもかかわらず にやり のんびり のどか のろのろ のっそり のびのび はるか はじめて はたして はっきり はっと はやく はやい はなし はげしい はてな はたけ はあ ははあ "
+        "もちろん もっと もっとも もしも もしかすると もしかして もしや もとより もはや もともと もろとも ものすごい もうすぐ もみじ もたもた ですから ですが でしたら でんわ でこぼこ へえ やっと やっぱり やさしい やまびこ やむなく やや やれやれ やあ からす からだ からっぽ よりによって しかも しかるに しかたなく "
+        "ほどなく ほどよい ならば ならんで だけど だけれど けれども けれど、 くらやみ さえずり ながらく とつぜん とりわけ とびら となりの とおく とっさ ともだち とびきり とどのつまり とき、 とはいえ とすると とすれば となると",
         "f": "た だ る い う よ ね か な ぞ わ さ ぬ なり けり です ます でした ました だろう でしょう ない たい くれ なさい せよ ろう",
         "c": "ああ おお いや ええ まあ",
     },
@@ -71,6 +76,8 @@ ABBREVIATIONS = frozenset(
 #: Abbreviations that may also end a sentence: they do before a capital letter or mark that opens one.
 ENDING = frozenset("a.m p.m etc usw b.c a.d u.s u.k".split())
 MONTHS = re.compile(r"(?i)(januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jan\b|feb\b|mär\b|apr\b|jun\b|jul\b|aug\b|sept?\b|okt\b|nov\b|dez\b|jahrhundert|jh\b|kapitel|klasse|stock)")
+#: What leads a Japanese sentence on after a full stop: a particle of quotation, or a mark that opens nothing.
+_QUOTING = re.compile("と|って|、|，|,|・|―|—|：|など")
 _WORD_BEFORE = re.compile(r"[^\s「」『』（）()\[\]“”„«»\"—–]*$")
 
 
@@ -202,7 +209,8 @@ def _spaceless(text: str, lang: str) -> list[int]:
                 if lang == "zh":
                     done = text[after] not in "，、；："
             else:
-                done = _opens(text, after, lang) == "o" if lang == "ja" else text[after] not in "，、；：—"
+                plain = lang == "ja" and set(run) <= set("。｡")
+                done = (plain and not _QUOTING.match(text, after)) or _opens(text, after, lang) == "o" if lang == "ja" else text[after] not in "，、；：—"
             if done:
                 ends.append(end)
                 begin, i = True, after

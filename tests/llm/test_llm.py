@@ -40,6 +40,17 @@ def test_sentences_of_languages(parts, glue):
     assert cut("  " + glue.join(parts) + "\n") == parts
 
 
+@pytest.mark.parametrize("opening", "もちろん もっと しかも やっと とつぜん はるか ほどなく にわとり もみじ へちま のうぜん でんでん虫 からくり からす とりわけ".split())
+def test_words_that_begin_like_particles_open_sentences(opening):
+    assert cut(f"雪が舞いはじめた。{opening}、橋の上に見えた。") == ["雪が舞いはじめた。", f"{opening}、橋の上に見えた。"]
+
+
+@pytest.mark.parametrize("opening", "もちろん もっと しかも やっと とつぜん はるか ほどなく にわとり からす".split())
+def test_words_that_begin_like_particles_open_after_other_marks(opening):
+    assert cut(f"なんと静かな夜だろう！{opening}、橋は見えた。") == ["なんと静かな夜だろう！", f"{opening}、橋は見えた。"]
+    assert cut("もう遅い。と彼は言った。") == ["もう遅い。と彼は言った。"] and cut("もう遅い。って彼は言った。") == ["もう遅い。って彼は言った。"]
+
+
 def test_sentence_edge_cases():
     assert cut(None) == cut("") == cut(" \n　") == []
     assert cut("終わりの印がない") == ["終わりの印がない"]
