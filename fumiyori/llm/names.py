@@ -236,7 +236,9 @@ def _kanji_counts(authors: DataFrame) -> DataFrame:
 def candidate_pairs(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
     """Pairs of distinct forms ``(kind, whole_a, whole_b, key_a, key_b)`` whose keys share a shifted segment.
 
-    ``keyed`` has ``kind, key, whole``. Equal forms need no search and are not paired here.
+    ``keyed`` has ``kind, key, whole``. Equal forms need no search and are not paired here. An exchange
+    of neighbours that lies across a border of segments changes both; for it each border gives one more
+    piece, the whole key with the two characters at the border in order of their code points.
     """
     k = edits
     size = lambda n, s: F.floor((s + 1) * n / (k + 1)) - F.floor(s * n / (k + 1))
@@ -255,6 +257,12 @@ def candidate_pairs(keyed: DataFrame, edits: int = EDITS) -> DataFrame:
         .where("piece <> ''")
     )
     met = probes.join(index, ["kind", "m", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b")
+    bordered = distinct.where(F.col("n") >= 2).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("b", at(F.col("n"), F.col("s")).cast("int")).where("b >= 1")
+    two = [F.substring("key", F.col("b") + i, F.lit(1)) for i in (0, 1)]
+    level = F.concat(F.expr("substring(key, 1, b - 1)"), F.least(*two), F.greatest(*two), F.expr("substring(key, b + 2)"))
+    crossed = bordered.select("kind", "key", "whole", "s", level.alias("piece"))
+    side = lambda x: crossed.select("kind", "s", "piece", F.col("key").alias(f"key_{x}"), F.col("whole").alias(f"whole_{x}"))
+    met = met.unionByName(side("a").join(side("b"), ["kind", "s", "piece"]).where("key_a < key_b").select("kind", "key_a", "whole_a", "key_b", "whole_b"))
     # The built-in distance is banded by its threshold; an exchange of neighbours counts two there.
     # It comes before the duplicates are removed, so only near pairs are shuffled again.
     apart = F.levenshtein("key_a", "key_b", k + 1)

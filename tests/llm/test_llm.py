@@ -206,6 +206,19 @@ def test_names(spark):
     assert not {p for p in got if (p[0] in person) != (p[1] in person) or 6 in p or 13 in p or 16 in p or p[1] > 18 or p == (1, 7)}
 
 
+@pytest.mark.parametrize("key", ["johannes", "edward", "abc", "山川田中", "abcdefghi"])
+def test_exchange_at_every_position_is_a_candidate(spark, key):
+    swapped = {key[:i] + key[i + 1] + key[i] + key[i + 2 :] for i in range(len(key) - 1)} - {key}
+    keyed = spark.createDataFrame([("K", x, x) for x in sorted(swapped | {key})], "kind string, key string, whole string")
+    got = {(r.key_a, r.key_b) for r in names.candidate_pairs(keyed).collect()}
+    assert {(min(key, x), max(key, x)) for x in swapped} <= got
+
+
+def test_exchange_across_the_border_links_names(spark):
+    got = same(spark, [("Benedikt Petreguck", None, 1899, None, None), ("Bendeikt Petreguck", None, 1899, None, None), ("梅川 緑琴", None, 1890, None, None), ("梅緑 川琴", None, 1890, None, None)])
+    assert got == {(1, 2), (3, 4)}
+
+
 def test_names_empty(spark):
     assert same(spark, []) == set()
 
