@@ -10,20 +10,27 @@ from pyspark.sql import functions as F
 from fumiyori.functions import vocabulary as V
 from fumiyori.functions.scoring import is_invalid_candidate
 from fumiyori.functions.text import normalize_place_name, prefecture_of, strip
+from fumiyori.operators.sizing import broadcast_if_small
 
 #: Lengths of substrings by which a name finds the masters that contain it; longer names go by their first characters.
 GRAM = 2
+#: Numbers of first characters by which names are looked up in sentences.
+WIDTHS = (GRAM, 4, 8)
 
 
 def dictionary_candidates(sentences: DataFrame, names: DataFrame, name: str = "display_name", confidence: float = 0.8) -> DataFrame:
     """Occurrences of known names in sentences: ``sentence_id, text, start, end, confidence``.
 
-    Names meet sentences by equality on their first two characters, so no pair of a
-    sentence and a name that it cannot hold is looked at.
+    Names meet sentences by equality on as many of their first characters as a width of
+    ``WIDTHS`` allows, so no pair of a sentence and a name that it cannot hold is looked at. As
+    long as the names are few enough they are broadcast, because every position looks for them.
     """
-    keyed = names.where(F.length(name) >= GRAM).select(F.col(name).alias("text"), F.substring(name, 1, GRAM).alias("gram")).distinct()
-    grams = sentences.where(F.length("sentence_text") >= GRAM).select("sentence_id", "sentence_text", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("sentence_text") - (GRAM - 1)), lambda i: F.substring(F.col("sentence_text"), i, F.lit(GRAM)))).alias("start", "gram"))
-    met = grams.join(keyed, "gram").where(F.substring("sentence_text", F.col("start") + 1, F.length("text")) == F.col("text"))
+    width = F.greatest(*(F.when(F.length(name) >= w, w) for w in WIDTHS))
+    keyed = names.where(F.length(name) >= GRAM).select(F.col(name).alias("text"), F.substring(F.col(name), F.lit(1), width).alias("gram")).distinct()
+    places = sentences.where(F.length("sentence_text") >= GRAM).select("sentence_id", "sentence_text", F.explode(F.sequence(F.lit(0), F.length("sentence_text") - GRAM)).alias("start"))
+    widths = places.select("*", F.explode(F.array(*map(F.lit, WIDTHS))).alias("w")).where(F.col("start") + F.col("w") <= F.length("sentence_text"))
+    grams = widths.select("sentence_id", "sentence_text", "start", F.substring(F.col("sentence_text"), F.col("start") + 1, F.col("w")).alias("gram"))
+    met = grams.join(broadcast_if_small(keyed), "gram").where(F.substring("sentence_text", F.col("start") + 1, F.length("text")) == F.col("text"))
     return met.select("sentence_id", "text", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(confidence).alias("confidence"))
 
 

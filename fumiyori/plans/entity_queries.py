@@ -318,10 +318,10 @@ def pipeline_mentions(t):
     from fumiyori.functions.text import clean_markup
     from fumiyori.plans import pipeline
 
-    texts = spread(t("documents").where("work_id IS NOT NULL").select("doc_id", "work_id", "text")).select("doc_id", "work_id", clean_markup(F.col("text")).alias("text")).where("text <> ''")
+    texts = spread(t("documents").select("doc_id", "text")).select("doc_id", clean_markup(F.col("text")).alias("text")).where("text <> ''")
     cut = pipeline.sentences_of_texts(texts.select(F.col("doc_id").alias("work_id"), "text"))
     sentences = cut.withColumn("sentence_id", F.xxhash64("work_id", "sentence_order"))
-    return pipeline.mentions_of_sentences(sentences, t("place_masters").where("canonical_name IS NOT NULL"), t("place_aliases"))
+    return pipeline.mentions_of_sentences(sentences, t("place_masters"), t("place_aliases"))
 
 
 QUERIES = {k: v for k, v in relation_queries.Q.items() if k not in _BEFORE}
