@@ -32,8 +32,10 @@ from fumiyori.operators.sizing import spread
 EIGHT_BIT = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp874", "iso8859_2", "iso8859_15")
 DOUBLE_BYTE = ("gb18030", "cp932", "euc_jp", "cp949", "big5")
 REALLY = ("utf_8", "cp932", "euc_jp", "gb18030", "cp949", "cp874", "cp1252")
-#: States that one search expands.
-MAX_STATES = 12
+#: States that one search expands, stretches that it tries in each.
+MAX_STATES, MAX_STRETCHES = 12, 30
+#: Sound characters between two stretches that are searched apart.
+GAP = 6
 #: A restoration counts if the changed part loses this share of its cost and this many bits.
 SHARE, BITS = 0.78, 8.0
 #: Bits per character up to which a text counts as sound, which ends a search.
@@ -43,6 +45,7 @@ _GONE = re.compile("[�\x80-\x9f-\U000f0000-\U0010ffff]")
 _JIS = re.compile(r"\x1b?\$[@B]((?:[!-~]{2})+?)\x1b?\([BJ]")
 _JIS_ODD = re.compile(r"\x1b?\$[@B]([!-~]+?)\x1b?\(?[BJ]?\)?(?=\)|$|[^!-~])")
 _ESCAPE = re.compile(r"&(?:#\d{2,7}|#x[0-9a-fA-F]{2,6}|[a-zA-Z]{2,8});|(?:%[0-9A-Fa-f]{2}){2,}|(?:\\u[0-9a-fA-F]{4})+|(?:\\x[0-9a-fA-F]{2})+|(?:=[0-9A-F]{2}){2,}")
+_NARROW = re.compile("[!-~]{0,16}")
 _HALF_KANA = re.compile("[ｦ-ﾟ]+")
 _HALF_WELL = re.compile("(?:[ｳｶ-ﾄﾊ-ﾎ]ﾞ|[ﾊ-ﾎ]ﾟ|[ｱ-ﾜｦﾝ]ｰ*(?:(?<=[ｷｼﾁﾆﾋﾐﾘﾞﾟ])[ｬｭｮ]|(?<=[ｼﾁﾌｳﾃﾂﾞ])[ｧｨｩｪｫ])?|ｯ(?=[ｶ-ﾄﾊ-ﾎﾗ-ﾜ])|ｰ)+$")
 
@@ -194,6 +197,7 @@ def _unescape(match: re.Match) -> str:
 
 # A stretch that an eight-bit reading leaves: its characters, with and without what stands between them.
 _HIGH = "\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™Ѐ-ґ─-▟Α-ωϖⁿ√≈≡≤≥⌠⌡∙ﬁﬂ∂∑∏π∫Ω≠∞◊ıˇ˘˙˚˝˛₧⌐"
+_HIGH_SET = frozenset(re.findall(f"[{_HIGH}]", "".join(map(chr, range(0x80, 0x10000)))))
 _EIGHT = (re.compile(f"[{_HIGH}][{_HIGH} -~]*[{_HIGH}]"), re.compile(f"[{_HIGH}]{{2,}}"), re.compile(f"[{_HIGH}][{_HIGH}!-~]*"))
 
 
@@ -204,7 +208,22 @@ def _stretches(text: str) -> list[tuple[int, int, str]]:
     if odd:
         first, last = odd[0], odd[-1] + 1
         spans += [(max(0, first - a), min(len(text), last + b), "16") for a in (0, 1, 2) for b in (0, 1, 2)]
-    return [s for s in dict.fromkeys(spans) if s[1] - s[0] >= 2 and (s[2] == "16" or (s[0], s[1]) != (0, len(text)))][:30]
+    return [s for s in dict.fromkeys(spans) if s[1] - s[0] >= 2 and (s[2] == "16" or (s[0], s[1]) != (0, len(text)))]
+
+
+def _regions(text: str, gap: int = GAP) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a text that may be damaged, as many as have ``gap`` sound characters between them."""
+    found: list[list[int]] = []
+    for i, c in enumerate(text):
+        if c in _HIGH_SET or char_bits(c)[0] >= 12.0 or 0xFF61 <= ord(c) <= 0xFF9F:
+            if found and i - found[-1][1] <= gap:
+                found[-1][1] = i + 1
+            else:
+                found.append([i, i + 1])
+    parts = [(a, b) for a, b in found if b - a >= 2]
+    if gap:
+        parts = [(a + x, a + y) for a, b in parts for x, y in (_regions(text[a:b], gap // 2) if len(_stretches(text[a:b])) > MAX_STRETCHES else [(0, b - a)])]
+    return parts
 
 
 def _changed(before: str, after: str) -> tuple[str, str]:
@@ -264,8 +283,24 @@ def _is_believable(old: str, new: str, right: str, whole: str) -> bool:
 
 
 def restore(text: str, max_states: int = MAX_STATES) -> str:
-    """The cheapest text that the search reaches."""
-    start = cost(text)
+    """The cheapest text that the search reaches; where its bounds cut it short, every damaged stretch is searched on its own."""
+    best, whole = _search(text, max_states)
+    if whole:
+        return best
+    out, at, regions = [], 0, _regions(best)
+    for (a, b), (following, _) in zip(regions, [*regions[1:], (len(best), 0)], strict=False):
+        # The last byte of a character may read as a narrow sign.
+        b = min(following, _NARROW.match(best, b).end())
+        part, _ = _search(best[a:b], max_states)
+        out += [best[at:a], part if is_better(best[a:b], part) else best[a:b]]
+        at = b
+    joined = "".join([*out, best[at:]])
+    return joined if cost(joined) < cost(best) else best
+
+
+def _search(text: str, max_states: int) -> tuple[str, bool]:
+    """(the cheapest text reached, whether no bound cut the search short)."""
+    start, whole, sound = cost(text), True, False
     best, best_cost = text, start
     queue, seen, order = [(start, 0, text)], {hash(text)}, 0
     while queue and max_states:
@@ -274,7 +309,9 @@ def restore(text: str, max_states: int = MAX_STATES) -> str:
         if here > start:
             break
         reached = list(_steps(state))
-        for a, b, kind in _stretches(state):
+        stretches = _stretches(state)
+        whole = whole and len(stretches) <= MAX_STRETCHES
+        for a, b, kind in stretches[:MAX_STRETCHES]:
             reached += [(state[:a] + part + state[b:], right) for part, right in _steps(state[a:b], kind)]
         for found, right in reached:
             if (key := hash(found)) in seen:
@@ -287,8 +324,9 @@ def restore(text: str, max_states: int = MAX_STATES) -> str:
                 if price < best_cost:
                     best, best_cost = found, price
         if best is not text and best_cost <= SOUND * len(best) and not any(char_bits(c)[0] >= 12.0 for c in best):
+            sound = True
             break
-    return best
+    return best, sound or whole and not (queue and not max_states)
 
 
 def _common_kanji() -> str:

@@ -170,6 +170,21 @@ def test_round_trip_of_wrong_encodings(right, wrong):
     assert damaged and restored >= 0.6 * damaged
 
 
+def test_many_damaged_stretches_are_all_restored():
+    words = "Größe für überall Äußerung möglich schön Brücke Köln Müller Straße können früher Mädchen Vögel Tür".split()
+    for n in (5, 16, 40, 120):
+        sound = " 橋の上で ".join(words[i % len(words)] for i in range(n))
+        bad = " 橋の上で ".join(words[i % len(words)].encode().decode("cp1252", "replace") for i in range(n))
+        if "\ufffd" not in bad:
+            assert mojibake.examine(bad) == (True, sound)
+
+
+def test_damage_after_many_accented_words_is_found():
+    sound = "Où était-il passé, élève à l’été, déjà là, prêt à fêter Noël, même âgé, très gêné, côté forêt, près du château, frère aîné, où l’âme rêvait. " * 3
+    found, back = mojibake.examine(sound + "楢淵洞案内は彼女が編んだ。".encode("cp932").decode("cp1251", "replace"))
+    assert found and mojibake.examine(sound) == (False, None)
+
+
 def test_damage_that_stays():
     assert mojibake.examine("大ノ亀漕��の坂") == (True, None)
     assert mojibake.examine("$B8EK\\20$N<g?M$O?(B")[0] and mojibake.examine("GrÃƒÂ¶Ãƒe im Tal")[0]
