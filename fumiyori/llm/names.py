@@ -316,19 +316,23 @@ def _is_latin(name: str) -> bool:
     return not re.search("[぀-ヿ㐀-鿿]", name)
 
 
-def _components(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """``id, group`` by spreading the smallest id over links until nothing changes."""
+def _components(links: DataFrame) -> DataFrame:
+    """``id, group`` by spreading the smallest id over links until nothing changes.
+
+    What a row hears goes to its group's row too, and every row then takes its group's group, so the
+    rounds grow with the logarithm of a chain's length.
+    """
     both = cut_lineage(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
     labels = cut_lineage(both.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("group")))
-    while rounds:
-        rounds -= 1
-        spread = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("group").alias("heard"))
-        after = cut_lineage(labels.join(spread, "id", "left").select("id", F.least("group", "heard").alias("group"), (F.col("heard") < F.col("group")).alias("moved")))
-        changed = after.where("moved").limit(1).count()
+    while True:
+        heard = labels.join(both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("group").alias("heard")), "id")
+        offers = heard.select("id", F.least("group", "heard").alias("group")).unionByName(heard.select(F.col("group").alias("id"), F.least("group", "heard").alias("group")))
+        told = offers.groupBy("id").agg(F.min("group").alias("told"))
+        jumped = told.join(told.select(F.col("id").alias("told"), F.col("told").alias("next")), "told").select("id", F.least("told", "next").alias("now"))
+        after = cut_lineage(labels.join(jumped, "id").select("id", F.col("now").alias("group"), (F.col("now") < F.col("group")).alias("moved")))
         labels = after.select("id", "group")
-        if not changed:
-            break
-    return labels
+        if not after.where("moved").limit(1).count():
+            return labels
 
 
 def same_names(authors: DataFrame) -> DataFrame:

@@ -234,6 +234,14 @@ def test_exchange_across_the_border_links_names(spark):
     assert got == {(1, 2), (3, 4)}
 
 
+def test_long_chains_are_one_group(spark):
+    random.seed(4)
+    ids = random.sample(range(1000), 60)
+    chain = [*zip(ids, ids[1:]), (2001, 2000), (3000, 3001), (3001, 3002)]
+    got = {r.id: r.group for r in names._components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys((2000, 2001), 2000) | dict.fromkeys((3000, 3001, 3002), 3000)
+
+
 def test_names_empty(spark):
     assert same(spark, []) == set()
 
