@@ -18,14 +18,15 @@ def context_windows(sentences: DataFrame, reach: int = 2) -> DataFrame:
     """``sentence_id, context_before, context_after``: texts of the neighbours by order value, null if none.
 
     A work is cut into blocks of order values; rows near a border are also given to the block
-    beyond it as neighbours. A sentence without an order has no neighbours.
+    beyond it as neighbours. A sentence without an order has no neighbours. Texts at one place
+    are joined in the order of their ids.
     """
     place = F.col("sentence_order").cast("long")
     at = lambda o: F.floor(o / BLOCK)
     blocks = F.when(place.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(at(place), at(place - reach), at(place + reach))))
     rows = sentences.select("sentence_id", "work_id", "sentence_text", place.alias("_o"), F.explode(blocks).alias("_block"))
     order = Window.partitionBy("work_id", "_block").orderBy("_o")
-    joined = lambda a, b: F.when(F.col("_o").isNotNull(), F.nullif(F.concat_ws("", F.collect_list("sentence_text").over(order.rangeBetween(a, b))), F.lit("")))
+    joined = lambda a, b: F.when(F.col("_o").isNotNull(), F.nullif(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_o", "sentence_id", "sentence_text")).over(order.rangeBetween(a, b))), lambda x: x["sentence_text"])), F.lit("")))
     found = rows.select("sentence_id", "_o", "_block", joined(-reach, -1).alias("context_before"), joined(1, reach).alias("context_after"))
     return found.where(F.col("_o").isNull() | (F.col("_block") == at(F.col("_o")))).drop("_o", "_block")
 

@@ -250,3 +250,11 @@ def test_blocks_do_not_change_windows(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 2)
     assert (sorted(map(str, R.context_windows(s).collect())), sorted(map(tuple, R.sentence_positions(s).collect()))) == whole
     assert R.context_windows(s.where("false")).count() == R.sentence_positions(s.where("false")).count() == 0
+
+
+def test_contexts_of_equal_places_follow_the_ids(spark):
+    from fumiyori.operators.relations import context_windows
+
+    rows = [(9, 1, 1, "a"), (2, 1, 1, "b"), (5, 1, 2, "c"), (7, 1, 3, "e"), (3, 1, 3, "d"), (4, 1, None, "x")]
+    got = {r.sentence_id: (r.context_before, r.context_after) for r in context_windows(spark.createDataFrame(rows, "sentence_id long, work_id long, sentence_order int, sentence_text string")).collect()}
+    assert got == {9: (None, "cde"), 2: (None, "cde"), 5: ("ba", "de"), 7: ("bac", None), 3: ("bac", None), 4: (None, None)}
