@@ -18,8 +18,8 @@ Defined results
   the length of the reference. Of equally close places the one with the lowest
   ``master_id`` is taken.
 * Repeated rows each get their own result row; empty tables give no rows; further
-  columns are not read. Texts longer than :data:`MAX_TEXT` characters cannot be within
-  reach of a name and are unmatched without comparison (the longest name bounds this).
+  columns are not read. Equality holds for texts of every length; what is left is compared
+  only if its core is at most ``k`` characters longer than a name.
 """
 
 from __future__ import annotations
@@ -45,8 +45,6 @@ ABBREVIATIONS = [
     (r"\b(st|str)$", "street"), (r"\bpt\b", "port"), (r"\bp\b(?= )", "port"), (r"\b(sta|stn)$", "station"), (r"\b(hbr|harb|hrbr|harbor|harbr)$", "harbour"), (r"\b(cstl|cast|ctl)$", "castle"),
 ]
 
-#: The longest text worth comparing: no name of the list is nearly as long.
-MAX_TEXT = 120
 #: Shift allowed on each side for affixes that the forms do not know.
 EDITS = "CASE WHEN {n} <= 5 THEN 2 WHEN {n} <= 11 THEN 2 ELSE 3 END"
 
@@ -136,7 +134,7 @@ def match_places(mentions: DataFrame, aliases: DataFrame, masters: DataFrame) ->
     texts = cut_lineage(sql(
         f"""
         SELECT text, form, explode({shapes_sql('c')}) AS core
-        FROM (SELECT *, {core_sql('form')} AS c FROM (SELECT text, {consistent_sql('text')} AS form FROM (SELECT DISTINCT text FROM {{w}} WHERE text IS NOT NULL AND length(text) <= {MAX_TEXT})))
+        FROM (SELECT *, {core_sql('form')} AS c FROM (SELECT text, {consistent_sql('text')} AS form FROM (SELECT DISTINCT text FROM {{w}} WHERE text IS NOT NULL)))
         """,
         w=wanted,
     ))

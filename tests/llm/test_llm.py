@@ -92,6 +92,13 @@ def test_canonical_places(spark):
     assert got == {("sentence_places", i): m for i, (_, m) in texts.items()} | {("place_aliases", 2): 3}
 
 
+def test_canonical_places_of_long_texts(spark):
+    name = "ab cd " * 40 + "ef"
+    texts = {1: ("楢淵洞駅" + "\u200b" * 200, 1), 2: (name, 9), 3: (name.replace("ef", "eg"), 9), 4: ("【" * 200 + "楢淵洞" + "】" * 200, 1), 5: ("yz" * 300, -1)}
+    got = places(spark, [(i, None, t, "n") for i, (t, _) in texts.items()], [], [*MASTERS, (9, name, name, name)])
+    assert got == {("sentence_places", i): m for i, (_, m) in texts.items()}
+
+
 def test_canonical_places_empty(spark):
     assert places(spark, []) == {} and places(spark, [(1, None, "楢淵洞", "n")]) == {("sentence_places", 1): -1}
 
