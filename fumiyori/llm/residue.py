@@ -1,19 +1,25 @@
 """Template residue and error-page text (problem 10).
 
-Labelled exemplars of residue are kept in an inverted index of their terms (words of spaced
-scripts, character pairs of spaceless ones, one term for every placeholder). Passage windows
-of a document (its lines and the sentences in them) retrieve the exemplars that share their
-rarer terms; a window is residue if its TF-IDF mass is mostly contained in an exemplar and
-most of the exemplar is there. Beside whole windows, runs of terms inside a window are held
-against the exemplars, so residue glued to other text is found, and every placeholder is
-judged by the words around it: it is residue unless they speak of it. Documents with such a
-window come out.
-
-Inverse document frequencies of the exemplars' terms are counted over all windows of all
-documents; a term that no exemplar has weighs as much as their average one.
-
-Defined results: null, empty and blank texts have no window and are no cases; repeated
-documents each come out; texts of any length are covered window by window.
+Labelled exemplars of residue, phrases of a few terms (:mod:`fumiyori.llm.exemplars`), are kept
+in an inverted index. Terms are words of spaced scripts, character pairs of spaceless ones,
+status codes, and one sign for every placeholder. Passages are the sentences of a document's
+lines. Only an exemplar's rarer terms are posted: as a passage must hold most of the
+exemplar's terms, it must hold one of these, so nothing is missed by posting no others.
+
+A retrieved exemplar *matches* where a window of the passage, hardly wider than the exemplar,
+contains :data:`EXEMPLAR_SHARE` of its TF-IDF mass. The passage is residue
+
+* if terms of that label, or of what goes with notices, make up :data:`WINDOW_SHARE` of it; or
+* if the exemplar is nothing that ordinary text says, it stands at an end of the passage or is
+  long, and nothing around it speaks of it as a notice (exemplars of such speech are indexed too).
+
+A placeholder counts unless the words around it speak of placeholders; a run of words of blind
+text counts anywhere. Document frequencies are counted over all passages of all documents, in
+the same pass that retrieves the candidates.
+
+Defined results: null, empty and blank texts have no passage and are no cases; repeated
+documents each come out; texts of any length are covered passage by passage. ``window`` is the
+passage in the form it is compared in (narrow, lower case, placeholders as one sign).
 """
 
 from __future__ import annotations
@@ -23,345 +29,259 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fumiyori.llm import exemplars as E
 from fumiyori.llm.frames import frame
 from fumiyori.operators.sizing import spread
-
-#: Share of a window's mass in the exemplar, and of the exemplar's in the window, that make a match.
-WINDOW_SHARE, EXEMPLAR_SHARE = 0.8, 0.6
-#: Share of an exemplar in a run of terms inside a window; terms of the shortest exemplar sought so; of one sought at any place, not only first or last.
-RUN_SHARE, RUN_TERMS, FREE_TERMS = 0.85, 3, 7
-#: Characters on each side of a placeholder or run that tell whether it is spoken of.
-AROUND = 60
-
-# Exemplars by label, "§" for a placeholder.
-EXEMPLARS = {
-    "placeholder": """
-作品名：§
-著者名：§
-発表年：§
-§さんの「§」を読む（§）
-§ の『§』は § に発表された。
-§ by § was first printed in §.
-Dear reader of §, § was set in §.
-Title: §
-Author: §
-Year: §
-§
-§ §
-§年§月§日
-こんにちは、§さん
-Dear §,
-Hello §, welcome to §
-""",
-    "filler": """
-Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi
-Blindtext. Hier steht später der richtige Text.
-Blindtext.
-Hier steht später der richtige Text.
-Placeholder paragraph for layout purposes only.
-여기에 내용을 입력하세요.
-Text to follow.
-Insert text here.
-Your content goes here.
-此处为示例文字。
-此处为示例文字。此处为示例文字。
-Texte provisoire à remplacer.
-TODO: write this section.
-本文が入ります本文が入ります
-ここにテキストが入ります。
-ここにテキストが入ります。ここにテキストが入ります。
-ここに本文が入ります。
-テキストテキストテキスト
-テストテスト テストテスト
-説明文説明文説明文
-サンプルテキスト。サンプルテキスト。
-サンプルテキスト。
-この文章はダミーです。文字の大きさ、量、字間、行間等を確認するために入れています。
-この文章はダミーです。
-文字の大きさ、量、字間、行間等を確認するために入れています。
-ダミーテキスト。ダミーテキスト。
-asdf asdf jkl;
-test test test
-aaa bbb ccc
-xxxxx xxxxx
-あああああ いいいいい
-ああああああああああ
-""",
-    "announcement": """
-準備中です。後日公開予定です。
-準備中です。
-後日公開予定です。
-近日公開予定です。
-本文は準備中です。
-Coming soon.
-Coming soon. Coming soon.
-This page is under construction.
-Demnächst hier.
-Bientôt disponible.
-即将推出。
-준비 중입니다.
-""",
-    "error": """
-404 Not Found
-The requested URL /cards/404/ was not found on this server.
-Not Found. The requested URL was not found on this server.
-500 Internal Server Error
-502 Bad Gateway
-504 Gateway Time-out
-The upstream did not answer in time.
-503 Service Unavailable
-Service Unavailable. The server is temporarily unable to service your request.
-Service Unavailable.
-The server is temporarily unable to service your request.
-403 Forbidden
-Erreur : la page demandée est introuvable.
-Fehler 404: Die angeforderte Seite wurde nicht gefunden.
-お探しのページは移動または削除された可能性があります。トップへ戻る
-お探しのページは移動または削除された可能性があります。
-お探しのページは見つかりませんでした。
-ページが見つかりません。
-java.lang.NullPointerException
-at reader.Page.text(Page.java:12)
-Traceback (most recent call last):
-File "render.py", line 12, in body
-KeyError: 'text'
-Fatal error: Allowed memory size of 12 bytes exhausted in view.php on line 12
-Warning: query failed: too many connections (errno 12)
-エラーが発生しました。
-サーバーエラーが発生しました。
-页面不存在。
-요청하신 페이지를 찾을 수 없습니다.
-""",
-    "access": """
-ただいまアクセスが集中しております。しばらく時間をおいてから再度お試しください。
-ただいまアクセスが集中しております。
-しばらく時間をおいてから再度お試しください。
-お使いのセッションは有効期限が切れました。再度ログインしてください。
-お使いのセッションは有効期限が切れました。
-再度ログインしてください。
-システムメンテナンス中のため、現在ご利用いただけません。
-Please complete the captcha to continue.
-Access denied. You do not have permission to view this document.
-Access denied.
-You do not have permission to view this document.
-認証に失敗しました（エラーコード：E-12）
-認証に失敗しました。
-Please log in to continue.
-ログインしてください。
-The site is down for maintenance. Please try again later.
-Diese Seite wird gerade gewartet.
-로그인이 필요합니다.
-请先登录。
-""",
-    "script": """
-このページを表示するにはJavaScriptを有効にしてください。
-お使いのブラウザではスクリプトが無効になっています。設定を変更してください。
-お使いのブラウザではスクリプトが無効になっています。
-You need to enable JavaScript to run this app.
-Please turn on JavaScript in your browser and reload the page.
-Cookies and scripts are required to view the text.
-noscript: this reader works only with scripts switched on
-Loading… If nothing appears, check that scripts are allowed for this site.
-If nothing appears, check that scripts are allowed for this site.
-Veuillez activer JavaScript pour afficher ce contenu.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
-请启用脚本后重新加载本页。
-자바스크립트를 활성화해 주세요.
-""",
-}
-
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*"
-_SLOT = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|[$#]\{{\s*{_NAME}\s*\}}|%%\s*{_NAME}\s*%%|@@\s*{_NAME}\s*@@|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>"
-    r"|__[A-Za-z][A-Za-z0-9_.]*?__|\[[A-Z]{2,}(?:_[A-Z]+)*\]|<[A-Z]{2,}(?:_[A-Z]+)*>|%[A-Z]{2,}(?:_[A-Z]+)*%|｛[^｛｝\n]{1,20}｝|【[^【】\n]*(?:入力|入れて|未設定|挿入|記入)[^【】\n]*】"
-)
-# Brackets that ordinary text has too hold a placeholder beyond the exemplars only with the name of a field.
-_STRONG = re.compile(r"\{\{|[$#]\{|%%|@@|<%|\{%|【")
-_FIELD = re.compile(r"(?i)(?<![a-z])(?:title|name|author|year|date|month|day|place|city|country|address|email|phone|user|summary|body|text|content|id|number|kana|work|card|item|publisher|price|url)(?![a-z])|名|年|月日|日付|本文|題|著者|作者|住所|番号|概要|項目|内容")
-# Words near a placeholder or notice that speak of it as such; words that report a notice as said, read or written.
-_SPOKEN = re.compile(
-    r"(?i)\b(?:explain(?:s|ed) (?:that|how|why)|templat|placeholder|variable|syntax|notation|braces?\b|brackets?\b|literal|(?:began|begins|starts|ended|ends) with|stands for|Platzhalter|Vorlage|Klammer|gabarit|accolade)"
-    r"|記法|記号|変数|雛形|ひな形|ひな型|テンプレート|プレースホルダ|置き換|差し込み|括弧|占位|模板|括号|변수|템플릿|괄호"
-)
-_REPORTED = re.compile(
-    r"(?i)\b(?:called|mean[st]|printers|essay|dictionary|phrase|the words?|the text|the message|messages? like|said|says|reads?\b|sign\b|wrote|written|typed|quot|hieß|Schild|écrit|intitulé)"
-    r"|と書|と呼|と記|という|といふ|と表示|と言|と云|と刷|と読め|解説|説明し|随筆|貼り紙|看板|の札|所谓|写着|라고"
-)
-_QUOTED = re.compile(r"[「『“„«\"‘‹]\s*$"), re.compile(r"^\s*[.。]?[」』”»\"’›]")
-_STATUS = re.compile(r"(?<![\d.])(?:400 Bad Request|401 Unauthorized|403 Forbidden|404 Not Found|408 Request Time-?out|429 Too Many Requests|500 Internal Server Error|502 Bad Gateway|503 Service (?:Temporarily )?Unavailable|504 Gateway Time-?out)(?![a-z])", re.I)
+from fumiyori.session import cut_lineage
+
+#: Share of a passage's mass that the label's terms must hold, and of an exemplar's mass that a window must.
+WINDOW_SHARE, EXEMPLAR_SHARE = 0.8, 0.85
+#: Terms of the shortest exemplar that counts beside other text, and of one that counts amid it.
+EDGE_TERMS, AMID_TERMS = 3, 7
+#: Terms of the passage window that is held against a vocabulary of blind text.
+BLIND_TERMS = 4
+
+_SLOT = re.compile(r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|%%\s*[\w.]+\s*%%|@@\s*[\w.]+\s*@@|<%[^%<>\n]+%>|\{%[^%{}\n]+%\}")
+_WEAK_SLOT = re.compile(r"\[\[([^\[\]\n]+)\]\]|<<([^<>\n]+)>>|__([A-Za-z][A-Za-z0-9_.]*?)__|\[(?![＃#])([^\[\]\n]+)\]|<([A-Z]{2,}(?:_[A-Z]+)*|[a-z]+[_ ][a-z_ ]+)>|%([A-Z]{2,}(?:_[A-Z]+)*)%|｛([^｛｝\n]+)｝|\{([A-Za-z_][\w. ]*)\}")
+_ASKING = re.compile(r"【([^【】\n]*)】")
 _BREAK = re.compile(r"[\r\n\u0085  \x0b\x0c]+")
-_END = re.compile(r"(?<=[。！？!?])|(?<=[.])(?=\s)")
-_TERM = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿]+|\d+|[぀-ヿ㐀-鿿豈-﫿]+|§")
-_FOLDED = re.compile("[­͏​-‏⁠﻿︀-️]")
+_END = re.compile(r"(?<=[。!?])|(?<=[.])(?=\s)")
+_TERM = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿]+|\d+|[぀-ヿ㐀-鿿豈-﫿]+|[§¤¢]|#\d{3}(?!\d)")
+_HIDDEN = re.compile("[­͏​-‏⁠﻿︀-️]")
+_STATUS = frozenset("400 401 403 404 405 408 410 429 500 501 502 503 504".split())
+_OPEN, _CLOSE = "「『“„«‹", "」』”»›"
+
+
+def folded(text: str) -> str:
+    """The form in which texts are compared; placeholders become one sign, doubtful brackets another before their words."""
+    text = text.replace("§", " ").replace("¤", " ").replace("¢", " ")
+    if "{" in text or "%" in text or "@@" in text or "<" in text or "[" in text or "__" in text or "｛" in text or "【" in text:
+        text = _SLOT.sub(" § ", text)
+        text = _WEAK_SLOT.sub(lambda m: " ¤ " + m.group(m.lastindex).replace("_", " ") + " ", text)
+        text = _ASKING.sub(r" ¢ \1 ", text)
+    return unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).casefold()
+
+
+def placed_terms(passage: str) -> Iterator[tuple[str, int, int]]:
+    """The terms of a folded passage in order, with their places."""
+    for m in _TERM.finditer(passage):
+        token, at = m.group(), m.start()
+        if token[0].isdigit():
+            yield ("#" + token if token in _STATUS else "0"), at, m.end()
+        elif len(token) == 1 or token[0] == "#" or not ("぀" <= token[0] <= "鿿" or "豈" <= token[0] <= "﫿"):
+            yield token, at, m.end()
+        else:
+            for i in range(len(token) - 1):
+                yield token[i : i + 2], at + i, at + i + 2
 
 
-def _is_spoken(line: str, start: int, end: int) -> bool:
-    """Whether the words around a notice in a line speak of it or report it, or it stands in quotation marks."""
-    before, after = line[max(0, start - AROUND) : start], line[end : end + AROUND]
-    return bool(any(words.search(x) for words in (_SPOKEN, _REPORTED) for x in (before, after)) or _QUOTED[0].search(before) and _QUOTED[1].search(after))
+def terms(passage: str) -> Counter[str]:
+    """Term frequencies of a folded passage."""
+    return Counter(t for t, _, _ in placed_terms(passage))
 
 
-def open_slots(text: str | None) -> Iterator[str]:
-    """Sentences with an unfilled placeholder that nothing in them speaks of."""
-    if not text or not _SLOT.search(text):
-        return
-    for line in _BREAK.split(text):
-        for part in _END.split(line) if _SLOT.search(line) else ():
-            for m in _SLOT.finditer(part):
-                if (_STRONG.match(m.group()) or _FIELD.search(m.group().replace("_", " "))) and not _SPOKEN.search(part[max(0, m.start() - AROUND) : m.start()] + " " + part[m.end() : m.end() + AROUND]):
-                    yield _SLOT.sub("§", part.replace("§", " ")).strip()
-                    break
+def term_set(passage: str) -> set[str]:
+    """The distinct terms of a folded passage."""
+    held: set[str] = set()
+    for token in _TERM.findall(passage):
+        if token[0].isdigit():
+            held.add("#" + token if token in _STATUS else "0")
+        elif len(token) == 1 or token[0] == "#" or not ("぀" <= token[0] <= "鿿" or "豈" <= token[0] <= "﫿"):
+            held.add(token)
+        else:
+            held.update(map(add, token, token[1:]))
+    return held
 
 
-def windows(text: str | None) -> Iterator[str]:
-    """Lines, and the sentences of lines that hold several; placeholders become one sign."""
+def passages(text: str | None) -> Iterator[tuple[str, bool]]:
+    """The sentences of a text's lines in the form compared, and whether they begin within a quotation."""
     if not text:
         return
-    for line in _BREAK.split(_SLOT.sub("§", text.replace("§", " "))):
-        line = line.strip()
-        if line:
-            yield line
-            parts = [p for p in map(str.strip, _END.split(line)) if p]
-            if len(parts) > 1:
-                yield from parts
+    for line in _BREAK.split(folded(text)):
+        depth = 0
+        for part in _END.split(line):
+            if bare := part.strip():
+                yield bare, depth > 0
+            depth = max(0, depth + sum(part.count(c) for c in _OPEN) - sum(part.count(c) for c in _CLOSE))
 
 
-def _folded(window: str) -> str:
-    return unicodedata.normalize("NFKC", _FOLDED.sub("", window)).casefold()
-
-
-def placed_terms(folded: str) -> Iterator[tuple[str, int, int]]:
-    """The terms of a folded window in order, with their places."""
-    for m in _TERM.finditer(folded):
-        token, at = m.group(), m.start()
-        if token[0].isdigit():
-            yield "0", at, m.end()
-        elif token == "§" or len(token) == 1 or not ("぀" <= token[0] <= "鿿" or "豈" <= token[0]):
-            yield token, at, m.end()
-        else:
-            for i in range(len(token) - 1):
-                yield token[i : i + 2], at + i, at + i + 2
-
-
-def terms(window: str) -> Counter[str]:
-    """Term frequencies of a window."""
-    return Counter(t for t, _, _ in placed_terms(_folded(window)))
+def _within_quotation(passage: str, start: int, end: int) -> bool:
+    """Whether a quotation of the passage, with words outside it, holds what lies between two places."""
+    before, after = passage[:start], passage[end:]
+    opened = max(map(before.rfind, _OPEN))
+    if opened > max(map(before.rfind, _CLOSE)):
+        closed = min((i for i in map(after.find, _CLOSE) if i >= 0), default=-1)
+    else:
+        opened, closed = (before.rfind('"'), after.find('"')) if before.count('"') % 2 else (-1, -1)
+    return opened >= 0 and closed >= 0 and bool(_TERM.search(before[:opened]) or _TERM.search(after[closed:]))
 
 
 class ResidueIndex:
-    """The inverted index of the exemplars."""
+    """The inverted index of exemplars: of residue, and of speech about it."""
 
-    def __init__(self, exemplars: dict[str, str] | None = None):
+    def __init__(self, patterns: dict[str, str] | None = None):
         self.labels: list[str] = []
+        self.sure: list[bool] = []
         self.exemplars: list[Counter[str]] = []
-        for label, block in (exemplars or EXEMPLARS).items():
-            for line in filter(None, map(str.strip, block.splitlines())):
-                self.labels.append(label)
-                self.exemplars.append(terms(line))
+        self.vocabulary: dict[str, set[str]] = {}
+        around = set(terms(" \n".join(E.FURNITURE.split())))
+        seen = set()
+        for label, block in (patterns or E.PATTERNS).items():
+            known = self.vocabulary.setdefault(label, set(around))
+            phrases = [p for line in filter(None, map(str.strip, block.splitlines())) for p in E.expanded(line)]
+            if label == "placeholder":
+                phrases += [f"¤ {field}" for field in E.FIELDS] + [f"¢ {word}" for word in ("入力", "入れて", "未設定", "挿入", "記入", "未定")]
+            for phrase in phrases:
+                held = terms(phrase.lstrip("~").casefold())
+                key = (label, phrase[0] != "~", frozenset(held.items()))
+                if held and key not in seen:
+                    seen.add(key)
+                    self.labels.append(label)
+                    self.sure.append(phrase[0] != "~")
+                    self.exemplars.append(held)
+                    known.update(held)
+        shared = Counter(t for e in self.exemplars for t in e)
+        common = around - {"javascript"}
         self.postings: dict[str, list[int]] = {}
         for k, exemplar in enumerate(self.exemplars):
-            for term in exemplar:
+            rare_first = sorted(exemplar, key=lambda t: (t in common, shared[t], t))
+            for term in rare_first[: len(exemplar) - self.most(exemplar) + 1]:
                 self.postings.setdefault(term, []).append(k)
+        self.posted, self.least = frozenset(self.postings), list(map(self.most, self.exemplars))
+        self.blind = {label: frozenset(w.casefold() for w in words) for label, words in E.VOCABULARIES.items()}
+        self.spoken = {kind: [frozenset(terms(p)) for line in filter(None, map(str.strip, block.splitlines())) for p in E.expanded(line)] for kind, block in E.MENTIONS.items()}
+        self.terms = frozenset(shared) | around
         self.weigh({}, 0)
 
-    def weigh(self, frequencies: dict[str, int], n_windows: int) -> None:
-        """Sets the terms' weights from the numbers of windows that hold them."""
-        self.weight = {t: math.log((n_windows + 2) / (frequencies.get(t, 0) + 1)) if n_windows else 1.0 for t in self.postings}
-        self.weight = {t: max(w, 0.1) for t, w in self.weight.items()}
+    @staticmethod
+    def most(exemplar: Counter[str]) -> int:
+        """Distinct terms that are more than half of an exemplar's."""
+        return len(exemplar) // 2 + 1
+
+    def weigh(self, frequencies: dict[str, int], n_passages: int) -> None:
+        """Sets the terms' weights from the numbers of passages that hold them; an unknown term weighs as much as the average."""
+        self.weight = {t: max(0.1, math.log((n_passages + 2) / (frequencies.get(t, 0) + 1))) if n_passages else 1.0 for t in self.terms}
         self.other = sum(self.weight.values()) / max(1, len(self.weight))
-        self.mass = [sum(self.weight[t] for t in e) for e in self.exemplars]
-
-    def match(self, window: str) -> str | None:
-        """The label of the exemplar that the window repeats, if any."""
-        held = terms(window)
-        known = [t for t in held if t in self.postings]
-        if not known:
-            return None
+        self.mass = [sum(n * self.weight[t] for t, n in e.items()) for e in self.exemplars]
+
+    def retrieve(self, held: set[str]) -> list[int]:
+        """Exemplars most of whose terms a passage holds."""
+        near: set[int] = set()
+        for t in held & self.posted:
+            near.update(self.postings[t])
+        return [k for k in near if len(held & self.exemplars[k].keys()) >= self.least[k]]
+
+    def is_candidate(self, held: set[str]) -> bool:
+        return any(len(held & words) >= BLIND_TERMS for words in self.blind.values()) or bool(self.retrieve(held))
+
+    def match(self, passage: str, quoted: bool = False) -> str | None:
+        """The label of the residue in a folded passage, if any."""
+        row = list(placed_terms(passage))
+        held = Counter(t for t, _, _ in row)
+        for label, words in self.blind.items():
+            if any(all(t in words for t, _, _ in row[i : i + BLIND_TERMS]) for i in range(len(row) - BLIND_TERMS + 1)):
+                return label
+        near = sorted(self.retrieve(set(held)), key=lambda k: -self.mass[k])
         total = sum(n * self.weight.get(t, self.other) for t, n in held.items())
-        if sum(held[t] * self.weight[t] for t in known) < WINDOW_SHARE * total:
-            return self.inside(window, known)
-        shared: dict[int, float] = {}
-        covered: dict[int, float] = {}
-        for term in known:
-            w = self.weight[term]
-            for k in self.postings[term]:
-                shared[k] = shared.get(k, 0.0) + held[term] * w
-                covered[k] = covered.get(k, 0.0) + w
-        for k, mass in shared.items():
-            need = 0.25 if len(self.exemplars[k]) > 20 and self.labels[k] == "filler" else EXEMPLAR_SHARE
-            if mass >= WINDOW_SHARE * total and covered[k] >= need * self.mass[k]:
-                return self.labels[k]
-        return self.inside(window, known)
-
-    def inside(self, window: str, known: list[str]) -> str | None:
-        """The label of an exemplar that a run of terms inside the window repeats, unless it is spoken of."""
-        if m := _STATUS.search(window):
-            if not _is_spoken(window, *m.span()):
-                return "error"
-        if len(known) < RUN_TERMS:
-            return None
-        covered: dict[int, float] = {}
-        for term in known:
-            for k in self.postings[term]:
-                covered[k] = covered.get(k, 0.0) + self.weight[term]
-        near = [k for k, mass in covered.items() if mass >= RUN_SHARE * self.mass[k] and len(self.exemplars[k]) >= RUN_TERMS and self.labels[k] != "placeholder"]
-        if not near:
-            return None
-        folded = _folded(window)
-        row = list(placed_terms(folded))
+        covered: dict[str, bool] = {}
         for k in near:
-            exemplar = self.exemplars[k]
-            width = sum(exemplar.values())
-            last, past = len(row) - width, 0
-            for at in range(last + 1) if len(exemplar) >= FREE_TERMS else sorted({0, last}) if last >= 0 else ():
-                if at < past or row[at][0] not in exemplar:
-                    continue
-                run = Counter(t for t, _, _ in row[at : at + width])
-                both = sum(min(n, exemplar[t]) * self.weight[t] for t, n in run.items() if t in exemplar)
-                if both >= RUN_SHARE * sum(n * self.weight[t] for t, n in exemplar.items()):
-                    if not _is_spoken(folded, row[at][1], row[at + width - 1][2]):
-                        return self.labels[k]
-                    past = at + width
+            label, exemplar = self.labels[k], self.exemplars[k]
+            if label not in covered:
+                covered[label] = sum(n * self.weight.get(t, self.other) for t, n in held.items() if t in self.vocabulary[label]) >= WINDOW_SHARE * total
+            if not (covered[label] and not quoted or self.sure[k]):
+                continue
+            if sum(min(n, held[t]) * self.weight[t] for t, n in exemplar.items()) < EXEMPLAR_SHARE * self.mass[k]:
+                continue
+            for first, last in self._runs(row, k):
+                if label == "placeholder":
+                    if not self._spoken_of(row, first, last, ("placeholder",)):
+                        return label
+                elif not quoted and not _within_quotation(passage, row[first][1], row[last][2]) and (covered[label] or self._stands_out(row, k, first, last)):
+                    return label
         return None
 
-
-def _count(index: ResidueIndex, documents: DataFrame) -> tuple[dict[str, int], int]:
-    """Numbers of windows by exemplar term, over all documents; the result is as small as the exemplars."""
-    vocabulary = frozenset(index.postings)
+    def _runs(self, row: list[tuple[str, int, int]], k: int) -> Iterator[tuple[int, int]]:
+        """(first, last term) of the windows that contain an exemplar."""
+        exemplar = self.exemplars[k]
+        n = sum(exemplar.values())
+        width, past = n + max(1, n // 4), 0
+        for at, (term, _, _) in enumerate(row):
+            if at >= past and term in exemplar:
+                left, mass = dict(exemplar), 0.0
+                for last in range(at, min(len(row), at + width)):
+                    if left.get(row[last][0], 0) > 0:
+                        left[row[last][0]] -= 1
+                        mass += self.weight[row[last][0]]
+                        if mass >= EXEMPLAR_SHARE * self.mass[k]:
+                            while last + 1 < len(row) and left.get(row[last + 1][0], 0) > 0:
+                                last += 1
+                                left[row[last][0]] -= 1
+                            yield at, last
+                            past = last + 1
+                            break
+
+    def _stands_out(self, row: list[tuple[str, int, int]], k: int, first: int, last: int) -> bool:
+        """Whether a run is a notice beside other text: long or at an end, and not spoken of."""
+        n = sum(self.exemplars[k].values())
+        if not self.sure[k] or n < EDGE_TERMS:
+            return False
+        known, a, b = self.vocabulary[self.labels[k]], first, last
+        while a > 0 and row[a - 1][0] in known:
+            a -= 1
+        while b + 1 < len(row) and row[b + 1][0] in known:
+            b += 1
+        if n < AMID_TERMS and a > 0 and b + 1 < len(row):
+            return False
+        return not self._spoken_of(row, first, last, ("placeholder", "notice"))
+
+    def _spoken_of(self, row: list[tuple[str, int, int]], first: int, last: int, kinds: tuple[str, ...]) -> bool:
+        rest = {t for t, _, _ in row[:first]} | {t for t, _, _ in row[last + 1 :]}
+        return any(mention <= rest for kind in kinds for mention in self.spoken[kind])
+
+
+def _candidates(index: ResidueIndex, documents: DataFrame) -> DataFrame:
+    """``doc_id, passage, quoted`` of the retrieved passages, and rows ``term, n`` of passage counts, in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[str] = Counter()
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                for window in windows(text):
-                    found[""] += 1
-                    found.update(vocabulary.intersection(terms(window)))
-        if found:
-            yield frame(["term", "n"], list(found.items()))
+            rows = []
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                for passage, quoted in passages(text):
+                    held = term_set(passage)
+                    counts[""] += 1
+                    counts.update(held & index.terms)
+                    if index.is_candidate(held):
+                        rows.append((doc, passage, quoted, None, None))
+            if rows:
+                yield frame(["doc_id", "passage", "quoted", "term", "n"], rows)
+        if counts:
+            yield frame(["doc_id", "passage", "quoted", "term", "n"], [(None, None, None, t, n) for t, n in counts.items()])
 
-    rows = spread(documents.select("text").where("text <> ''")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r.term: r.n for r in rows}
-    return counts, counts.pop("", 0)
+    rows = documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut_lineage(spread(rows).mapInPandas(run, "doc_id long, passage string, quoted boolean, term string, n long"))
 
 
-def residue_windows(documents: DataFrame, exemplars: dict[str, str] | None = None) -> DataFrame:
-    """``doc_id, label, window`` of every window of residue."""
-    index = ResidueIndex(exemplars)
-    index.weigh(*_count(index, documents))
+def residue_windows(documents: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, label, window`` of every passage of residue."""
+    index = ResidueIndex(patterns)
+    found = _candidates(index, documents)
+    # One row a term of the exemplars.
+    counts = {r.term: r.n for r in found.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    index.weigh(counts, counts.pop("", 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label_of = lru_cache(maxsize=50_000)(index.match)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                found = [(doc, label, w) for w in windows(text) if (label := index.match(w))]
-                known = {w for _, _, w in found}
-                rows += found + [(doc, "placeholder", w) for w in open_slots(text) if w not in known]
+            rows = [(doc, label, p) for doc, p, q in zip(batch["doc_id"].tolist(), batch["passage"], batch["quoted"].tolist(), strict=True) if (label := label_of(p, q))]
             if rows:
                 yield frame(["doc_id", "label", "window"], rows)
 
-    return spread(documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, label string, window string")
+    return spread(found.where("doc_id IS NOT NULL").select("doc_id", "passage", "quoted")).mapInPandas(run, "doc_id long, label string, window string")

@@ -351,6 +351,104 @@ def test_residue_inside_other_sentences(spark):
     assert {r.doc_id for r in residue.residue_windows(df).select("doc_id").distinct().collect()} == set(range(len(INSIDE)))
 
 
+# Wordings that are no exemplar as they stand, and ordinary sentences with the same words.
+OTHER_WORDING = """
+Page not found
+Enable JavaScript to continue.
+This site requires JavaScript
+401 Unauthorized
+ただいまメンテナンス中です。
+Quisque sit amet velit vel nisi.
+[Your Name Here]
+${user.first name}
+Seite nicht gefunden
+Page introuvable
+页面未找到
+Sorry, the page you are looking for could not be found.
+Oops! Something went wrong.
+This website is temporarily down for scheduled maintenance.
+Please sign in to view this page.
+JavaScript must be enabled to view this site.
+You do not have permission to access this page.
+Error establishing a database connection
+Your session has expired. Please log in again.
+Insert your text here
+Dear [First Name],
+Hello <CUSTOMER_NAME>!
+ご指定のページは存在しません。
+サーバーエラーが発生しました。時間をおいて再度アクセスしてください。
+この記事を閲覧するには会員登録が必要です。
+JavaScriptが無効になっています。
+工事中です。しばらくお待ちください。
+ここに見出しを入力してください。
+Diese Seite befindet sich im Aufbau.
+Bitte melden Sie sich an, um fortzufahren.
+Cette page est en construction.
+Veuillez vous connecter pour continuer.
+Une erreur est survenue. Veuillez réessayer plus tard.
+网站正在建设中
+请先登录后再查看。
+服务器内部错误
+요청하신 페이지가 존재하지 않습니다.
+서버 점검 중입니다.
+자바스크립트를 사용하도록 설정해 주세요.
+여기에 제목을 입력하세요
+Mauris vitae ultricies leo integer malesuada nunc.
+Uncaught TypeError: Cannot read properties of undefined
+Access to this resource is forbidden.
+Please verify you are human
+Content to be added later.
+This section is currently being written.
+Fehler 500: Interner Serverfehler
+{{ customer.name }} 様
+%FIRST_NAME%, welcome back!
+Subscribe to continue reading.
+HTTP Error 503. The service is unavailable.
+本文はただいま作成中です。
+""".strip().splitlines()
+ORDINARY = """
+The page was torn and could not be read.
+She asked him to sign in the book and continue.
+The bridge is under construction, he wrote.
+He did not find the page in the manuscript.
+An internal error of judgement, said Mrs. Oakmere, cost Port Feskutrel its library.
+The site of the museum needs JavaScript for its map, but the poem below does not.
+The server brought the soup and was soon gone.
+Access to the harbour was denied to strangers.
+劇場は準備中の札を下げたままだった。
+彼は手紙を書くのに失敗しました。
+会員の登録が必要だと老人は思った。
+ページをめくる音がした。
+Le service était indisponible ce jour-là et le facteur rentra.
+Die Seite war zerrissen und nicht mehr zu lesen.
+他在页面上写了一个字。
+그는 문을 찾을 수 없었다.
+[sic] he wrote. See note [3] and [Fig. 2].
+x < y and y > z, {a, b}
+In 404 the town was not found on any map.
+The year 500 saw an error in the calendar.
+Try again later, he said, and closed the door.
+They met again later in the maintenance yard of the railway.
+""".strip().splitlines()
+
+
+def test_residue_in_other_wording():
+    index = residue.ResidueIndex()
+    found = lambda text: any(index.match(p, q) for p, q in residue.passages(text))
+    assert [t for t in OTHER_WORDING if not found(t)] == [] and [t for t in ORDINARY if found(t)] == []
+    assert [t for t in OTHER_WORDING if not found("彼女は橋の上にいた。\n" + t + "\nIt rained.")] == []
+
+
+def test_posted_terms_miss_no_exemplar():
+    """Retrieval by the rarer terms equals comparison with every exemplar."""
+    index = residue.ResidueIndex()
+    for text in [*OTHER_WORDING, *ORDINARY, *CASES, *INSIDE]:
+        for passage, _ in residue.passages(text):
+            held = residue.term_set(passage)
+            assert held == set(residue.terms(passage))
+            assert sorted(index.retrieve(held)) == [k for k, e in enumerate(index.exemplars) if len(held & set(e)) >= index.most(e)]
+
+
 # --- queries ------------------------------------------------------------------------
 
 
