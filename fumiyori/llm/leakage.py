@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,18 +32,29 @@ from fumiyori.operators.sizing import spread
 SHARD_CHARS = 1_000_000
 #: Every how many text positions a suffix position is kept.
 SAMPLE = 16
-#: Items that one pass over the corpus looks for; a larger set takes several passes.
-ITEMS_PER_PASS = 5_000
+#: Items that step backwards side by side; characters of items that one pass over the corpus, and so one broadcast, looks for (a larger set takes several passes).
+ITEMS_AT_ONCE, CHARS_PER_PASS = 5_000, 20_000_000
+#: Cells of an item and its alignments that are compared at once.
+CELLS = 4_000_000
 
-_MARKUP = re.compile(r"《[^《》\n]{0,60}》|［＃[^［］]*］|\[#[^\[\]]*\]|<rt>[^<]*</rt>|<rp>[^<]*</rp>|</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->|&(?:nbsp|shy|zwnj|zwj|ensp|emsp);|\x1b\[[0-9;]*m")
+_MARKUP = re.compile(r"《[^《》\n]*》|［＃[^［］]*］|\[#[^\[\]]*\]|<rt>[^<]*</rt>|<rp>[^<]*</rp>|</?[a-zA-Z][^<>]*>|&(?:nbsp|shy|zwnj|zwj|ensp|emsp);|\x1b\[[0-9;]*m")
 _BARE = re.compile(r"[\W_]+")
 
 
+def _without_comments(text: str) -> str:
+    """``text`` without what stands between comment marks, over lines too."""
+    kept, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        kept.append(text[at:start])
+        at = end + 3
+    return "".join([*kept, text[at:]])
+
+
 def bare(text: str | None) -> str:
     """What is compared of a text."""
     if not text:
         return ""
-    x = _MARKUP.sub("", text)
+    x = _MARKUP.sub("", _without_comments(text))
     return _BARE.sub("", unicodedata.normalize("NFKC", x).casefold())
 
 
@@ -163,43 +175,59 @@ class Phrases:
     def size(self, k: int) -> int:
         return max(1, (self.need[k] + 1) // 2)
 
-    def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    def find(self, shard: "Shard") -> Iterator[tuple[int, int, int, int]]:
         """(text number, item id, start, end) of the longest passage for each place an item occurs."""
-        if not texts or not self.blocks:
-            return
-        joined = "\x01".join(texts) + "\x01"
-        raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        alphabet, codes = np.unique(raw, return_inverse=True)
-        codes = np.append(codes.astype(np.int64) + 1, 0)
-        index = FMIndex(codes)
-        coded = []
-        for _, text in self.items:
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            at = np.searchsorted(alphabet, points)
-            at[at == len(alphabet)] = 0
-            coded.append(np.where(alphabet[at] == points, at + 1, -1))
+        coded = [shard.code(text) for _, text in self.items]
         usable = [(k, at) for k, at in self.blocks if (coded[k][at : at + self.size(k)] > 0).all()]
         if not usable:
             return
-        low, high = index.search([coded[k][at : at + self.size(k)] for k, at in usable])
+        low, high = shard.index.search([coded[k][at : at + self.size(k)] for k, at in usable])
         counts = np.maximum(0, high - low)
         which = np.repeat(np.arange(len(usable)), counts)
         rows = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        places = index.locate(rows)
+        places = shard.index.locate(rows)
         block_item, block_at = np.array([k for k, _ in usable]), np.array([a for _, a in usable])
         alignments = np.unique(np.stack([block_item[which], places - block_at[which]]), axis=1)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        for k, shift in alignments.T.tolist():
-            item = coded[k]
-            first, last = max(0, -shift), min(len(item), len(codes) - shift)
-            same = np.concatenate([[0], codes[shift + first : shift + last] == item[first:last], [0]]).astype(np.int8)
-            edges = np.flatnonzero(np.diff(same))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if b - a >= self.need[k]:
-                    at = shift + first + a
-                    text = int(np.searchsorted(ends, at, side="right"))
-                    begin = int(ends[text - 1]) if text else 0
-                    yield text, self.items[k][0], at - begin, at - begin + b - a
+        borders = np.flatnonzero(np.diff(alignments[0], prepend=-1, append=-1))
+        for first, last in zip(borders[:-1], borders[1:], strict=True):
+            k = int(alignments[0, first])
+            yield from self._extend(shard, k, coded[k], alignments[1, first:last])
+
+    def _extend(self, shard: "Shard", k: int, item: np.ndarray, shifts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Passages of an item at its alignments with the text."""
+        some, n, codes, ends = max(1, CELLS // len(item)), len(shard.codes), shard.codes, shard.ends
+        for begin in range(0, len(shifts), some):
+            part = shifts[begin : begin + some]
+            at = part[:, None] + np.arange(len(item))
+            inside = (at >= 0) & (at < n)
+            same = np.zeros((len(part), len(item) + 2), np.int8)
+            same[:, 1:-1] = (codes[np.where(inside, at, 0)] == item) & inside
+            edge = np.diff(same, axis=1)
+            (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            long = b - a >= self.need[k]
+            start, size = part[row[long]] + a[long], (b - a)[long]
+            text = np.searchsorted(ends, start, side="right")
+            start = start - np.where(text > 0, ends[text - 1], 0)
+            for t, x, y in zip(text.tolist(), start.tolist(), (start + size).tolist(), strict=True):
+                yield t, self.items[k][0], x, y
+
+
+class Shard:
+    """The FM-index of some bare texts."""
+
+    def __init__(self, texts: list[str]):
+        raw = np.frombuffer(("\x01".join(texts) + "\x01").encode("utf-32-le"), np.uint32)
+        self.alphabet, codes = np.unique(raw, return_inverse=True)
+        self.codes = np.append(codes.astype(np.int64) + 1, 0)
+        self.ends = np.cumsum([len(t) + 1 for t in texts])
+        self.index = FMIndex(self.codes)
+
+    def code(self, text: str) -> np.ndarray:
+        """The symbols of a text, -1 where the shard has none."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.searchsorted(self.alphabet, points)
+        at[at == len(self.alphabet)] = 0
+        return np.where(self.alphabet[at] == points, at + 1, -1)
 
 
 def _pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -211,31 +239,38 @@ def _pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
         yield start, text[start : start + size]
 
 
-def _search(documents: DataFrame, phrases: Phrases, shard_chars: int) -> DataFrame:
-    size = max(shard_chars, 4 * phrases.longest + 4)
+def _search(documents: DataFrame, items: list[tuple[int, str]], shard_chars: int) -> DataFrame:
+    groups = [Phrases(items[i : i + ITEMS_AT_ONCE]) for i in range(0, len(items), ITEMS_AT_ONCE)]
+    longest = max((g.longest for g in groups), default=0)
+    size = max(shard_chars, 4 * longest + 4)
+    sent = documents.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard: dict[str, list[tuple[int, int]]] = {}
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
+            # The index is built once; all groups of items pass it.
             texts = list(shard)
-            hits = {(doc, item, offset + a, offset + b) for t, item, a, b in phrases.find(texts) for doc, offset in shard[texts[t]]}
-            return frame(["doc_id", "item_id", "bare_start", "bare_end"], sorted(hits))
+            index = Shard(texts)
+            for phrases in sent.value:
+                hits = {(doc, item, offset + a, offset + b) for t, item, a, b in phrases.find(index) for doc, offset in shard[texts[t]]}
+                if hits:
+                    yield frame(["doc_id", "item_id", "bare_start", "bare_end"], sorted(hits))
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                for offset, piece in _pieces(bare(text), size, phrases.longest):
+                for offset, piece in _pieces(bare(text), size, longest):
                     if piece not in shard:
                         if held and held + len(piece) > size:
-                            yield flush()
+                            yield from flush()
                             shard.clear()
                             held = 0
                         shard[piece] = []
                         held += len(piece) + 1
                     shard[piece].append((doc, offset))
         if shard:
-            yield flush()
+            yield from flush()
 
     return spread(documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInPandas(run, "doc_id long, item_id long, bare_start long, bare_end long")
 
@@ -243,19 +278,20 @@ def _search(documents: DataFrame, phrases: Phrases, shard_chars: int) -> DataFra
 def leaked_passages(documents: DataFrame, items: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``doc_id, item_id, bare_start, bare_end`` of every passage of at least half an item.
 
-    Items are read in slices of :data:`ITEMS_PER_PASS`, so the driver never holds more.
+    Items are read in slices of :data:`CHARS_PER_PASS` characters, so neither the driver nor a broadcast holds more.
     """
     rows = items.where("item_id IS NOT NULL AND item_text <> ''").select(F.col("item_id").cast("long"), "item_text").distinct()
-    result, part = None, []
+    passes: list[DataFrame] = []
+    part, held = [], 0
     for row in rows.toLocalIterator():
         part.append((row[0], bare(row[1])))
-        if len(part) == ITEMS_PER_PASS:
-            found = _search(documents, Phrases(part), shard_chars)
-            result, part = found if result is None else result.unionByName(found), []
-    if part or result is None:
-        found = _search(documents, Phrases(part), shard_chars)
-        result = found if result is None else result.unionByName(found)
-    return result
+        held += len(part[-1][1])
+        if held >= CHARS_PER_PASS:
+            passes.append(_search(documents, part, shard_chars))
+            part, held = [], 0
+    if part or not passes:
+        passes.append(_search(documents, part, shard_chars))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def merge_spans(passages: DataFrame) -> DataFrame:

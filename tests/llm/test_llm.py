@@ -307,6 +307,21 @@ def test_leaks_equal_brute_force(spark, shard):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == brute(docs, items)
 
 
+def test_readings_tags_and_comments_of_any_length_are_bridged(spark):
+    item = "船は楢淵洞を出て新貝浦へ向かった"
+    between = ["《" + "よ" * 61 + "》", "<span title='" + "x" * 500 + "'>", "<!-- a\nb -- c\n -->", "［＃" + "注" * 300 + "］"]
+    docs = spark.createDataFrame([(i, "前" + item[:6] + b + item[6:11] + "後") for i, b in enumerate(between)], "doc_id long, text string")
+    assert {r.doc_id for r in leakage.leaked_passages(docs, spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()} == set(range(len(between)))
+    assert leakage.bare("<!-- open only") == "openonly"
+
+
+def test_items_in_several_groups_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 3)
+    monkeypatch.setattr(leakage, "CHARS_PER_PASS", 40)
+    monkeypatch.setattr(leakage, "CELLS", 7)
+    test_leaks_equal_brute_force(spark, 200)
+
+
 def test_leaks_empty_and_merged(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, item_text string")
     assert leakage.leaked_passages(docs, items).count() == 0
