@@ -18,8 +18,9 @@ outer white space; concatenated sentences differ from the text by white space on
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ BREAKS = set("\n\r\v\f\u0085\u2028\u2029")
 WORDS = {
     "ja": {
         "j": "と って とは とも など という といふ なんて と言 と云 と叫 と聞 と思 が を に の は も で へ や から まで より ので のに けれど ながら さえ ばかり だけ しか ほど くらい では には へと での との として にて とて なら 、 ， ・ ― — ：",
-        "o": "ところが ところで とても とにかく とうとう ともかく ともあれ とある となり とき ときに とたん どこ どう どんな だが だから でも では、 しかし そして それ その そこ これ この ここ あの ああ あれ あなた なんと なぜ なお もう もし やがて やはり はい はじめ のち また まだ まあ にわかに がらん えっ え？ おや さて すると ついに つまり さらに ただ たとえば 私 彼 彼女 妹 医者 老人 船頭 画家 巡査 駅長 叔父 女学生 子供たち 宿の 隣の 旅の 郵便夫 古本屋 若い 去年 翌朝 祭り 雨の 霧の 秋の 夜明け 夕暮れ 正月 日曜 十年 汽車 気温 待て 第 "
+        "o": "ところが ところで とても とにかく とうとう ともかく ともあれ とある となり とき ときに とたん どこ どう どんな だが だから でも では、 しかし そして それ その そこ これ この ここ あの ああ あれ あなた なんと なぜ なお もう もし やがて やはり はい はじめ のち また まだ まあ にわかに がらん えっ え？ おや さて すると ついに つまり さらに ただ たとえば 私 彼 彼女 第 "
         # Words that begin like a particle.
         "がっかり がっくり がやがや がらがら がらり がちゃん がんばれ にわとり にわか にぎやか におい にがい にこにこ にっこり にもかかわらず にやり のんびり のどか のろのろ のっそり のびのび はるか はじめて はたして はっきり はっと はやく はやい はなし はげしい はてな はたけ はあ ははあ "
         "もちろん もっと もっとも もしも もしかすると もしかして もしや もとより もはや もともと もろとも ものすごい もうすぐ もみじ もたもた ですから ですが でしたら でんわ でこぼこ へえ やっと やっぱり やさしい やまびこ やむなく やや やれやれ やあ からす からだ からっぽ よりによって しかも しかるに しかたなく "
@@ -51,20 +52,74 @@ WORDS = {
         "c": "ああ おお いや ええ まあ",
     },
     "zh": {
-        "j": "， 、 ： 的 地 得",
-        "o": "我 你 他 她 它 我们 他们 这 那 从 在 但 可是 然后 后来 老画家 船夫 医生 邮差 女学生 弟弟 妹妹",
+        "j": "， 、 ： ； — 的",
+        "o": "我 你 他 她 它 我们 他们 这 那 从 在 但 可是 然后 后来 的确 的士 地图 地方 地上 得知 得到",
         "f": "了 吗 呢 吧 啊 的 呀",
         "c": "说 说道 道 问 喊 喊道 答 答道 回答 叫 叫道 想 写道",
     },
     "th": {
-        "j": "ที่ ใน ถึง จาก และ หรือ กับ ของ ให้ ว่า ซึ่ง อยู่ มา ไป แล้ว ปี ปีแล้ว วัน เดือน ตลอด ตลอดทั้งคืน ในตอนเช้า ครั้ง คน เมตร กิโลเมตร บาท น. พ.ศ. ค.ศ. ๆ",
-        "o": "ไม่มีใคร ไม่มี ไม่ คนเรือ คน จิตรกร จิตรกรชรา คุณหมอ คุณ น้องสาว น้องสาวของฉัน น้อง พี่ ฝนตก ฝนตกหนัก ฝน เขา เธอ ฉัน ผม เรา มัน พวก แต่ แล้ว วันนี้ เมื่อ ถ้า นี่ นั่น ที่นี่ ทุก คืน เช้า บ้าน ครู นัก ชาย หญิง เด็ก แม่ พ่อ",
+        "j": "ที่ ใน ถึง จาก และ หรือ กับ ของ ให้ ว่า ซึ่ง อยู่ มา ไป แล้ว ปี ปีแล้ว วัน เดือน ตลอด ตลอดทั้งคืน ในตอนเช้า ครั้ง เมตร กิโลเมตร บาท น. พ.ศ. ค.ศ. ๆ",
+        "o": "ไม่มีใคร ไม่มี ไม่ คุณ น้อง พี่ ฝน เขา เธอ ฉัน ผม เรา มัน พวก แต่ แล้ว วันนี้ เมื่อ ถ้า นี่ นั่น ที่นี่ ทุก คืน เช้า บ้าน ครู นัก ชาย หญิง เด็ก แม่ พ่อ",
         "f": "รู้จัก ครับ ค่ะ คะ นะ แล้ว เช้า คืน จดหมาย",
         "c": "",
     },
 }
-_LEXICON = {lang: {w: c for c in ("f", "c", "o", "j") for w in groups[c].split()} for lang, groups in WORDS.items()}
-_OPEN_ONLY = {lang: frozenset(groups["o"].split()) for lang, groups in WORDS.items()}
+
+
+class Lexicon:
+    """Words by language and class; ``learned`` openers (words that sentences of the corpus begin with) join the listed ones."""
+
+    def __init__(self, learned: Iterable[str] = ()):
+        self.words = {lang: {w: c for c in ("f", "c", "o", "j") for w in groups[c].split()} for lang, groups in WORDS.items()}
+        self.openers = {lang: set(groups["o"].split()) for lang, groups in WORDS.items()}
+        for word in learned:
+            for lang in ["th"] if "฀" <= word[0] <= "๿" else ["ja", "zh"]:
+                if self.words[lang].get(word) != "j":
+                    self.openers[lang].add(word)
+                    self.words[lang].setdefault(word, "o")
+        #: Characters of the longest word: how far a gap is looked at on each side.
+        self.reach = {lang: max(map(len, words)) for lang, words in self.words.items()}
+        self._known: dict[tuple[str, str], tuple[tuple[str, str], ...]] = {}
+
+    def lattice(self, text: str, lang: str) -> tuple[tuple[str, str], ...]:
+        """Words and classes on the cheapest path; a known word costs little, an unknown character much."""
+        if (found := self._known.get((text, lang))) is not None:
+            return found
+        words, longest = self.words[lang], self.reach[lang]
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(1e9, 0, "")] * len(text)
+        for i in range(len(text)):
+            cost = best[i][0]
+            if cost + 3.0 < best[i + 1][0]:
+                best[i + 1] = (cost + 3.0, i, "?")
+            for j in range(i + 1, min(len(text), i + longest) + 1):
+                kind = words.get(text[i:j])
+                if kind and cost + 2.5 - 0.4 * (j - i) < best[j][0]:
+                    best[j] = (cost + 2.5 - 0.4 * (j - i), i, kind)
+        path, j = [], len(text)
+        while j > 0:
+            _, i, kind = best[j]
+            path.append((text[i:j], kind))
+            j = i
+        if len(self._known) >= LATTICES:
+            self._known.clear()
+        return self._known.setdefault((text, lang), tuple(reversed(path)))
+
+    def opens(self, text: str, at: int, lang: str) -> str:
+        """The class of the word that begins at ``at``: "j" goes on, "o" opens, "" is the end."""
+        rest = text[at : at + self.reach[lang]]
+        if not rest:
+            return ""
+        word, kind = self.lattice(rest, lang)[0]
+        openers = self.openers[lang]
+        if any(rest[:n] in openers for n in range(len(rest), len(word) if kind == "j" else len(word) - 1, -1)):
+            return "o"
+        return "j" if kind == "j" else "o"
+
+    def closes(self, text: str, at: int, lang: str) -> str:
+        """The word before ``at`` and its class."""
+        path = self.lattice(text[max(0, at - self.reach[lang]) : at], lang)
+        return path[-1] if path else ("", "")
+
 
 # Words whose full stop does not end a sentence, whatever follows.
 ABBREVIATIONS = frozenset(
@@ -78,20 +133,32 @@ ENDING = frozenset("a.m p.m etc usw b.c a.d u.s u.k".split())
 MONTHS = re.compile(r"(?i)(januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jan\b|feb\b|mär\b|apr\b|jun\b|jul\b|aug\b|sept?\b|okt\b|nov\b|dez\b|jahrhundert|jh\b|kapitel|klasse|stock)")
 #: What leads a Japanese sentence on after a full stop: a particle of quotation, or a mark that opens nothing.
 _QUOTING = re.compile("と|って|、|，|,|・|―|—|：|など")
-_WORD_BEFORE = re.compile(r"[^\s「」『』（）()\[\]“”„«»\"—–]*$")
+#: Marks that bound a word.
+_EDGES = frozenset("「」『』（）()[]“”„«»\"—–")
+#: What a sentence without a word costs; paths of lattices that a worker remembers (speed only).
+WORDLESS, LATTICES = 6.0, 100_000
+#: A learned opener begins so many rows at least, goes on in so many ways, and is so long; and how many are kept, the most frequent first.
+OPENER_ROWS, OPENER_WAYS, OPENER_LENGTHS, OPENERS = 5, 2, (2, 8), 20_000
 
 
 def _pairs(text: str) -> list[int]:
     """For every position, the position of the mark that closes a pair opened there, or -1."""
     partner = [-1] * len(text)
     stack: list[tuple[str, int]] = []
+    # How many open marks each mark would close: what closes none is not sought in the stack.
+    awaited: Counter[str] = Counter()
     for i, char in enumerate(text):
-        depth = next((d for d in range(len(stack) - 1, max(-1, len(stack) - 4), -1) if char in (PAIRS.get(stack[d][0]) or stack[d][0])), -1)
-        if depth >= 0:
-            partner[stack[depth][1]] = i
-            del stack[depth:]
+        if awaited[char]:
+            while True:
+                mark, at = stack.pop()
+                closers = PAIRS.get(mark) or mark
+                awaited.subtract(closers)
+                if char in closers:
+                    partner[at] = i
+                    break
         elif char == '"' or char in PAIRS and char != "‘":
             stack.append((char, i))
+            awaited.update(PAIRS.get(char) or char)
     return partner
 
 
@@ -106,28 +173,6 @@ def _tops(text: str) -> list[tuple[int, int]]:
     return found
 
 
-@lru_cache(maxsize=100_000)
-def lattice(text: str, lang: str) -> tuple[tuple[str, str], ...]:
-    """Words and classes on the cheapest path; a known word costs little, an unknown character much."""
-    words, longest = _LEXICON[lang], 16
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(1e9, 0, "")] * len(text)
-    for i in range(len(text)):
-        cost = best[i][0]
-        # Unknown characters gather into words of one script.
-        if cost + 3.0 < best[i + 1][0]:
-            best[i + 1] = (cost + 3.0, i, "?")
-        for j in range(i + 1, min(len(text), i + longest) + 1):
-            kind = words.get(text[i:j])
-            if kind and cost + 2.5 - 0.4 * (j - i) < best[j][0]:
-                best[j] = (cost + 2.5 - 0.4 * (j - i), i, kind)
-    path, j = [], len(text)
-    while j > 0:
-        _, i, kind = best[j]
-        path.append((text[i:j], kind))
-        j = i
-    return tuple(reversed(path))
-
-
 def _language(text: str) -> str:
     if re.search("[가-힣]", text):
         return "ko"
@@ -146,25 +191,13 @@ def _language(text: str) -> str:
     return "xx"
 
 
-def _opens(text: str, at: int, lang: str) -> str:
-    """The class of the word that begins at ``at``: "j" goes on, "o" opens, "" is the end."""
-    rest = text[at : at + 14]
-    if not rest:
-        return ""
-    path = lattice(rest, lang)
-    word, kind = path[0]
-    if any(rest.startswith(w) for w in _OPEN_ONLY[lang] if len(w) > len(word) or (len(w) == len(word) and kind != "j")):
-        return "o"
-    return "j" if kind == "j" else "o"
-
-
 def _skip(text: str, at: int, what: set[str]) -> int:
     while at < len(text) and text[at] in what:
         at += 1
     return at
 
 
-def _spaceless(text: str, lang: str) -> list[int]:
+def _spaceless(text: str, lang: str, lexicon: Lexicon) -> list[int]:
     """Ends of sentences in Japanese or Chinese."""
     tops = _tops(text)
     inside, i, ends, begin = dict(tops), 0, [], True
@@ -179,7 +212,7 @@ def _spaceless(text: str, lang: str) -> list[int]:
             if begin and after < len(text) and text[after] not in BREAKS and text[after] not in END_MARKS:
                 alone = text[after] in PAIRS and (closed[0] in QUOTES or closed[0] in "（(") and ended
                 if not alone and ended:
-                    alone = _opens(text, after, lang) == "o" if lang == "ja" else closed[0] not in "《〈" and not _goes_on(text, after)
+                    alone = lexicon.opens(text, after, lang) == "o" if lang == "ja" else closed[0] not in "《〈" and not _goes_on(text, after, lexicon)
                 if alone:
                     ends.append(end)
                     i = after
@@ -187,7 +220,7 @@ def _spaceless(text: str, lang: str) -> list[int]:
             begin, i = False, end
             continue
         if char in BREAKS:
-            if not prose or ends and not text[ends[-1] : i].strip() or _line_ends(text, i, lang):
+            if not prose or ends and not text[ends[-1] : i].strip() or _line_ends(text, i, lang, lexicon):
                 ends.append(i)
                 begin = True
             i += 1
@@ -204,13 +237,11 @@ def _spaceless(text: str, lang: str) -> list[int]:
             if after >= len(text) or text[after] in BREAKS:
                 done = True
             elif set(run) <= set("…‥"):
-                before = lattice(text[max(0, i - 8) : i], lang)
-                done = lang == "zh" or (bool(before) and before[-1][1] == "f" and _opens(text, after, lang) == "o")
-                if lang == "zh":
-                    done = text[after] not in "，、；："
+                done = lang == "zh" or lexicon.closes(text, i, lang)[1] == "f"
+                done = done and lexicon.opens(text, after, lang) == "o"
             else:
                 plain = lang == "ja" and set(run) <= set("。｡")
-                done = (plain and not _QUOTING.match(text, after)) or _opens(text, after, lang) == "o" if lang == "ja" else text[after] not in "，、；：—"
+                done = plain and not _QUOTING.match(text, after) or lexicon.opens(text, after, lang) == "o"
             if done:
                 ends.append(end)
                 begin, i = True, after
@@ -231,26 +262,27 @@ def _outside(text: str, tops: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _goes_on(text: str, at: int) -> bool:
+def _goes_on(text: str, at: int, lexicon: Lexicon) -> bool:
     """Whether a Chinese sentence runs on from a quotation: a word of saying before its end."""
-    end = re.search("[。！？!?\n]|$", text[at:]).start() + at
-    return any(kind == "c" for _, kind in lattice(text[at:end][-60:], "zh")) or any(kind == "c" for _, kind in lattice(text[at:end][:60], "zh")) or text[at] in "，、；："
+    end = re.compile("[。！？!?\n]|$").search(text, at).start()
+    return lexicon.opens(text, at, "zh") == "j" or any(kind == "c" for _, kind in lexicon.lattice(text[at:end], "zh"))
 
 
-def _line_ends(text: str, at: int, lang: str) -> bool:
+def _line_ends(text: str, at: int, lang: str, lexicon: Lexicon) -> bool:
     """Whether a line of prose ends its sentence at a line break."""
-    before = text[:at].rstrip()
-    if not before or before[-1] in END_MARKS or before[-1] in CLOSERS:
+    last = at
+    while last > 0 and text[last - 1].isspace():
+        last -= 1
+    if not last or text[last - 1] in END_MARKS or text[last - 1] in CLOSERS:
         return True
     if text[at + 1 : at + 2] in BREAKS:
         return True
-    if before[-1] in "、，：；・":
+    if text[last - 1] in "、，：；・":
         return False
-    path = lattice(before[-8:], lang)
-    return path[-1][1] == "f" and _opens(text, _skip(text, at, BREAKS | BLANK), lang) == "o"
+    return lexicon.closes(text, last, lang)[1] == "f" and lexicon.opens(text, _skip(text, at, BREAKS | BLANK), lang) == "o"
 
 
-def _thai(text: str) -> list[int]:
+def _thai(text: str, lexicon: Lexicon) -> list[int]:
     """Ends of Thai sentences: blanks and breaks whose next word opens one."""
     ends, inside = [], _tops(text)
     for m in re.finditer(r"\s+", text):
@@ -259,47 +291,43 @@ def _thai(text: str) -> list[int]:
             continue
         nxt = text[b]
         if BREAKS & set(m.group()):
-            if not ("฀" <= nxt <= "๿" and _opens(text, b, "th") == "j") or BREAKS & set(text[a : a + 1]) and text[a + 1 : a + 2] in BREAKS:
+            if not ("฀" <= nxt <= "๿" and lexicon.opens(text, b, "th") == "j") or BREAKS & set(text[a : a + 1]) and text[a + 1 : a + 2] in BREAKS:
                 ends.append(a)
             continue
         if not "฀" <= nxt <= "๿" or text[a - 1].isdigit():
             continue
-        before = lattice(text[max(0, a - 12) : a], "th") if "฀" <= text[a - 1] <= "๿" else ()
-        if before and before[-1][1] == "j" and before[-1][0] in ("ที่", "ใน", "ถึง", "จาก", "กับ", "ของ", "และ"):
+        word, kind = lexicon.closes(text, a, "th") if "฀" <= text[a - 1] <= "๿" else ("", "")
+        if kind == "j" and word in ("ที่", "ใน", "ถึง", "จาก", "กับ", "ของ", "และ"):
             continue
-        if _opens(text, b, "th") == "o":
+        if lexicon.opens(text, b, "th") == "o":
             ends.append(a)
     return ends
 
 
-def _spaced(text: str, lang: str) -> list[int]:
-    """Ends of sentences of scripts with blanks."""
-    tops, ends, i = dict(_tops(text)), [], 0
+def _terminators(text: str, lang: str) -> list[tuple[int, int, float]]:
+    """(end, where the next sentence would begin, weight) of every place where a sentence of a spaced script may end."""
+    tops, nodes, i, opening = dict(_tops(text)), [], 0, True
     cased = lang == "xx"
-    start = 0
     while i < len(text):
         char = text[i]
         if i in tops:
             end = tops[i]
             after = _skip(text, end, BLANK | BREAKS)
-            opening = not text[start:i].strip()
             inner = text[i + 1 : end - 1].rstrip()
             if after > end and after < len(text) and inner[-1:] in END_MARKS and (char in QUOTES or opening):
                 broken = bool(BREAKS & set(text[end:after]))
                 if (cased and _capital(text, after)) or (not cased and broken and opening):
-                    ends.append(end)
-                    start = i = after
+                    nodes.append((end, after, 3.0))
+                    i, opening = after, True
                     continue
-            i = end
-            continue
-        if char in BREAKS:
+            i, opening = end, False
+        elif char in BREAKS:
             after = _skip(text, i, BLANK | BREAKS)
-            if sum(c in "\n\u2028\u2029" for c in text[i:after]) >= 2 and text[start:i].strip():
-                ends.append(i)
-                start = after
+            if sum(c in "\n\u2028\u2029" for c in text[i:after]) >= 2:
+                nodes.append((i, after, 4.0))
+                opening = True
             i = after
-            continue
-        if char in END_MARKS:
+        elif char in END_MARKS:
             end = i
             while end < len(text) and (text[end] in END_MARKS or text[end] in "»”" and end not in tops):
                 end += 1
@@ -307,15 +335,39 @@ def _spaced(text: str, lang: str) -> list[int]:
             after = _skip(text, end, BLANK | BREAKS)
             if after >= len(text):
                 break
-            glued = after == end
-            if not glued and _ends_here(text, i, run, after, lang) or glued and run[-1] in "।॥。！？":
-                ends.append(end)
-                start = i = after
-                continue
-            i = end
-            continue
-        i += 1
-    return ends
+            weight = _weight(text, i, run, after, lang) if after > end else 3.0 if run[-1] in "।॥。！？" else -4.0
+            nodes.append((end, after, weight))
+            i, opening = (after, True) if weight > 0 else (end, False)
+        else:
+            opening = opening and char.isspace()
+            i += 1
+    return nodes
+
+
+def _spaced(text: str, lang: str) -> list[int]:
+    """Ends of sentences of scripts with blanks: the best path through the lattice of terminators.
+
+    A path takes the weight of every terminator it ends a sentence at, and loses
+    :data:`WORDLESS` for a sentence without a word.
+    """
+    nodes = [(0, 0, 0.0), *_terminators(text, lang), (len(text), len(text), 0.0)]
+    words = [0, *accumulate(map(str.isalnum, text))]
+    best, back, leader, ready = [0.0], [0], -1, 0
+    for j in range(1, len(nodes)):
+        end, _, weight = nodes[j]
+        # Nodes with a word between them and this one; of these the best so far leads.
+        while ready < j and words[nodes[ready][1]] < words[end]:
+            leader = ready if leader < 0 or best[ready] >= best[leader] else leader
+            ready += 1
+        options = [(best[i] - WORDLESS, i) for i in range(ready, j)] + ([(best[leader], leader)] if leader >= 0 else [])
+        gain, i = max(options)
+        best.append(gain + weight)
+        back.append(i)
+    ends, j = [], back[-1]
+    while j > 0:
+        ends.append(nodes[j][0])
+        j = back[j]
+    return ends[::-1]
 
 
 def _capital(text: str, at: int) -> bool:
@@ -327,39 +379,47 @@ def _capital(text: str, at: int) -> bool:
     return text[at].isupper() or text[at].isdigit() or not text[at].islower() and text[at].isalpha()
 
 
-def _ends_here(text: str, at: int, run: str, after: int, lang: str) -> bool:
-    """Whether an end mark followed by a blank ends its sentence."""
+def _weight(text: str, at: int, run: str, after: int, lang: str) -> float:
+    """How much an end mark followed by a blank speaks for the end of its sentence, below 0 against it."""
     capital = _capital(text, after)
+    goes_on = text[after] in ",;:—–-"
     if any(c in "!?！？।॥؟" for c in run):
-        return capital if lang == "xx" else text[after] not in ",;:—–-"
-    word = _WORD_BEFORE.search(text[max(0, at - 40) : at]).group().strip("'’*")
-    key = word.casefold()
+        return 3.0 if (capital if lang == "xx" else not goes_on) else -3.0
+    start = at
+    while start > 0 and not text[start - 1].isspace() and text[start - 1] not in _EDGES:
+        start -= 1
+    key = text[start:at].strip("'’*").casefold()
     if "…" in run or len(run) >= 3:
-        return capital
+        return 1.0 if capital else -2.0
     if len(run) == 2:
-        return capital or lang != "xx"
+        return 2.0 if capital or lang != "xx" else -2.0
     if key.isdigit() or re.fullmatch(r"\d+[.,]\d+", key):
-        return capital and not MONTHS.match(text[after:])
+        return 2.0 if capital and not MONTHS.match(text, after) else -2.0
     if key in ENDING:
-        return capital and not text[after].isdigit()
+        return 1.0 if capital and not text[after].isdigit() else -2.0
     last = key.rsplit(".", 1)[-1].rsplit("’", 1)[-1].rsplit("-", 1)[-1]
     if key in ABBREVIATIONS or last in ABBREVIATIONS and ("." in key or "-" not in key):
-        return False
+        return -4.0
     if len(last) == 1 and last.isalpha() and last.isascii():
-        return False
+        return -4.0
     if lang != "xx":
-        return text[after] not in ",;:—–-"
-    return capital or len(key) >= 5 and not key[0].isdigit() and not any(c in text[after] for c in ",;:—–-")
+        return -3.0 if goes_on else 3.0
+    if capital:
+        return 3.0
+    return 1.0 if len(key) >= 5 and not key[0].isdigit() and not goes_on else -2.0
+
+
+BASE = Lexicon()
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+def sentence_spans(text: str | None, lexicon: Lexicon = BASE) -> list[tuple[int, int]]:
     """(start, end) of every sentence of a text."""
     if not text or not text.strip():
         return []
     first, last = len(text) - len(text.lstrip()), len(text.rstrip())
     body = text[first:last]
     lang = _language(body)
-    ends = _spaceless(body, lang) if lang in ("ja", "zh") else _thai(body) if lang == "th" else _spaced(body, lang)
+    ends = _spaceless(body, lang, lexicon) if lang in ("ja", "zh") else _thai(body, lexicon) if lang == "th" else _spaced(body, lang)
     spans, start = [], 0
     for end in [*ends, len(body)]:
         a, b = start, end
@@ -375,17 +435,36 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return spans
 
 
+def learn_openers(rows: DataFrame, text: str) -> list[str]:
+    """Words that the rows of a corpus begin with, in scripts without blanks.
+
+    A beginning is taken for a word if it is frequent and what follows it varies. All rows are
+    counted; the result is bounded by :data:`OPENERS`, so it can go to every task.
+    """
+    low, high = OPENER_LENGTHS
+    begun = rows.select(F.regexp_replace(F.col(text), r"^[\s　]+", "").alias("t")).where(F.col("t").rlike("^[ぁ-ヿ一-鿿฀-๿]"))
+    cut = begun.select("t", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("n")).where(F.length("t") > F.col("n"))
+    counted = cut.groupBy(F.expr("substring(t, 1, n)").alias("word"), F.expr("substring(t, n + 1, 1)").alias("next")).agg(F.count(F.lit(1)).alias("rows"))
+    words = counted.groupBy("word").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("ways")).where((F.col("rows") >= OPENER_ROWS) & (F.col("ways") >= OPENER_WAYS) & F.col("word").rlike("^[ぁ-ヿ一-鿿฀-๿]+$"))
+    return [r.word for r in words.orderBy(F.col("rows").desc(), "word").limit(OPENERS).collect()]
+
+
 def split_sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Every sentence as a row: the keys, ``part`` (from 1), ``char_start``, ``char_end``, ``sentence_text``, ``n_parts``."""
+    """Every sentence as a row: the keys, ``part`` (from 1), ``char_start``, ``char_end``, ``sentence_text``, ``n_parts``.
+
+    Openers are learned from the beginnings of all rows first.
+    """
+    learned = learn_openers(df, text)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(learned)
         for batch in batches:
             # Nullable integers arrive as floats: whole numbers are what they were.
             values = [[None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v for v in batch[k].tolist()] for k in keys]
             rows = []
             for i, t in enumerate(batch[text]):
-                spans = sentence_spans(t)
+                spans = sentence_spans(t, lexicon)
                 rows += [(*(v[i] for v in values), k, a, b, t[a:b], len(spans)) for k, (a, b) in enumerate(spans, 1)]
             if rows:
                 yield frame([*keys, "part", "char_start", "char_end", "sentence_text", "n_parts"], rows)

@@ -51,6 +51,28 @@ def test_words_that_begin_like_particles_open_after_other_marks(opening):
     assert cut("もう遅い。と彼は言った。") == ["もう遅い。と彼は言った。"] and cut("もう遅い。って彼は言った。") == ["もう遅い。って彼は言った。"]
 
 
+def test_looks_are_as_far_as_words_and_texts_are():
+    long = "雪の降る" * 40
+    assert cut(f"“真的吗？”他在桥上{'慢慢地' * 40}说，然后{'又看了看' * 40}走了。雨停了。") == [f"“真的吗？”他在桥上{'慢慢地' * 40}说，然后{'又看了看' * 40}走了。", "雨停了。"]
+    assert cut(f"「{long}。（{long}『{long}“{long}《{long}。》{long}。”{long}。』{long}）」と言った。終わり。")[1:] == ["終わり。"]
+    assert cut("It was long" * 9 + ".St. Anne. The end.") == ["It was long" * 9 + ".St. Anne.", "The end."]
+    assert len(cut("「" * 20_000 + "雨。" + "」" * 20_000)) == 1
+
+
+def test_terminator_lattice_gives_no_sentence_without_a_word():
+    assert cut("How quiet it was! ... They left.") == ["How quiet it was! ...", "They left."]
+    assert cut("Stop! ! Go on.") == ["Stop! !", "Go on."] and cut("... !") == ["... !"]
+
+
+def test_openers_are_learned_from_the_corpus(spark):
+    rows = [(i, f"ものぐさ{c}は来た。") for i, c in enumerate("太次三四五六")] + [(10 + i, f"船{c}は来た。") for i, c in enumerate("太次")]
+    learned = sentences.learn_openers(spark.createDataFrame(rows, "i long, t string"), "t")
+    assert "ものぐさ" in learned and not any(w.startswith("船") for w in learned)
+    text = "静かだろう！ものぐさ男は来た。"
+    assert [text[a:b] for a, b in sentences.sentence_spans(text, sentences.Lexicon(learned))] == ["静かだろう！", "ものぐさ男は来た。"]
+    assert sentences.learn_openers(spark.createDataFrame([], "t string"), "t") == []
+
+
 def test_sentence_edge_cases():
     assert cut(None) == cut("") == cut(" \n　") == []
     assert cut("終わりの印がない") == ["終わりの印がない"]
