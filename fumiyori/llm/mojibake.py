@@ -11,7 +11,7 @@ replacement characters, C1 controls or private-use characters.
 
 Defined results: null, empty and blank texts are unaffected. What cannot be restored is
 affected with a null restoration; partial restorations are given if they are clearly
-cheaper. Long texts are searched by damaged stretches, so their cost grows linearly.
+cheaper. Long texts are searched by damaged regions, so their cost grows linearly.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import html
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ from fumiyori.operators.sizing import spread
 EIGHT_BIT = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp874", "iso8859_2", "iso8859_15")
 DOUBLE_BYTE = ("gb18030", "cp932", "euc_jp", "cp949", "big5")
 REALLY = ("utf_8", "cp932", "euc_jp", "gb18030", "cp949", "cp874", "cp1252")
-#: States that one search expands, stretches that it tries in each.
-MAX_STATES, MAX_STRETCHES = 12, 30
-#: Sound characters between two stretches that are searched apart.
-GAP = 6
+#: Bits above the cheapest text reached so far from which on a search goes no further.
+SLACK = 40.0
+#: Sound characters between two regions that are searched apart; a region of more stretches is cut again at half as many.
+GAP, CROWDED = 12, 30
 #: A restoration counts if the changed part loses this share of its cost and this many bits.
 SHARE, BITS = 0.78, 8.0
 #: Bits per character up to which a text counts as sound, which ends a search.
@@ -113,12 +114,19 @@ def char_bits(char: str) -> tuple[float, str]:
 _CLASH = {frozenset(pair): bits for pair, bits in (("ac", 2), ("ja", 3), ("xc", 3), ("xj", 7), ("sj", 7), ("ss", 2), ("sx", 4), ("sa", 3), ("sc", 6), ("sh", 7), ("hj", 5), ("ha", 5), ("hx", 7), ("kj", 2.5), ("kx", 7), ("tx", 4), ("tj", 7), ("dj", 7), ("td", 7), ("kt", 7), ("kd", 7), ("cj", 7), ("ck", 7), ("ct", 7), ("st", 7), ("sk", 7))}
 
 
+_NEVER_INSIDE = frozenset("“”„‚‡†•‰‹›«»")
+
+
 def cost(text: str) -> float:
     """Bits of a text: its characters, changes of script inside words, malformed half-width kana."""
-    total, before, last, half = 0.0, "", "", False
+    total, before, last, half, mark = 0.0, "", "", False, False
     for char in text:
         bits, family = char_bits(char)
         total += bits
+        # A quotation mark between letters.
+        if mark and family in ("a", "x", "c"):
+            total += 8.0
+        mark = char in _NEVER_INSIDE and before in ("a", "x", "c")
         if family:
             if before:
                 if before != family:
@@ -222,7 +230,7 @@ def _regions(text: str, gap: int = GAP) -> list[tuple[int, int]]:
                 found.append([i, i + 1])
     parts = [(a, b) for a, b in found if b - a >= 2]
     if gap:
-        parts = [(a + x, a + y) for a, b in parts for x, y in (_regions(text[a:b], gap // 2) if len(_stretches(text[a:b])) > MAX_STRETCHES else [(0, b - a)])]
+        parts = [(a + x, a + y) for a, b in parts for x, y in (_regions(text[a:b], gap // 2) if len(_stretches(text[a:b])) > CROWDED else [(0, b - a)])]
     return parts
 
 
@@ -282,37 +290,56 @@ def _is_believable(old: str, new: str, right: str, whole: str) -> bool:
     return True
 
 
-def restore(text: str, max_states: int = MAX_STATES) -> str:
-    """The cheapest text that the search reaches; where its bounds cut it short, every damaged stretch is searched on its own."""
-    best, whole = _search(text, max_states)
-    if whole:
-        return best
-    out, at, regions = [], 0, _regions(best)
-    for (a, b), (following, _) in zip(regions, [*regions[1:], (len(best), 0)], strict=False):
-        # The last byte of a character may read as a narrow sign.
-        b = min(following, _NARROW.match(best, b).end())
-        part, _ = _search(best[a:b], max_states)
-        out += [best[at:a], part if is_better(best[a:b], part) else best[a:b]]
-        at = b
-    joined = "".join([*out, best[at:]])
-    return joined if cost(joined) < cost(best) else best
-
-
-def _search(text: str, max_states: int) -> tuple[str, bool]:
-    """(the cheapest text reached, whether no bound cut the search short)."""
-    start, whole, sound = cost(text), True, False
+def _is_sound(text: str, bits: float) -> bool:
+    return bits <= SOUND * len(text) and not any(char_bits(c)[0] >= 12.0 for c in text)
+
+
+def restore(text: str) -> str:
+    """The cheapest text that the search reaches.
+
+    The whole text is read again, and every damaged region with sound text around it is searched
+    on its own, again and again as long as that makes the text cheaper; so neither the length of
+    a text nor the number of its regions bounds the search.
+    """
+    whole = _search(text, with_stretches=False)
+    starts = [text] if whole == text or _is_sound(whole, cost(whole)) else [text, whole]
+    return min([whole, *map(_by_regions, starts)], key=cost)
+
+
+def _by_regions(text: str) -> str:
+    """``text`` with its damaged regions restored one by one, until nothing gets cheaper."""
+    best, price = text, cost(text)
+    while True:
+        out, at, regions = [], 0, _regions(best)
+        if len(regions) <= 1:
+            joined = _search(best)
+        else:
+            for (a, b), (following, _) in zip(regions, [*regions[1:], (len(best), 0)], strict=True):
+                # The last byte of a character may read as a narrow sign.
+                b = min(following, _NARROW.match(best, b).end())
+                part = _search(best[a:b])
+                out += [best[at:a], part if is_better(best[a:b], part) else best[a:b]]
+                at = b
+            joined = "".join([*out, best[at:]])
+        if (now := cost(joined)) >= price:
+            return best
+        best, price = joined, now
+        if _is_sound(best, price):
+            return best
+
+
+def _search(text: str, with_stretches: bool = True) -> str:
+    """The cheapest text reached; ends at a sound one, or where all others left cost too much more than the best."""
+    start = cost(text)
     best, best_cost = text, start
     queue, seen, order = [(start, 0, text)], {hash(text)}, 0
-    while queue and max_states:
-        max_states -= 1
+    while queue:
         here, _, state = heapq.heappop(queue)
-        if here > start:
+        if here > best_cost + SLACK:
             break
-        reached = list(_steps(state))
-        stretches = _stretches(state)
-        whole = whole and len(stretches) <= MAX_STRETCHES
-        for a, b, kind in stretches[:MAX_STRETCHES]:
-            reached += [(state[:a] + part + state[b:], right) for part, right in _steps(state[a:b], kind)]
+        reached = _steps(state)
+        if with_stretches:
+            reached = chain(reached, ((state[:a] + part + state[b:], right) for a, b, kind in _stretches(state) for part, right in _steps(state[a:b], kind)))
         for found, right in reached:
             if (key := hash(found)) in seen:
                 continue
@@ -323,10 +350,9 @@ def _search(text: str, max_states: int) -> tuple[str, bool]:
                 heapq.heappush(queue, (price, order, found))
                 if price < best_cost:
                     best, best_cost = found, price
-        if best is not text and best_cost <= SOUND * len(best) and not any(char_bits(c)[0] >= 12.0 for c in best):
-            sound = True
+        if best is not text and _is_sound(best, best_cost):
             break
-    return best, sound or whole and not (queue and not max_states)
+    return best
 
 
 def _common_kanji() -> str:
@@ -346,7 +372,7 @@ def examine(text: str) -> tuple[bool, str | None]:
     if not _SUSPECT.search(text):
         return False, None
     gone = bool(_GONE.search(text))
-    best = restore(text, 4 if gone else MAX_STATES)
+    best = restore(text)
     if is_better(text, best):
         return True, None if _GONE.search(best) and gone and len(_GONE.findall(best)) >= len(_GONE.findall(text)) else best
     return gone, None
