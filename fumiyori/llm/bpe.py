@@ -27,8 +27,8 @@ from fumiyori.operators.sizing import spread
 
 #: Folder of the vocabulary files; a parameter, never part of the repository.
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Pieces whose ids one worker remembers; at the bound the memory starts anew (speed only).
-PIECE_MEMORY = 200_000
+#: Pieces whose ids, and pairs whose fit, one worker remembers; at the bound the memory starts anew (speed only).
+PIECE_MEMORY, PAIR_MEMORY = 200_000, 1_000_000
 # Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,6 +68,8 @@ class Encoder:
         pair = (left, right)
         found = self.fit.get(pair)
         if found is None:
+            if len(self.fit) >= PAIR_MEMORY:
+                self.fit.clear()
             found = self.fit[pair] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return found
 

@@ -45,8 +45,10 @@ ABBREVIATIONS = [
     (r"\b(st|str)$", "street"), (r"\bpt\b", "port"), (r"\bp\b(?= )", "port"), (r"\b(sta|stn)$", "station"), (r"\b(hbr|harb|hrbr|harbor|harbr)$", "harbour"), (r"\b(cstl|cast|ctl)$", "castle"),
 ]
 
-#: Shift allowed on each side for affixes that the forms do not know.
-EDITS = "CASE WHEN {n} <= 5 THEN 2 WHEN {n} <= 11 THEN 2 ELSE 3 END"
+#: Edits by the length of the reference; an exchange of letters counts as one slip, though as two edits.
+EDITS = "CASE WHEN {n} <= 3 THEN 1 WHEN {n} <= 11 THEN 2 ELSE 3 END"
+#: Segments that must meet at once: in short references one segment is a character or two, which too many share.
+AT_ONCE = "CASE WHEN {n} BETWEEN 3 AND 5 THEN 2 ELSE 1 END"
 
 
 def _folding() -> tuple[str, str]:
@@ -166,7 +168,7 @@ def match_places(mentions: DataFrame, aliases: DataFrame, masters: DataFrame) ->
     )
     same = cut_lineage(sql(
         """
-        SELECT text, min_by(master_id, rank) AS master_id FROM (
+        SELECT text, min_by(master_id, struct(rank, master_id)) AS master_id FROM (
             SELECT t.text, e.master_id, 0 AS rank FROM {t} t JOIN {e} e ON t.form = e.name
             UNION ALL SELECT t.text, e.master_id, 1 FROM {t} t JOIN {e} e ON t.core = e.name
         ) GROUP BY text
@@ -195,7 +197,7 @@ def match_places(mentions: DataFrame, aliases: DataFrame, masters: DataFrame) ->
     )
     references = cut_lineage(sql(
         f"""
-        SELECT ref, n, {EDITS.format(n='n')} AS k, min(master_id) AS master_id FROM (
+        SELECT ref, n, {EDITS.format(n='n')} AS k, {AT_ONCE.format(n='n')} AS m, min(master_id) AS master_id FROM (
             SELECT ref, length(ref) AS n, master_id FROM (
                 SELECT explode({shapes_sql('core')}) AS ref, master_id FROM {{n}} UNION SELECT short, master_id FROM {{n}}
             ) WHERE ref <> ''
@@ -203,17 +205,26 @@ def match_places(mentions: DataFrame, aliases: DataFrame, masters: DataFrame) ->
         """,
         n=names,
     ))
-    segments = sql(
+    # Of k + m segments, k edits leave m unchanged.
+    single = sql(
         """
-        SELECT ref, n, k, master_id, s, div(s * n, k + 1) AS at, substring(ref, CAST(div(s * n, k + 1) AS INT) + 1, CAST(div((s + 1) * n, k + 1) - div(s * n, k + 1) AS INT)) AS piece
-        FROM {r} LATERAL VIEW explode(sequence(0, k)) AS s
+        SELECT ref, n, k, m, master_id, s, at, substring(ref, CAST(at AS INT) + 1, CAST(div((s + 1) * n, k + m) - at AS INT)) AS piece
+        FROM (SELECT *, div(s * n, k + m) AS at FROM {r} LATERAL VIEW explode(sequence(0, k + m - 1)) AS s)
         """,
         r=references,
     )
-    shapes = sql("SELECT DISTINCT n, k, s, at, length(piece) AS w, reach FROM {g} LATERAL VIEW explode(sequence(n - k, n + k)) AS reach WHERE piece <> ''", g=segments)
-    windows = sql(
+    segments = sql(
+        """
+        SELECT ref, n, k, master_id, s, -1 AS s2, piece FROM {g} WHERE m = 1
+        UNION ALL
+        SELECT a.ref, a.n, a.k, a.master_id, a.s, b.s, a.piece || '/' || b.piece FROM {g} a JOIN {g} b ON a.ref = b.ref AND a.n = b.n AND a.s < b.s WHERE a.m = 2
+        """,
+        g=single,
+    )
+    shapes = sql("SELECT DISTINCT n, k, m, s, at, length(piece) AS w, reach FROM {g} LATERAL VIEW explode(sequence(n - k, n + k)) AS reach WHERE piece <> ''", g=single)
+    shifted = sql(
         """
-        SELECT text, core, h.n AS ref_n, h.s, substring(core, CAST(at + d AS INT) + 1, w) AS piece
+        SELECT text, core, h.n AS ref_n, h.k, h.m, h.s, d, substring(core, CAST(at + d AS INT) + 1, w) AS piece
         FROM {l} l JOIN {h} h ON l.n = h.reach
         LATERAL VIEW explode(sequence(-k, k)) AS d
         WHERE at + d >= 0 AND at + d + w <= l.n
@@ -221,22 +232,39 @@ def match_places(mentions: DataFrame, aliases: DataFrame, masters: DataFrame) ->
         l=left,
         h=shapes,
     )
+    # The pieces of a text that short references may meet are gathered in one row, so pairs of them need no join.
+    windows = sql(
+        """
+        SELECT text, core, ref_n, s, -1 AS s2, piece FROM {w} WHERE m = 1
+        UNION ALL
+        SELECT text, core, ref_n, x.s, y.s, x.piece || '/' || y.piece
+        FROM (SELECT text, core, ref_n, any_value(k) AS k, collect_set(struct(s, d, piece)) AS p FROM {w} WHERE m = 2 GROUP BY text, core, ref_n)
+        LATERAL VIEW explode(p) AS x LATERAL VIEW explode(p) AS y
+        WHERE x.s < y.s AND abs(x.d - y.d) <= k
+        """,
+        w=shifted,
+    )
     candidates = sql(
         """
-        SELECT DISTINCT w.text, w.core, g.ref, g.n, g.k, g.master_id
-        FROM {w} w JOIN {g} g ON w.ref_n = g.n AND w.s = g.s AND w.piece = g.piece
+        SELECT w.text, w.core, g.ref, g.n, g.k, g.master_id
+        FROM {w} w JOIN {g} g ON w.ref_n = g.n AND w.s = g.s AND w.s2 = g.s2 AND w.piece = g.piece
+        UNION
+        SELECT l.text, l.core, r.ref, r.n, r.k, r.master_id
+        FROM {l} l JOIN {r} r ON l.n = r.n AND r.n <= 3 AND array_sort(split(l.core, '')) = array_sort(split(r.ref, ''))
         """,
         w=windows,
         g=segments,
+        l=left,
+        r=references,
     )
-    # Two exchanged letters are one slip, though two edits; short names bear one slip only.
+    # Two exchanged letters are one slip, though two edits; the shortest names bear one slip only.
     close = sql(
         """
         SELECT text, min_by(master_id, struct(slips, edits, abs(length(core) - n), master_id)) AS master_id FROM (
             SELECT *, CASE WHEN edits = 2 AND length(core) = n AND array_sort(split(core, '')) = array_sort(split(ref, '')) THEN 1 ELSE edits END AS slips
-            FROM (SELECT *, levenshtein(core, ref) AS edits FROM {c})
-            WHERE edits <= k
-        ) WHERE slips <= CASE WHEN n <= 3 THEN 1 WHEN n <= 5 THEN least(k, 2) ELSE k END
+            FROM (SELECT *, levenshtein(core, ref, 3) AS edits FROM {c})
+            WHERE edits BETWEEN 0 AND greatest(k, 2)
+        ) WHERE slips <= k
         GROUP BY text
         """,
         c=candidates,

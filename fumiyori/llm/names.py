@@ -119,8 +119,10 @@ def parse(name: str, kana: str, alias: str) -> dict:
             if bare.startswith(tail) and len(bare) > len(tail) and len(tail) > 2:
                 return {"kind": "org", "core": bare[len(tail) :], "type": code}
             # One slip within the type.
-            if len(tail) >= 4 and len(bare) > len(tail) and edits_at_most(bare[3:], tail, 1) <= 1:
-                return {"kind": "org", "core": bare[:3], "type": code}
+            if len(tail) >= 4:
+                for n in (len(tail), len(tail) - 1, len(tail) + 1):
+                    if len(bare) > n and edits_at_most(bare[-n:], tail, 1) <= 1:
+                        return {"kind": "org", "core": bare[:-n], "type": code}
         while (cut := JA_TAIL.sub("", x).strip()) != x and cut:
             x = cut
         parts = [p for p in re.split(r"[ ・,，、=＝]+", x) if p]
@@ -224,7 +226,7 @@ def learn_readings(authors: DataFrame) -> dict[str, str]:
 
     cast = authors.where("author_name IS NOT NULL AND author_name_kana IS NOT NULL").select("author_name", "author_name_kana").mapInPandas(votes, "kanji string, sound string, partner string")
     counted = cast.groupBy("kanji", "sound").agg(F.countDistinct("partner").alias("n"))
-    best = counted.groupBy("kanji").agg(F.max_by("sound", F.struct("n", -F.length("sound"))).alias("sound"))
+    best = counted.groupBy("kanji").agg(F.max_by("sound", F.struct(F.col("n"), -F.length("sound"), F.col("sound"))).alias("sound"))
     return {r.kanji: r.sound for r in best.toLocalIterator()}
 
 
@@ -335,8 +337,8 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def same_names(authors: DataFrame) -> DataFrame:
-    """All pairs ``author_id_a < author_id_b`` of rows that mean the same person or organisation."""
+def name_groups(authors: DataFrame) -> DataFrame:
+    """``id, group, birth, death`` of the rows that share a name with another; a group has the id of its first row."""
     learned = learn_readings(authors)
     rows = authors.where("author_id IS NOT NULL AND author_name IS NOT NULL AND trim(author_name) <> ''").select(
         F.col("author_id").cast("long").alias("id"), F.col("author_name").alias("name"), F.coalesce("author_name_kana", F.lit("")).alias("kana"), F.coalesce("alias_info", F.lit("")).alias("alias"), F.col("birth_year").alias("birth"), F.col("death_year").alias("death")
@@ -397,7 +399,12 @@ def same_names(authors: DataFrame) -> DataFrame:
     single = facing.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h")).where("n = 1").select("g", "h")
     joined = reduce(DataFrame.unionByName, [strong, single.select(F.col("g").alias("a"), F.col("h").alias("b"))])
     final = _components(joined)
-    member = final.join(rows.select("id", "birth", "death"), "id")
+    return final.join(rows.select("id", "birth", "death"), "id")
+
+
+def same_names(authors: DataFrame) -> DataFrame:
+    """All pairs ``author_id_a < author_id_b`` of rows that mean the same person or organisation."""
+    member = name_groups(authors)
     x, y = (member.select("group", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "birth", "death"))) for s in "xy")
     return (
         x.join(y, "group")

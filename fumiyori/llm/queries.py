@@ -9,7 +9,7 @@ from fumiyori.llm.canonical import match_places
 from fumiyori.llm.leakage import leaked_passages, merge_spans
 from fumiyori.llm.lookalike import same_look
 from fumiyori.llm.mojibake import damaged_rows
-from fumiyori.llm.names import same_names
+from fumiyori.llm.names import name_groups, same_names
 from fumiyori.llm.residue import residue_windows
 from fumiyori.llm.sentences import reordered, split_sentences
 from fumiyori.session import read_table
@@ -51,6 +51,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_names(read_table(spark, sf_dir, "authors"))
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author row that shares a name with another, and its group's first row."""
+    return name_groups(read_table(spark, sf_dir, "authors")).selectExpr("id AS author_id", "`group` AS group_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(read_table(spark, sf_dir, "documents"))
@@ -83,7 +88,7 @@ def p10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_sentences, p2_found, p3_found, p4_found, p4_restored, p5_found, p8_ids, p9_found, p9_passages, p9_spans, p10_found, p10_windows)
+    for f in (p1_found, p1_sentences, p2_found, p3_found, p4_found, p4_restored, p5_found, p5_members, p8_ids, p9_found, p9_passages, p9_spans, p10_found, p10_windows)
 }
 #: None of these is expressed in SQL: tests compare them with brute force, round trips and a public encoder.
 ORACLES: dict[str, str] = {}

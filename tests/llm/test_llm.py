@@ -151,6 +151,41 @@ def test_pigeonhole_equals_brute_force(spark):
         assert best <= 2 and edits(t, dict(base)[got["sentence_places", k]]) == best
 
 
+@pytest.mark.parametrize("n, slips", [(3, 1), (4, 2), (5, 2)])
+def test_short_names_meet_by_two_segments_as_a_full_comparison_finds_them(spark, n, slips):
+    random.seed(n)
+    base = sorted({"".join(random.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", k=n)) for _ in range(60)})
+    masters = [(i, b, b, b) for i, b in enumerate(base)]
+    texts = []
+    for b in random.choices(base, k=150):
+        x = list(b)
+        for _ in range(random.randint(0, slips)):
+            how, at = random.randrange(4), random.randrange(len(x))
+            if how == 0:
+                x[at] = random.choice("申酉戌亥")
+            elif how == 1:
+                x.insert(at, random.choice("申酉戌亥"))
+            elif how == 2 and len(x) > 1:
+                del x[at]
+            else:
+                x[at : at + 2] = x[at : at + 2][::-1]
+        texts.append("".join(x))
+    got = places(spark, [(k, None, t, "") for k, t in enumerate(texts)], [], masters)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            row, last = [row[0] + 1], row
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return 1 if row[-1] == 2 and sorted(a) == sorted(b) else row[-1]
+
+    for k, t in enumerate(texts):
+        best = min(edits(t, b) for b in base)
+        found = got["sentence_places", k]
+        assert (found == -1) if best > slips else edits(t, base[found]) == best
+
+
 # --- 3 ------------------------------------------------------------------------------
 
 
@@ -271,6 +306,12 @@ def test_long_chains_are_one_group(spark):
     assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys((2000, 2001), 2000) | dict.fromkeys((3000, 3001, 3002), 3000)
 
 
+@pytest.mark.parametrize("name, core", [("渚松国文学究所", "渚松"), ("渚松梅川国文学研究処", "渚松梅川"), ("浜文芸協会", "浜"), ("渚松梅国文学研究所", "渚松梅")])
+def test_organisations_of_any_length(name, core):
+    found = names.parse(name, "", "")
+    assert (found["kind"], found["core"]) == ("org", core)
+
+
 def test_names_empty(spark):
     assert same(spark, []) == set()
 
