@@ -154,17 +154,17 @@ def test_pigeonhole_equals_brute_force(spark):
 @pytest.mark.parametrize("n, slips", [(3, 1), (4, 2), (5, 2)])
 def test_short_names_meet_by_two_segments_as_a_full_comparison_finds_them(spark, n, slips):
     random.seed(n)
-    base = sorted({"".join(random.choices("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", k=n)) for _ in range(60)})
+    base = sorted({"".join(random.sample("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未", k=n)) for _ in range(60)})
     masters = [(i, b, b, b) for i, b in enumerate(base)]
     texts = []
     for b in random.choices(base, k=150):
         x = list(b)
-        for _ in range(random.randint(0, slips)):
+        for new in random.sample("申酉戌亥", random.randint(0, slips)):
             how, at = random.randrange(4), random.randrange(len(x))
             if how == 0:
-                x[at] = random.choice("申酉戌亥")
+                x[at] = new
             elif how == 1:
-                x.insert(at, random.choice("申酉戌亥"))
+                x.insert(at, new)
             elif how == 2 and len(x) > 1:
                 del x[at]
             else:
@@ -183,7 +183,7 @@ def test_short_names_meet_by_two_segments_as_a_full_comparison_finds_them(spark,
     for k, t in enumerate(texts):
         best = min(edits(t, b) for b in base)
         found = got["sentence_places", k]
-        assert (found == -1) if best > slips else edits(t, base[found]) == best
+        assert (found == -1) if best > slips else found >= 0 and edits(t, base[found]) == best, (t, found, best)
 
 
 # --- 3 ------------------------------------------------------------------------------
