@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,9 +11,17 @@ from pyspark.sql import functions as F
 from fumiyori.functions import vocabulary as V
 
 
+def _occurs(c: Column, pattern: str) -> Column:
+    """``rlike``; a literal, or one after a few characters to choose from, is found by plain searches that cost less."""
+    choice = re.fullmatch(r"(?:\[([^\]\\^-]+)\])?([^\[\]\\.*+?{}()|^$]+)", pattern)
+    if not choice:
+        return c.rlike(pattern)
+    return reduce(lambda a, b: a | b, (c.contains(first + choice.group(2)) for first in choice.group(1) or [""]))
+
+
 def hits(c: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur in a text (each counts once)."""
-    return F.size(F.filter(F.array(*(c.rlike(p) for p in patterns)), lambda hit: hit))
+    return F.size(F.filter(F.array(*(_occurs(c, p) for p in patterns)), lambda hit: hit))
 
 
 def _let(value: Column, use) -> Column:
@@ -119,6 +128,22 @@ def overall_quality(sentence: Column, place: Column, mention: Column) -> Column:
     return F.round(0.3 * sentence + 0.4 * place + 0.3 * mention, 2)
 
 
+def coordinate(c: Column | str) -> Column:
+    """A latitude or longitude; NaN stands for none, as null does."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(c), c)
+
+
+def api_confidence(context: Column) -> Column:
+    """Confidence of a map service's answer: 0.8, and 0.1 more (at most 0.9) where the context is sure."""
+    return F.when(context > 0.8, F.least(F.lit(0.9), F.lit(0.8) + 0.1)).otherwise(0.8)
+
+
+def entity_confidence(name: Column, is_location: Column) -> Column:
+    """Confidence of a tagged entity by its length and label."""
+    return F.least(F.lit(1.0), 0.7 + F.when(F.length(name) >= 4, 0.1).otherwise(0.0) + F.when(is_location, 0.1).otherwise(0.0))
+
+
 def in_japan(lat: Column, lon: Column, engine: str = "A") -> Column:
     top, left = (46.0, 123.0) if engine == "A" else (45.5, 122.0)
     return F.coalesce(lat.between(24.0, top) & lon.between(left, 146.0), F.lit(False))

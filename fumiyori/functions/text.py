@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,11 +76,11 @@ def markup_counts(c: Column) -> Column:
     return F.struct(*(n.alias(f"{kind}_count") for kind, n in counts.items()))
 
 
-def split_sentences(c: Column, terminators: str = "。．！？!?", min_len: int = 6, max_len: int = 500, keep: bool = True) -> Column:
-    """Array of sentences cut after (or at) each terminator, stripped, within the lengths."""
+def split_sentences(c: Column, terminators: str = "。．！？!?", min_len: int = 6, max_len: int | None = 500, keep: bool = True) -> Column:
+    """Array of sentences cut after (or at) each terminator, stripped, within the lengths (``max_len`` None: of any length)."""
     flat = F.regexp_replace(c, r"\n", " ")
     parts = F.split(flat, f"(?<=[{terminators}])" if keep else f"[{terminators}]")
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s).between(min_len, max_len))
+    return F.filter(F.transform(parts, strip), lambda s: F.length(s) >= min_len if max_len is None else F.length(s).between(min_len, max_len))
 
 
 def clean_text(c: Column, compat: bool = False) -> Column:
@@ -112,6 +114,17 @@ def preprocess(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
+#: Runs of one script: what a tagger without a dictionary takes for words.
+WORD_RUNS = r"[一-鿿々]+|[ぁ-ゟ]+|[゠-ヿ]+|\p{L}+|\p{Nd}+|[^\s\p{L}\p{Nd}]"
+
+
+def tokens(c: Column, separated: bool = False) -> Column:
+    """Words of a text: its parts between blanks if it is ``separated`` already, else runs of one script."""
+    clean = preprocess(c)
+    found = F.split(clean, " ") if separated else F.regexp_extract_all(clean, F.lit(WORD_RUNS), 0)
+    return F.filter(found, lambda t: F.length(t) > 0)
+
+
 def extract_metadata(c: Column) -> Column:
     """Struct of title, author and colophon entries; null where absent."""
     def first(*patterns: str) -> Column:
@@ -185,12 +198,20 @@ def detect_genre(c: Column, ladder: list[tuple[str, str]] = V.GENRES_B) -> Colum
 def _first_year(c: Column, pattern: str, base: int = 0) -> Column:
     years = F.transform(F.regexp_extract_all(c, F.lit("(?U)" + pattern), 1), lambda y: y.try_cast("int"))
     kept = F.filter(years, lambda y: (y + base).between(1800, 2100) & (y > 0))
-    return F.get(kept, 0) + base
+    return F.when(_may_match(c, pattern), F.get(kept, 0) + base)
+
+
+def _may_match(c: Column, pattern: str) -> Column:
+    """Whether a text has the characters without which a pattern cannot match, by plain searches that cost little."""
+    literals = re.sub(r"\[[^\]]*\]|\\.|\([^()]*\)|\.\*\?|[+*?{}^$|.\d]", "\0", pattern)
+    return reduce(lambda a, b: a & b, (c.contains(word) for word in dict.fromkeys(filter(None, literals.split("\0")))), F.lit(True))
 
 
 def extract_year(c: Column) -> Column:
     """Year of publication: western patterns, eras, contexts; the first match in this order. Wide digits count."""
     c = F.translate(c, "０１２３４５６７８９", "0123456789")
+    # A year needs four digits, or digits after the name of an era.
+    c = F.when(c.rlike(r"(?U)\d{4}|(?:明治|大正|昭和)\d"), c)
     return F.coalesce(*(_first_year(c, p) for p in V.YEAR_PATTERNS), *(_first_year(c, p, b) for p, b in V.ERA_PATTERNS), *(_first_year(c, p) for p in V.YEAR_CONTEXTS))
 
 

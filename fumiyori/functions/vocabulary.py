@@ -175,6 +175,63 @@ CATEGORIES = {"完全地名": "市区町村", "都道府県": "都道府県", "
 PLACE_SHAPES = [("prefecture", r"^.+?[都道府県]"), ("city", r"^.+?[市区町村]"), ("district", r"^.+?郡"), ("station", r"^.+?駅"), ("landmark", r"^.+?[山|川|湖|海|公園|寺|神社]")]
 
 
+# Places of the simple geocoder.
+SIMPLE_PLACES = """
+本郷 35.7081 139.7619 東京都文京区 0.95
+神田 35.6918 139.7648 東京都千代田区 0.95
+青山 35.6736 139.7263 東京都港区 0.95
+麻布 35.6581 139.7414 東京都港区 0.95
+両国 35.6967 139.7933 東京都墨田区 0.95
+赤坂 35.6745 139.7378 東京都港区 0.95
+日本橋 35.6813 139.7744 東京都中央区 0.95
+築地 35.6654 139.7707 東京都中央区 0.95
+新橋 35.6665 139.7580 東京都港区 0.95
+上野 35.7136 139.7772 東京都台東区 0.95
+銀座 35.6762 139.7649 東京都中央区 0.95
+新宿 35.6896 139.7006 東京都新宿区 0.95
+渋谷 35.6598 139.7006 東京都渋谷区 0.95
+浅草 35.7148 139.7967 東京都台東区 0.95
+品川 35.6284 139.7387 東京都港区 0.95
+池袋 35.7298 139.7101 東京都豊島区 0.95
+伏見 34.9393 135.7578 京都府京都市伏見区 0.98
+嵐山 35.0088 135.6761 京都府京都市右京区 0.98
+清水 34.9948 135.7849 京都府京都市東山区 0.92
+祇園 35.0037 135.7744 京都府京都市東山区 0.98
+宇治 34.8842 135.7991 京都府宇治市 0.95
+京都 35.0116 135.7681 京都府京都市 0.95
+難波 34.6659 135.5020 大阪府大阪市浪速区 0.92
+梅田 34.7010 135.4962 大阪府大阪市北区 0.92
+心斎橋 34.6723 135.5002 大阪府大阪市中央区 0.92
+大阪 34.6937 135.5023 大阪府大阪市 0.95
+横浜 35.4478 139.6425 神奈川県横浜市 0.95
+鎌倉 35.3197 139.5468 神奈川県鎌倉市 0.95
+箱根 35.2322 139.1069 神奈川県足柄下郡箱根町 0.95
+川崎 35.5309 139.7029 神奈川県川崎市 0.95
+千葉 35.6074 140.1065 千葉県千葉市 0.95
+埼玉 35.8617 139.6455 埼玉県さいたま市 0.95
+名古屋 35.1815 136.9066 愛知県名古屋市 0.95
+金沢 36.5945 136.6256 石川県金沢市 0.95
+富山 36.6953 137.2113 富山県富山市 0.95
+新潟 37.9026 139.0235 新潟県新潟市 0.95
+長野 36.6485 138.1950 長野県長野市 0.95
+小樽 43.1907 140.9947 北海道小樽市 0.95
+函館 41.7687 140.7291 北海道函館市 0.95
+札幌 43.0642 141.3469 北海道札幌市 0.95
+最上 38.7583 140.1761 山形県最上郡 0.90
+福岡 33.5904 130.4017 福岡県福岡市 0.95
+鹿児島 31.5966 130.5571 鹿児島県鹿児島市 0.95
+長崎 32.7448 129.8737 長崎県長崎市 0.95
+江戸 35.6762 139.6503 東京都 0.85
+平安京 35.0116 135.7681 京都府 0.85
+大和 34.6851 135.8325 奈良県 0.85
+伊勢 34.4900 136.7056 三重県伊勢市 0.85
+甲斐 35.6635 138.5681 山梨県 0.85
+信濃 36.2048 137.9677 長野県 0.85
+"""
+# What is added to an author's name to look a page up, in order of preference.
+LOOKUP_WORDS = ["", " 作家", " 小説家", " 文学者", " 詩人", " 明治", " 大正", " 昭和"]
+
+
 def rows(table: str) -> list[tuple[str, float, float, str, float]]:
     """Rows (name, lat, lon, location, confidence) of a gazetteer text."""
     out = []

@@ -5,26 +5,32 @@ Parquet has no update in place; every function returns the table as it is afterw
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task numbers; ids come from counts per block, so no single task sees all rows.
-ID_BLOCKS = 64
+from fumiyori.operators.sizing import broadcast_if_small
+from fumiyori.session import cut_lineage
+
+#: Rows that one task numbers; ids come from counts per range, so no single task sees all rows.
+ID_ROWS = 1_000_000
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """``new`` with ids after the highest existing one, in a fixed order, without one task over all rows.
 
-    Rows are split by ranges of the first order column; a range's ids start after the rows of
-    the ranges before it (one count per range).
+    Rows are split by ranges of the order columns, about one per :data:`ID_ROWS` rows; a range's
+    ids start after the rows of the ranges before it (one count per range). The ranges are
+    written before they are counted, so both readings see the same.
     """
     start = existing.agg(F.max(id_col)).first()[0] or 0  # one number
-    placed = new.drop(id_col).repartitionByRange(ID_BLOCKS, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    fresh = new.drop(id_col)
+    ranges = max(1, -(-fresh.count() // ID_ROWS))
+    placed = cut_lineage(fresh.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()))
     numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = numbered.groupBy("_p").agg(F.max("_n").alias("_size"))
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    # One row a range: at most ID_BLOCKS rows.
-    return numbered.join(F.broadcast(offsets), "_p").withColumn(id_col, F.lit(int(start)) + F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
+    # One row a range of a million rows.
+    return numbered.join(broadcast_if_small(offsets), "_p").withColumn(id_col, F.lit(int(start)) + F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
 
 
 def get_or_create(existing: DataFrame, incoming: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -84,6 +90,20 @@ def reject_places(masters: DataFrame, mentions: DataFrame, names: DataFrame) ->
     return marked, delete_matching(mentions, ids, "master_id"), report
 
 
+def touch(before: DataFrame, after: DataFrame, key: str, now: Column, column: str = "updated_at") -> DataFrame:
+    """``after`` with ``column`` set to ``now`` in rows that differ from the row of the same key in ``before``."""
+    compared = [c for c in after.columns if c != column and c in before.columns and c != key]
+    old = before.select(key, F.struct(*(F.col(c) for c in compared)).alias("_old"))
+    changed = ~F.col("_old").eqNullSafe(F.struct(*(F.col(c) for c in compared)))
+    return after.join(old, key, "left").withColumn(column, F.when(changed, now).otherwise(F.col(column))).drop("_old").select(*after.columns)
+
+
+def consolidation(old: DataFrame, new: DataFrame) -> str:
+    """What to do with two tables of the same kind: ``nothing``, ``keep new``, ``take over`` or ``refuse`` (both hold rows)."""
+    has_old, has_new = (not df.limit(1).isEmpty() for df in (old, new))
+    return {(False, False): "nothing", (False, True): "keep new", (True, False): "take over", (True, True): "refuse"}[has_old, has_new]
+
+
 def usage_statistics(masters: DataFrame, mentions: DataFrame) -> DataFrame:
     """Masters with ``usage_count, first_used_at, last_used_at`` recomputed from the mentions."""
     used = mentions.where("master_id IS NOT NULL").groupBy("master_id").agg(F.count(F.lit(1)).alias("usage_count"), F.min("created_at").alias("first_used_at"), F.max("created_at").alias("last_used_at"))

@@ -4,17 +4,18 @@
 cells at least as wide; a point meets only cells that its circle can touch. Cells that
 hold more than :data:`CELL_CAP` points are divided among several tasks.
 
-*Inside*: polygon edges are cut into latitude strips and joined to the points of the
-same strip; a point lies inside if an odd number of edges crosses the ray to its east.
-Points that lie on an edge or a corner belong to the area (a closed polygon), which is
-decided apart from the crossings.
+*Inside*: polygon edges are cut into latitude strips, and every strip into longitude bins;
+an edge goes to the bins from its area's west end in the strip to its own east end, so a
+point meets only the edges to its east of areas that reach its bin. It lies inside if an odd
+number of them crosses the ray to its east. Points that lie on an edge or a corner belong to
+the area (a closed polygon), which is decided apart from the crossings.
 
 Defined results
 ---------------
 * Only rows with two present, numeric coordinates within ±90 and ±180, not both 0,
   are points. Rows with a null id are no points; repeated rows count once.
 * Areas with null or unreadable outlines contain nothing; a repeated area id counts
-  the edges of each distinct outline apart.
+  the edges of each distinct outline apart. The parts of a MULTIPOLYGON count as one area.
 * Empty tables give no rows; further columns are not read.
 """
 
@@ -30,8 +31,8 @@ from fumiyori.operators.sizing import broadcast_if_small
 EARTH_RADIUS_M = 6_371_008.8
 #: Points of a cell that one task pairs with its probes; a larger cell is divided, not cut off.
 CELL_CAP = 2_000
-#: Height in degrees of the latitude strips of polygon edges.
-EDGE_STRIP_DEG = 0.25
+#: Height in degrees of the latitude strips of polygon edges, and width of their longitude bins.
+EDGE_STRIP_DEG, EDGE_BIN_DEG = 0.25, 1.0
 
 
 def points_of(df: DataFrame, id_col: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -96,8 +97,8 @@ def near_pairs(points: DataFrame, radius_m: float = 500.0) -> DataFrame:
 
 
 def polygon_edges(areas: DataFrame, id_col: str = "area_id", wkt: str = "boundary_wkt") -> DataFrame:
-    """Edges ``area_id, ring, x1, y1, x2, y2`` of POLYGON outlines (rings with holes too)."""
-    rings = areas.where(F.col(id_col).isNotNull() & F.col(wkt).rlike(r"(?i)^\s*POLYGON\s*\(")).select(
+    """Edges ``area_id, x1, y1, x2, y2`` of POLYGON and MULTIPOLYGON outlines (rings with holes too)."""
+    rings = areas.where(F.col(id_col).isNotNull() & F.col(wkt).rlike(r"(?i)^\s*(?:MULTI)?POLYGON\s*\(")).select(
         F.col(id_col).cast("long").alias("area_id"), F.explode(F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), 1)).alias("ring")
     ).distinct()
     corner = lambda t: F.transform(F.split(F.trim(t), r"\s+"), lambda c: c.try_cast("double"))
@@ -109,13 +110,17 @@ def polygon_edges(areas: DataFrame, id_col: str = "area_id", wkt: str = "boundar
     )
 
 
-def inside_areas(points: DataFrame, areas: DataFrame, strip_deg: float = EDGE_STRIP_DEG) -> DataFrame:
+def inside_areas(points: DataFrame, areas: DataFrame, strip_deg: float = EDGE_STRIP_DEG, bin_deg: float = EDGE_BIN_DEG) -> DataFrame:
     """``id, area_id`` of every closed polygon that contains the point."""
     spark = points.sparkSession
     cut = F.sequence(F.floor(F.least("y1", "y2") / strip_deg).cast("long"), F.floor(F.greatest("y1", "y2") / strip_deg).cast("long"))
-    # Edges are few where areas are few; a large set of outlines falls back to a shuffle join.
-    edges = broadcast_if_small(polygon_edges(areas).withColumn("strip", F.explode(cut)))
-    placed = points.withColumn("strip", F.floor(F.col("lat") / strip_deg).cast("long"))
+    in_bin = lambda x: F.floor(x / bin_deg).cast("long")
+    stripped = polygon_edges(areas).withColumn("strip", F.explode(cut))
+    west = stripped.groupBy("area_id", "strip").agg(F.min(F.least("x1", "x2")).alias("west"))
+    binned = stripped.join(west, ["area_id", "strip"]).withColumn("bin", F.explode(F.sequence(in_bin(F.col("west")), in_bin(F.greatest("x1", "x2"))))).drop("west")
+    # Edges are few where areas are few; a large set of outlines falls back to a shuffle join by strip and bin.
+    edges = broadcast_if_small(binned)
+    placed = points.withColumns({"strip": F.floor(F.col("lat") / strip_deg).cast("long"), "bin": in_bin(F.col("lon"))})
     return spark.sql(
         """
         WITH met AS (
@@ -126,7 +131,7 @@ def inside_areas(points: DataFrame, areas: DataFrame, strip_deg: float = EDGE_ST
                    CASE WHEN p.lon BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
                          AND p.lat BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)
                          AND abs((e.x2 - e.x1) * (p.lat - e.y1) - (e.y2 - e.y1) * (p.lon - e.x1)) <= 1e-12 THEN 1 ELSE 0 END AS on_edge
-            FROM {points} p JOIN {edges} e ON p.strip = e.strip
+            FROM {points} p JOIN {edges} e ON p.strip = e.strip AND p.bin = e.bin
             WHERE p.lon <= greatest(e.x1, e.x2)
         )
         SELECT id, area_id FROM met WHERE crosses = 1 OR on_edge = 1

@@ -113,13 +113,33 @@ def author_patterns(c: Column) -> Column:
 
 
 def match_authors(names: DataFrame, authors: DataFrame, name: str = "name") -> DataFrame:
-    """``name, author_id``: the first pattern that is an author, else the first author whose name has the surname."""
-    wanted = names.select(F.col(name).alias("name")).distinct()
+    """``name, author_id``: the first pattern that is an author, else the first author whose name has the surname; empty names find nobody."""
+    wanted = names.select(F.col(name).alias("name")).where("name <> ''").distinct()
     tried = wanted.select("name", F.posexplode(author_patterns(F.col("name"))).alias("rank", "author_name"))
     found = tried.join(authors.select("author_name", "author_id"), "author_name").groupBy("name").agg(F.min_by("author_id", F.struct("rank", "author_id")).alias("author_id"))
     rest = wanted.join(found, "name", "left_anti").withColumn("surname", F.when(F.col("name").rlike("[ 　]"), F.regexp_extract("name", "^[^ 　]+", 0)).otherwise(F.substring("name", 1, 2)))
-    # Substrings of a name as long as the surname meet it by equality, so no loop over all names is needed.
-    lengths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("author_name")))
-    pieces = authors.where("author_name <> ''").select("author_id", "author_name", F.explode(lengths).alias("at")).select("author_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.length("author_name") - F.col("at") + 1)), lambda n: F.substring(F.col("author_name"), F.col("at"), n))).alias("surname")).distinct()
-    partly = rest.join(pieces, "surname").groupBy("name").agg(F.min("author_id").alias("author_id"))
-    return found.unionByName(partly)
+    # A surname meets the names that have its rarest pair of characters (or its only character), so no loop over all names is needed.
+    spelled = authors.where("author_name <> ''").groupBy("author_name").agg(F.min("author_id").alias("author_id"))
+    met = containing(rest.where("surname <> ''").select("name", "surname"), "surname", spelled, "author_name")
+    return found.unionByName(met.groupBy("name").agg(F.min("author_id").alias("author_id")))
+
+
+def containing(probes: DataFrame, part: str, rows: DataFrame, whole: str) -> DataFrame:
+    """Pairs of ``probes`` and ``rows`` where the string ``part`` lies within ``whole``.
+
+    Strings meet by equality on one pair of characters of ``part``, the one that the fewest
+    wholes have; parts of one character meet on that character. Empty parts meet nothing.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    grams = lambda c: F.array_distinct(F.when(F.length(c) >= 2, pairs(c)).otherwise(F.array()))
+    letters = F.array_distinct(F.split(F.col(whole), ""))
+    parts = probes.where(F.length(part) > 0).select(part).distinct()
+    # Single characters are indexed only if some part is one.
+    singles = rows.select(F.explode(letters).alias("_gram"), whole).join(parts.where(F.length(part) == 1).select(F.col(part).alias("_gram")), "_gram", "left_semi")
+    index = rows.select(F.explode(grams(F.col(whole))).alias("_gram"), whole).unionByName(singles).distinct()
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = parts.select(part, F.explode(F.when(F.length(part) >= 2, grams(F.col(part))).otherwise(F.array(F.col(part)))).alias("_gram"))
+    # A gram that no whole has rules its part out.
+    rarest = keyed.join(counts, "_gram", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("g")).where("g.n > 0").select(part, F.col("g.gram").alias("_gram"))
+    met = rarest.join(index, "_gram").where(F.col(whole).contains(F.col(part))).select(part, whole)
+    return probes.join(met, part).join(rows, whole)

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fumiyori.functions import vocabulary as V
-from fumiyori.functions.scoring import is_invalid_candidate
+from fumiyori.functions.scoring import coordinate, is_invalid_candidate
 from fumiyori.functions.text import normalize_place_name, prefecture_of, strip
+from fumiyori.operators.relations import containing
 from fumiyori.operators.sizing import broadcast_if_small
 
-#: Lengths of substrings by which a name finds the masters that contain it; longer names go by their first characters.
+#: Characters of the shortest name that is looked up in sentences.
 GRAM = 2
 #: Numbers of first characters by which names are looked up in sentences.
 WIDTHS = (GRAM, 4, 8)
@@ -27,10 +28,14 @@ def dictionary_candidates(sentences: DataFrame, names: DataFrame, name: str = "d
     """
     width = F.greatest(*(F.when(F.length(name) >= w, w) for w in WIDTHS))
     keyed = names.where(F.length(name) >= GRAM).select(F.col(name).alias("text"), F.substring(F.col(name), F.lit(1), width).alias("gram")).distinct()
-    places = sentences.where(F.length("sentence_text") >= GRAM).select("sentence_id", "sentence_text", F.explode(F.sequence(F.lit(0), F.length("sentence_text") - GRAM)).alias("start"))
-    widths = places.select("*", F.explode(F.array(*map(F.lit, WIDTHS))).alias("w")).where(F.col("start") + F.col("w") <= F.length("sentence_text"))
-    grams = widths.select("sentence_id", "sentence_text", "start", F.substring(F.col("sentence_text"), F.col("start") + 1, F.col("w")).alias("gram"))
-    met = grams.join(broadcast_if_small(keyed), "gram").where(F.substring("sentence_text", F.col("start") + 1, F.length("text")) == F.col("text"))
+    # A position carries as many characters as the longest name has, never its whole sentence.
+    longest = keyed.agg(F.max(F.length("text"))).first()[0] or GRAM
+    text = F.col("sentence_text")
+    slices = F.transform(F.sequence(F.lit(0), F.length(text) - GRAM), lambda i: F.struct(i.alias("start"), F.substring(text, i + 1, F.lit(longest)).alias("slice")))
+    places = sentences.where(F.length(text) >= GRAM).select("sentence_id", F.explode(slices).alias("p")).select("sentence_id", "p.start", "p.slice")
+    widths = places.select("*", F.explode(F.array(*map(F.lit, WIDTHS))).alias("w")).where(F.length("slice") >= F.col("w"))
+    grams = widths.select("sentence_id", "slice", "start", F.substring(F.col("slice"), F.lit(1), F.col("w")).alias("gram"))
+    met = grams.join(broadcast_if_small(keyed), "gram").where(F.col("slice").startswith(F.col("text")))
     return met.select("sentence_id", "text", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(confidence).alias("confidence"))
 
 
@@ -83,9 +88,9 @@ def best_candidates(candidates: DataFrame, by: list[str], text: str = "text", or
 def resolve_masters(names: DataFrame, masters: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
     """``name, master_id, tier`` of every distinct name: normalized, display, alias, then substring.
 
-    Rejected masters are never found. The substring tier takes the shortest normalized name,
-    then the lowest id, and needs a name of at least two characters; names meet masters by
-    shared pairs of characters.
+    Rejected masters are never found. The substring tier looks for the key in normalized names
+    and for the name in display names, and takes the shortest normalized name, then the lowest
+    id; an empty key is in none.
     """
     wanted = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct().withColumn("key", normalize_place_name(F.col("name")))
     live = masters.where("validation_status IS NULL OR validation_status <> 'rejected'").select("master_id", "normalized_name", "display_name")
@@ -94,12 +99,12 @@ def resolve_masters(names: DataFrame, masters: DataFrame, aliases: DataFrame, na
         tier(wanted.join(aliases.where("master_id IS NOT NULL").select("master_id", "alias_name").join(live.select("master_id"), "master_id"), F.col("name") == F.col("alias_name")), 3)
     )
     exact = hits.groupBy("name").agg(F.min(F.struct("tier", "master_id")).alias("m")).select("name", "m.master_id", "m.tier")
-    open_ = wanted.join(exact, "name", "left_anti").where(F.length("key") >= GRAM)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(c, i, F.lit(GRAM))))
-    spelled = live.select("master_id", "normalized_name", F.explode(F.array_distinct(F.array("normalized_name", "display_name"))).alias("spelling")).where(F.length("spelling") >= GRAM)
-    index = spelled.select("master_id", "normalized_name", "spelling", F.explode(grams(F.col("spelling"))).alias("gram"))
-    probe = open_.select("name", "key", F.substring("key", 1, GRAM).alias("gram")).unionByName(open_.select("name", "key", F.substring("name", 1, GRAM).alias("gram"))).distinct()
-    partly = probe.join(index, "gram").where(F.col("spelling").contains(F.col("key")) | F.col("spelling").contains(F.col("name")))
+    open_ = wanted.join(exact, "name", "left_anti").where("key <> ''")
+    # Per spelling the first master in the order of the tier: nothing else of a repeated spelling can win.
+    first = lambda c: live.where(F.col(c) != "").groupBy(c).agg(F.min(F.struct(F.length("normalized_name").alias("n"), "master_id", "normalized_name")).alias("m")).select(F.col(c).alias("spelling"), "m.master_id", "m.normalized_name")
+    partly = containing(open_.select("name", "key"), "key", first("normalized_name"), "spelling").select("name", "master_id", "normalized_name").unionByName(
+        containing(open_.select("name"), "name", first("display_name"), "spelling").select("name", "master_id", "normalized_name")
+    )
     best = partly.groupBy("name").agg(F.min(F.struct(F.length("normalized_name").alias("n"), "master_id")).alias("m")).select("name", "m.master_id", F.lit(4).alias("tier"))
     return wanted.select("name").join(exact.unionByName(best), "name", "left")
 
@@ -122,7 +127,7 @@ def geocode(names: DataFrame, name: str = "name", compat: bool = True) -> DataFr
     """
     spark = names.sparkSession
     wanted = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
-    rows = F.broadcast(gazetteer(spark).withColumnRenamed("name", "entry").withColumn("base", F.regexp_replace("entry", "[都府県]$", "")))
+    rows = F.broadcast(gazetteer(spark).withColumnRenamed("name", "entry").withColumn("base", F.translate("entry", "都府県", "")))
     contains = F.col("entry").contains(F.col("name")) if compat else F.col("base") == F.col("name")
     exact = F.col("tier").isin(1, 2, 4) & (F.col("entry") == F.col("name"))
     prefecture = (F.col("tier") == 3) & (contains | (F.col("base") == F.col("name")))
@@ -138,6 +143,35 @@ def geocode(names: DataFrame, name: str = "name", compat: bool = True) -> DataFr
     return best.select("name", F.when(found, F.col("g.rank")).alias("tier"), F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon"), F.col("g.location").alias("location"), prefecture_of(F.col("g.location")).alias("prefecture"), F.when(found, F.round(confidence, 4)).alias("confidence"))
 
 
+def geocode_simple(names: DataFrame, name: str = "name") -> DataFrame:
+    """``name, tier, lat, lon, location, prefecture, confidence`` of distinct names by the simple geocoder.
+
+    Its places match exactly; then prefectures in list order that contain the name or equal it
+    without 都府県; then prefectures whose base contains it or lies in it (confidence less 0.3).
+    """
+    entries = [(1, i, *row) for i, row in enumerate(V.rows(V.SIMPLE_PLACES))] + [(2, i, *row) for i, row in enumerate(V.rows(V.PREFECTURES))]
+    rows = names.sparkSession.createDataFrame(entries, "tier int, ordinal int, entry string, lat double, lon double, location string, confidence double").withColumn("base", F.translate("entry", "都府県", ""))
+    wanted = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
+    n, prefecture = F.col("name"), F.col("tier") == 2
+    rank = F.when(~prefecture, F.when(F.col("entry") == n, 1)).when(F.col("entry").contains(n) | (F.col("base") == n), 2).when(n.contains(F.col("base")) | F.col("base").contains(n), 3)
+    # A fixed list of under 100 rows: the substring join is a scan of that list per name.
+    met = wanted.join(F.broadcast(rows), rank.isNotNull(), "left")
+    best = met.groupBy("name").agg(F.min(F.struct(rank.alias("tier"), "ordinal", "lat", "lon", "location", "confidence")).alias("g"))
+    found = F.col("g.lat").isNotNull()
+    return best.select("name", F.when(found, F.col("g.tier")).alias("tier"), F.col("g.lat").alias("lat"), F.col("g.lon").alias("lon"), F.col("g.location").alias("location"), prefecture_of(F.col("g.location")).alias("prefecture"), F.when(found, F.round(F.when(F.col("g.tier") == 3, F.greatest(F.lit(0.3), F.col("g.confidence") - 0.3)).otherwise(F.col("g.confidence")), 4)).alias("confidence"))
+
+
+def geocode_in_context(judged: DataFrame) -> DataFrame:
+    """The tiers of :func:`geocode` for the names that some context takes for a place; ``judged`` has ``name, is_place``."""
+    return geocode(judged.where("is_place").select("name"))
+
+
+def propagated_coordinates(mentions: DataFrame, masters: DataFrame) -> DataFrame:
+    """``relation_id, latitude, longitude, geocoding_source, geocoding_confidence`` of mentions whose master is located."""
+    located = masters.select("master_id", coordinate("latitude").alias("latitude"), coordinate("longitude").alias("longitude"), "geocoding_source", "geocoding_confidence").where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    return mentions.select("relation_id", "master_id").join(located, "master_id").drop("master_id")
+
+
 def best_address(results: DataFrame, name: str = "name", address: str = "address", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Per name the result whose address has the name, else the first inside Japan, else the first."""
     inside = F.coalesce(F.col(lat).between(24, 46) & F.col(lon).between(123, 146), F.lit(False))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fumiyori.functions.scoring import coordinate
+
+
+#: Ids of sentences whose uses meet in one window partition.
+CONTEXT_BLOCK = 65_536
+
 
 def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     """Percentage, 0 where there is nothing to divide by."""
@@ -31,7 +37,7 @@ def place_statistics(masters: DataFrame, mentions: DataFrame, sentences: DataFra
 
 
 def master_summary(masters: DataFrame) -> DataFrame:
-    n, geo = F.count(F.lit(1)), F.count("latitude")
+    n, geo = F.count(F.lit(1)), F.count(coordinate("latitude"))
     return masters.agg(n.alias("total_masters"), geo.alias("geocoded"), F.count_if(F.col("validation_status") == "validated").alias("validated"), F.coalesce(F.sum("usage_count"), F.lit(0)).alias("total_usage"), rate(geo, n).alias("geocoding_rate"))
 
 
@@ -42,7 +48,7 @@ def distribution(df: DataFrame, column: str, null_as: str | None = None) -> Data
 
 
 def geocoding_statistics(masters: DataFrame) -> DataFrame:
-    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    both = coordinate("latitude").isNotNull() & coordinate("longitude").isNotNull()
     c = F.col("geocoding_confidence")
     return masters.agg(F.count(F.lit(1)).alias("total"), F.count_if(both).alias("geocoded"), F.count_if(both & (c >= 0.9)).alias("high"), F.count_if(both & (c >= 0.7) & (c < 0.9)).alias("medium"), rate(F.count_if(both), F.count(F.lit(1))).alias("success_rate"))
 
@@ -83,7 +89,7 @@ def work_rollup(works: DataFrame, sentences: DataFrame, mentions: DataFrame) ->
 
 def ungeocoded_usage(masters: DataFrame, mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     """Places without coordinates: how often they are used, and one sample sentence (the least text)."""
-    missing = masters.where("latitude IS NULL OR longitude IS NULL").select("master_id", "display_name")
+    missing = masters.where(coordinate("latitude").isNull() | coordinate("longitude").isNull()).select("master_id", "display_name")
     texts = mentions.select("master_id", "sentence_id").join(missing.select("master_id"), "master_id", "left_semi").join(sentences.select("sentence_id", "sentence_text"), "sentence_id")
     used = texts.groupBy("master_id").agg(F.count(F.lit(1)).alias("usage_count"), F.min("sentence_text").alias("sample_text"))
     return missing.join(used, "master_id", "left").select("master_id", "display_name", F.coalesce("usage_count", F.lit(0)).alias("usage_count"), "sample_text")
@@ -92,13 +98,17 @@ def ungeocoded_usage(masters: DataFrame, mentions: DataFrame, sentences: DataFra
 def verification_worklist(masters: DataFrame, mentions: DataFrame, sentences: DataFrame, limit: int = 20, contexts: int = 5) -> DataFrame:
     """The least used unverified places with up to ``contexts`` first sentences (a top-k report).
 
-    A bounded aggregate keeps the smallest ids, so a popular place never gathers all its texts.
+    Only the smallest ids of every block of ids are kept, so a popular place never gathers all its texts.
     """
     open_ = masters.where("validation_status IS NULL OR validation_status <> 'validated'").select("master_id", "display_name", "geocoding_confidence")
     counts = mentions.groupBy("master_id").agg(F.count(F.lit(1)).alias("usage_count"))
     top = open_.join(counts, "master_id").orderBy(F.col("usage_count").asc(), F.col("geocoding_confidence").asc_nulls_first(), "master_id").limit(limit)
-    lines = mentions.join(F.broadcast(top.select("master_id")), "master_id").join(sentences.select("sentence_id", "sentence_text"), "sentence_id")
-    texts = lines.select("master_id", "sentence_id", "sentence_text").distinct().groupBy("master_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sentence_id", "sentence_text"))), 1, contexts).alias("c"))
+    # The first sentences of every block of ids, then of those the first: what is gathered is a few rows a block.
+    used = mentions.join(F.broadcast(top.select("master_id")), "master_id").select("master_id", "sentence_id").join(sentences.select("sentence_id"), "sentence_id", "left_semi").distinct()
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("sentence_id"))).where(F.col("_r") <= contexts).drop("_r")
+    kept = first(first(used.withColumn("_block", F.floor(F.col("sentence_id") / CONTEXT_BLOCK)), "master_id", "_block"), "master_id").select("master_id", "sentence_id")
+    lines = kept.join(sentences.select("sentence_id", "sentence_text"), "sentence_id")
+    texts = lines.groupBy("master_id").agg(F.slice(F.sort_array(F.collect_set(F.struct("sentence_id", "sentence_text"))), 1, contexts).alias("c"))
     return top.join(texts, "master_id", "left").select("master_id", "display_name", "usage_count", F.size("c").alias("n_contexts"), F.concat_ws("|||", F.transform("c", lambda s: s.sentence_text)).alias("contexts"))
 
 
@@ -120,6 +130,30 @@ def alerts(events: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataF
     return last.join(F.broadcast(rules), "event_type").where("(op = '<' AND value < threshold) OR (op = '>' AND value > threshold)").select("event_type", "value", "threshold")
 
 
+def recorders(events: DataFrame, kind: str, value: str, order: list[str], bounds: list[float]) -> DataFrame:
+    """Counter, gauge and histogram of every kind: ``kind, total, last_value, sum_value, le_...`` (cumulative counts up to each bound)."""
+    v = F.col(value)
+    buckets = [F.count_if(v <= b).alias(f"le_{b:g}".replace(".", "_")) for b in bounds]
+    return events.groupBy(kind).agg(F.count(F.lit(1)).alias("total"), F.max_by(value, F.struct(*order)).alias("last_value"), F.round(F.sum(v), 6).alias("sum_value"), *buckets)
+
+
+def author_details(authors: DataFrame, works: DataFrame, sentences: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``author_id, works_count, total_sentences, total_places, unique_places`` of every author."""
+    placed = mentions.select("sentence_id", "master_id").join(sentences.select("sentence_id", "work_id"), "sentence_id").groupBy("work_id", "master_id").agg(F.count(F.lit(1)).alias("n"))
+    s = sentences.groupBy("work_id").agg(F.count(F.lit(1)).alias("s"))
+    by_work = works.where("author_id IS NOT NULL").select("author_id", "work_id").join(s, "work_id", "left").groupBy("author_id").agg(F.count(F.lit(1)).alias("works_count"), F.sum("s").alias("total_sentences"))
+    by_place = works.select("author_id", "work_id").join(placed, "work_id").groupBy("author_id", "master_id").agg(F.sum("n").alias("n")).groupBy("author_id").agg(F.sum("n").alias("total_places"), F.count("master_id").alias("unique_places"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return authors.select("author_id").join(by_work, "author_id", "left").join(by_place, "author_id", "left").select("author_id", *map(zero, ("works_count", "total_sentences", "total_places", "unique_places")))
+
+
+def export_statistics(authors: DataFrame) -> DataFrame:
+    """``entry, value, n``: authors, works, and authors by copyright state and section, as an export's metadata lists them (no works without their column)."""
+    one = lambda entry, n: authors.agg(n.alias("n")).select(F.lit(entry).alias("entry"), F.lit(None).cast("string").alias("value"), "n")
+    by = lambda entry, column: authors.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(entry).alias("entry"), "value", "n")
+    return reduce(DataFrame.unionByName, (one("total_authors", F.count(F.lit(1))), one("total_works", F.coalesce(F.sum("aozora_works_count"), F.lit(0)) if "aozora_works_count" in authors.columns else F.lit(0).cast("long")), by("copyright_status", "copyright_status"), by("section", "section")))
+
+
 def usage_actions(judged: DataFrame, key: str) -> DataFrame:
     """``key, n_uses, n_place, action`` of per-sentence verdicts (``is_place``)."""
     n, k = F.count(F.lit(1)), F.count_if("is_place")

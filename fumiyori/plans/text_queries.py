@@ -18,10 +18,10 @@ def _strip(sql: str) -> str:
     return f"regexp_replace({sql}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-def _sql_split(text: str, terminators: str, low: int, high: int, keep: bool = True) -> str:
+def _sql_split(text: str, terminators: str, low: int, high: int | None, keep: bool = True) -> str:
     flat = f"replace({text}, chr(10), ' ')"
     parts = f"regexp_extract_all({flat}, '[^{terminators}]*[{terminators}]|[^{terminators}]+$')" if keep else f"regexp_split_to_array({flat}, '[{terminators}]')"
-    return f"list_filter(list_transform({parts}, lambda x: {_strip('x')}), lambda x: length(x) BETWEEN {low} AND {high})"
+    return f"list_filter(list_transform({parts}, lambda x: {_strip('x')}), lambda x: length(x) >= {low}{'' if high is None else f' AND length(x) <= {high}'})"
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,12 @@ def sentence_split(spark, sf_dir):
 
 def sentence_split_short(spark, sf_dir):
     """The same with the marks 。．！？ and pieces from 3 characters."""
-    return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.split_sentences(F.col("t"), "。．！？", 3, 1_000_000))).select("doc_id", (F.col("pos") + 1).alias("sentence_order"), F.col("col").alias("sentence_text"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.split_sentences(F.col("t"), "。．！？", 3, None))).select("doc_id", (F.col("pos") + 1).alias("sentence_order"), F.col("col").alias("sentence_text"))
 
 
 def sentence_split_drop(spark, sf_dir):
     """Sentences without their marks."""
-    return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.split_sentences(F.col("t"), "。．！？", 1, 1_000_000, False))).select("doc_id", (F.col("pos") + 1).alias("sentence_order"), F.col("col").alias("sentence_text"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.split_sentences(F.col("t"), "。．！？", 1, None, False))).select("doc_id", (F.col("pos") + 1).alias("sentence_order"), F.col("col").alias("sentence_text"))
 
 
 def text_statistics(spark, sf_dir):
@@ -171,6 +171,15 @@ def _sql_first(*patterns: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({_strip(f'''regexp_extract(text, '{p}[ \\t　]*([^\\n]*)', 1)''')}, '')" for p in patterns) + ")"
 
 
+# Letters, marks, digits, connectors, blanks and the ranges of the rule, spelled out for an engine without Unicode words.
+_USUAL = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}぀-ヿ　-鿿。、！？「」『』（）"
+
+
+def sentence_score_sql(text: str) -> str:
+    """The score of a sentence in SQL."""
+    return f"round(CASE WHEN length({text}) < 10 THEN 0.8 ELSE 1.0 END::DOUBLE * CASE WHEN length({text}) > 1000 THEN 0.9 ELSE 1.0 END * CASE WHEN regexp_matches({text}, '[^{_USUAL}]') THEN 0.7 ELSE 1.0 END, 4)"
+
+
 _SENT = "CASE WHEN text IS NULL OR text = '' THEN NULL ELSE list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^。．！？!?]*[。．！？!?]|[^。．！？!?]+$'), lambda x: " + _strip("x") + "), lambda x: length(x) > 0) END"
 
 
@@ -180,8 +189,8 @@ def _exploded(list_sql: str) -> str:
 
 ORACLES = {
     "sentence_split": f"SELECT *, length(sentence_text)::INT AS char_count FROM ({_exploded(_sql_split('text', '。．！？!?', 6, 500))})",
-    "sentence_split_short": _exploded(_sql_split("text", "。．！？", 3, 1_000_000)),
-    "sentence_split_drop": _exploded(_sql_split("text", "。．！？", 1, 1_000_000, False)),
+    "sentence_split_short": _exploded(_sql_split("text", "。．！？", 3, None)),
+    "sentence_split_drop": _exploded(_sql_split("text", "。．！？", 1, None, False)),
     "text_statistics": f"""
         SELECT doc_id, length(text)::INT AS n_chars, length(regexp_replace(text, '{_WS}+', '', 'g'))::INT AS n_visible, len(s)::INT AS n_sentences,
                len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {_strip('p')} <> ''))::INT AS n_paragraphs,
@@ -213,6 +222,7 @@ ORACLES = {
     "prefecture_prefix": "SELECT master_id, CASE WHEN contains(prefecture, '都') THEN split_part(prefecture, '都', 1) || '都' WHEN contains(prefecture, '府') THEN split_part(prefecture, '府', 1) || '府' WHEN contains(prefecture, '県') THEN split_part(prefecture, '県', 1) || '県' END AS area FROM place_masters",
     "cache_keys": "SELECT master_id, md5('maps:' || display_name) AS cache_key FROM place_masters",
     "text_samples": "SELECT sentence_id, CASE WHEN length(sentence_text) > 50 THEN substring(sentence_text, 1, 50) || '...' ELSE sentence_text END AS sample FROM sentences",
+    "sentence_scores": f"SELECT sentence_id, {sentence_score_sql('sentence_text')} AS score FROM sentences",
     "author_readings": "SELECT author_id, coalesce(author_name_kana, CASE author_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.READINGS.items()) + " END) AS reading FROM authors",
     "category_map": "SELECT master_id, coalesce(CASE place_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.CATEGORIES.items()) + " END, '有名地名') AS category FROM place_masters",
     "prompts": "SELECT master_id, '地名「' || display_name || '」を地図で探す（' || coalesce(prefecture, '不明') || '）' AS prompt FROM place_masters",

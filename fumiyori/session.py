@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when the frames that need them are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,15 +37,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so lost executors cost no recomputation.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where the setting
-    is absent (tests on one machine) a folder under the working directory's
-    warehouse is used.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where the setting is absent, a
+    session on one machine uses a folder under its warehouse; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-            spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "checkpoints"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master or "").startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

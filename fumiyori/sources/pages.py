@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fumiyori.functions import vocabulary as V
-from fumiyori.functions.text import clean_text, extract_year, strip
+from fumiyori.functions.text import best_literary_option, clean_text, extract_year, is_literary, life_years, normalize_title, strip
 
 _TAG = r"<[^>]+>"
 
@@ -22,8 +22,13 @@ def text_of(c: Column) -> Column:
 
 def links(pages: DataFrame, contains: str, html: str = "html", url: str = "url") -> DataFrame:
     """``url, text, href`` of every link whose address contains a word."""
-    found = pages.select(F.col(url).alias("url"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?is)(<a\b[^>]*>.*?</a>)'), 1)).alias("a"))
-    return found.select("url", text_of(F.col("a")).alias("text"), F.regexp_extract("a", r'(?i)href\s*=\s*["\']([^"\']+)["\']', 1).alias("href")).where(F.col("href").contains(contains))
+    return _placed_links(pages, html, url).where(F.col("href").contains(contains)).drop("pos")
+
+
+def _placed_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """``url, pos, text, href`` of every link in the order of the page."""
+    found = pages.select(F.col(url).alias("url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r'(?is)(<a\b[^>]*>.*?</a>)'), 1)).alias("pos", "a"))
+    return found.select("url", "pos", text_of(F.col("a")).alias("text"), F.regexp_extract("a", r'(?i)href\s*=\s*["\']([^"\']+)["\']', 1).alias("href"))
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -66,8 +71,8 @@ def works_under_heading(pages: DataFrame, heading: str = "公開中の作品", h
 
 def text_files(pages: DataFrame) -> DataFrame:
     """The first link to a text file of every page."""
-    found = links(pages, ".html").where(F.col("href").rlike(r"\d+_\d+\.html$"))
-    return found.groupBy("url").agg(F.first(F.struct("text", "href")).alias("l")).select("url", "l.text", absolute(F.col("l.href"), F.col("url")).alias("file_url"))
+    found = _placed_links(pages).where(F.col("href").rlike(r"\d+_\d+\.html$"))
+    return found.groupBy("url").agg(F.min(F.struct("pos", "text", "href")).alias("l")).select("url", "l.text", absolute(F.col("l.href"), F.col("url")).alias("file_url"))
 
 
 class _Main(HTMLParser):
@@ -197,7 +202,41 @@ def preview_author_json(spark: SparkSession, path: str, n: int = 5) -> DataFrame
     return spark.read.schema(AUTHOR_JSON).json(path, multiLine=True).select("total_count", "scraped_at", F.explode(F.slice("authors", 1, n)).alias("a")).select("total_count", "scraped_at", "a.*")
 
 
+def lookup_pages(authors: DataFrame, pages: DataFrame, name: str = "author_name") -> DataFrame:
+    """``author_id, title, url, extract, birth_year, death_year, keyword`` of the page that describes each author.
+
+    ``pages`` has ``keyword, title, url, summary, content, options`` (``options``: what a page that
+    only lists others offers). Keywords are tried in the order of their words; the first page counts
+    that tells of a writer born from 1850 to 1920, directly or through the best of its options.
+    """
+    words = F.array(*(F.lit(w) for w in V.LOOKUP_WORDS))
+    tried = authors.select("author_id", F.col(name).alias("_n"), F.posexplode(words).alias("rank", "word")).select("author_id", "rank", F.concat("_n", "word").alias("keyword"))
+    found = tried.join(pages, "keyword").withColumn("option", best_literary_option(F.col("options")))
+    own = pages.where("options IS NULL").groupBy("title").agg(F.min(F.struct("url", "summary", "content")).alias("p"))
+    direct = found.where("options IS NULL").select("author_id", "rank", "keyword", "title", "url", "summary", "content")
+    chosen = found.where("option IS NOT NULL").select("author_id", "rank", "keyword", F.col("option").alias("title")).join(own, "title").select("author_id", "rank", "keyword", "title", "p.url", "p.summary", "p.content")
+    told = direct.unionByName(chosen).withColumn("life", life_years(F.col("summary"), F.col("content")))
+    fit = told.where(F.col("life.birth_year").between(1850, 1920) & is_literary(F.col("summary")))
+    best = fit.groupBy("author_id").agg(F.min(F.struct("rank", "title", "url", "summary", "life", "keyword")).alias("b"))
+    return best.select("author_id", "b.title", "b.url", F.substring("b.summary", 1, 500).alias("extract"), "b.life.birth_year", "b.life.death_year", "b.keyword")
+
+
+def new_works(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """Listed works (``author_id, title, url``) whose normalized title the author does not have yet; titles or addresses that are empty are left out."""
+    titled = listed.where("trim(title) <> '' AND url <> ''").withColumn("title", normalize_title(strip(F.col("title"))))
+    return titled.join(known.select("author_id", "title").distinct(), ["author_id", "title"], "left_anti")
+
+
+def ingested(fetched: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works with a text that are not known yet, works to be tried again) of fetched pages ``author, title, text``."""
+    fresh = fetched.join(known.select("author", "title").distinct(), ["author", "title"], "left_anti")
+    lacks = F.coalesce(F.length("text") == 0, F.lit(True))
+    return fresh.where(~lacks), fresh.where(lacks).select("author", "title")
+
+
 def write_author_json(authors: DataFrame, path: str) -> None:
-    """Authors as JSON lines; the counts by section and status go beside them under ``_stats``."""
+    """Authors as JSON lines under ``authors``, and the export's time and statistics under ``metadata``."""
+    from fumiyori.operators.statistics import export_statistics
+
     authors.write.mode("overwrite").json(f"{path}/authors")
-    authors.groupBy("section", "copyright_status").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    export_statistics(authors).withColumn("export_date", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")

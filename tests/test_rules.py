@@ -181,7 +181,7 @@ def test_resolution_tiers_and_rejected(spark):
     aliases = spark.createDataFrame([(1, "江戸"), (3, "芝口"), (None, "空")], "master_id long, alias_name string")
     names = spark.createDataFrame([("東京府",), ("東京都",), ("江戸",), ("日本",), ("新橋駅",), ("芝口",), ("無",), ("",), (None,), ("日本橋北詰の",)], "name string")
     got = {r.name: (r.master_id, r.tier) for r in G.resolve_masters(names, masters, aliases).collect()}
-    assert got == {"東京府": (1, 1), "東京都": (1, 2), "江戸": (1, 3), "日本": (4, 4), "新橋駅": (None, None), "芝口": (None, None), "無": (None, None), "日本橋北詰の": (5, 4)}
+    assert got == {"東京府": (1, 1), "東京都": (1, 2), "江戸": (1, 3), "日本": (4, 4), "新橋駅": (None, None), "芝口": (None, None), "無": (None, None), "日本橋北詰の": (None, None)}
 
 
 def test_created_and_located_masters(spark):
