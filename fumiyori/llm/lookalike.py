@@ -26,15 +26,18 @@ from pyspark.sql import types as T
 # Letters of other scripts that print like a Latin letter.
 CYRILLIC = dict(zip("АВЕКМНОРСТХЅІЈУЗаеорсхуѕіјһԁԛԝӏѵ", "ABEKMHOPCTXSIJY3aeopcxysijhdqwlv", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρυϲϳ", "ABEZHIKMNOPTYXoavipucj", strict=True))
+ARMENIAN = dict(zip("ՕՍոօսհզց", "OUnouhqg", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+COPTIC = dict(zip("ⲞⲢⲤⲎⲔⲘⲚⲦⲬⲨⲟⲣⲥ", "OPCHKMNTXYopc", strict=True))
 # Katakana that print like a kanji.
 KANA_KANJI = dict(zip("ロニハカタトエー", "口二八力夕卜工一", strict=True))
 HYPHENS = dict.fromkeys(map(ord, "‐‑‒–−﹣－"), "-")
-PREFERENCE = ("Latin", "Cyrillic", "Greek")
+PREFERENCE = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic")
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
 
-_TO_LATIN = {"Cyrillic": CYRILLIC, "Greek": GREEK}
+_TO_LATIN = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Coptic": COPTIC}
 _FROM_LATIN = {script: {latin: own for own, latin in table.items()} for script, table in _TO_LATIN.items()}
 _KANJI_KANA = {kanji: kana for kana, kanji in KANA_KANJI.items()}
 
