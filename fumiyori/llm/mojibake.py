@@ -149,6 +149,27 @@ def cost(text: str) -> float:
     return total
 
 
+class _Bits(dict):
+    """Bits by character, filled as characters come up."""
+
+    def __missing__(self, char: str) -> float:
+        self[char] = bits = char_bits(char)[0]
+        return bits
+
+
+_bits = _Bits()
+
+
+def _surroundings(text: str, a: int, b: int) -> tuple[int, int]:
+    """The part of a text whose cost may change with ``text[a:b]``: the characters next to it, and half-width kana that run up to it."""
+    low, high = max(0, a - 3), min(len(text), b + 3)
+    while low > 0 and "ｦ" <= text[low - 1] <= "ﾟ":
+        low -= 1
+    while high < len(text) and "ｦ" <= text[high] <= "ﾟ":
+        high += 1
+    return low, high
+
+
 READ_AS = {"any": EIGHT_BIT + DOUBLE_BYTE, "8": EIGHT_BIT, "16": DOUBLE_BYTE}
 
 
@@ -337,14 +358,24 @@ def _search(text: str, with_stretches: bool = True) -> str:
         here, _, state = heapq.heappop(queue)
         if here > best_cost + SLACK:
             break
-        reached = _steps(state)
+        reached = ((0, len(state), part, right) for part, right in _steps(state))
         if with_stretches:
-            reached = chain(reached, ((state[:a] + part + state[b:], right) for a, b, kind in _stretches(state) for part, right in _steps(state[a:b], kind)))
-        for found, right in reached:
+            reached = chain(reached, ((a, b, part, right) for a, b, kind in _stretches(state) for part, right in _steps(state[a:b], kind)))
+        near: dict[tuple[int, int], tuple[int, int, float]] = {}
+        for a, b, part, right in reached:
+            if (a, b) not in near:
+                low, high = _surroundings(state, a, b)
+                near[a, b] = low, high, cost(state[low:high])
+            low, high, was = near[a, b]
+            new = state[low:a] + part + state[b:high]
+            # Changes of script only add to the bits of the characters.
+            if sum(map(_bits.__getitem__, new)) >= was:
+                continue
+            found = state[:low] + new + state[high:]
             if (key := hash(found)) in seen:
                 continue
             seen.add(key)
-            price = cost(found)
+            price = here + cost(new) - was
             if price < here and (right == "utf_8" or _is_believable(*_changed(state, found), right, found)):
                 order += 1
                 heapq.heappush(queue, (price, order, found))
