@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,15 +103,39 @@ class Store:
     def work_stats(self, work_id: int) -> DataFrame:
         return statistics.work_rollup(self.get("works", work_id), self.table("sentences").where(F.col("work_id") == work_id), self.table("sentence_places"))
 
-    def cached(self, df: DataFrame) -> DataFrame:
-        """A frame kept for repeated reads; ``unpersist`` it after a write."""
-        return df.persist()
+    def reset(self, *names: str) -> dict[str, DataFrame]:
+        """Empty tables of the same columns, to be written over the ones that start anew."""
+        return {name: self.table(name).where("false") for name in names}
 
     def snapshot(self, name: str, to: str) -> None:
         """A backup of a table in another folder."""
         self.table(name).write.mode("overwrite").parquet(f"{to}/{name}.parquet")
 
 
+class Cache:
+    """Frames kept for repeated reads, by key, for a number of seconds; writes invalidate keys by prefix."""
+
+    def __init__(self, seconds: float = 3600, now: Callable[[], float] = time.monotonic):
+        self.seconds, self.now = seconds, now
+        self._kept: dict[str, tuple[float, DataFrame]] = {}
+
+    def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The frame kept under ``key``, made anew if there is none or it is too old."""
+        made, df = self._kept.get(key, (0.0, None))
+        if df is None or self.now() - made >= self.seconds:
+            self.invalidate(key)
+            df = make().persist()
+            self._kept[key] = self.now(), df
+        return df
+
+    def invalidate(self, prefix: str = "") -> int:
+        """Drops the frames whose key begins so; how many there were."""
+        gone = [key for key in self._kept if key.startswith(prefix)]
+        for key in gone:
+            self._kept.pop(key)[1].unpersist()
+        return len(gone)
+
+
 def answered(requests: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests with a stored reply, requests still to be asked) by md5 of kind and text."""
     from fumiyori.functions.text import cache_key

@@ -109,6 +109,11 @@ def sentence_quality(c: Column) -> Column:
     return F.round(F.when(F.length(c) < 10, 0.8).otherwise(1.0) * F.when(F.length(c) > 1000, 0.9).otherwise(1.0) * F.when(c.rlike("(?U)" + _UNUSUAL), 0.7).otherwise(1.0), 4)
 
 
+def sentence_issues(c: Column) -> Column:
+    """What keeps a sentence from the full score; none for a valid one."""
+    return F.array_compact(F.array(F.when(F.length(c) < 10, "too_short"), F.when(F.length(c) > 1000, "too_long"), F.when(c.rlike("(?U)" + _UNUSUAL), "unusual_characters")))
+
+
 def place_quality(name: Column, confidence: Column) -> Column:
     shape = reduce(lambda a, b: a | b, (name.rlike(p) for _, p in V.PLACE_SHAPES))
     return F.round(F.when(F.length(name) < 2, 0.8).otherwise(1.0) * F.when(F.length(name) > 50, 0.9).otherwise(1.0) * F.when(confidence < 0.6, 0.7).otherwise(1.0) * F.when(shape, 1.0).otherwise(0.6), 4)

@@ -109,6 +109,11 @@ def normalize_author_name(c: Column) -> Column:
     return strip(F.translate(nfkc(c), "　", " "))
 
 
+def is_person_page(href: Column) -> Column:
+    """Whether an address is the page of a person, whatever place in the page it names."""
+    return F.substring_index(href, "#", 1).rlike(r"^person\d+\.html\z")
+
+
 def preprocess(c: Column) -> Column:
     """Runs of white space as one blank, stripped."""
     return F.trim(F.regexp_replace(c, rf"{WS}+", " "))

@@ -192,5 +192,12 @@ def search_index(masters: DataFrame, aliases: DataFrame) -> DataFrame:
     return words.groupBy("master_id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
 
 
+def updated_index(index: DataFrame, changed: DataFrame, masters: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``index`` with the entries of the ``changed`` masters (``master_id``) made anew; those of masters that are gone leave."""
+    ids = changed.select("master_id").distinct()
+    fresh = search_index(masters.join(ids, "master_id", "left_semi"), aliases.join(ids, "master_id", "left_semi"))
+    return index.join(ids, "master_id", "left_anti").unionByName(fresh)
+
+
 def search_places(index: DataFrame, term: str) -> DataFrame:
     return index.where(F.array_contains("tokens", term.lower())).select("master_id")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fumiyori.functions.scoring import coordinate
+from fumiyori.functions.scoring import coordinate, verdict
 
 
 #: Ids of sentences whose uses meet in one window partition.
@@ -160,6 +160,22 @@ def usage_actions(judged: DataFrame, key: str) -> DataFrame:
     return judged.groupBy(key).agg(n.alias("n_uses"), k.alias("n_place")).withColumn("action", F.when(F.col("n_uses") == 0, "削除推奨: 使用例なし").when(F.col("n_place") == 0, "削除推奨").when(F.col("n_place") / F.col("n_uses") < 0.5, "削除検討").otherwise("保持推奨"))
 
 
+def place_verdicts(judged: DataFrame, key: str) -> DataFrame:
+    """``key, n, is_valid, confidence, action, place_type`` of per-context analyses ``is_place, confidence, place_type``.
+
+    ``place_type`` is the one most analyses give, of equally frequent ones the last in the order of code points.
+    """
+    per_type = judged.groupBy(key, "place_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_place").alias("k"), F.sum("confidence").alias("c"))
+    votes = per_type.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("c").alias("c"), F.max_by("place_type", F.struct("n", "place_type")).alias("place_type"))
+    return votes.select(key, "n", verdict(F.col("n"), F.col("k"), F.col("c") / F.col("n")).alias("v"), "place_type").select(key, "n", "v.is_valid", "v.confidence", "v.action", "place_type")
+
+
+def import_report(changes: DataFrame) -> DataFrame:
+    """``processed, new, updated, same, success_rate`` of classified rows (``change``)."""
+    n, of = F.count(F.lit(1)), lambda kind: F.count_if(F.col("change") == kind)
+    return changes.agg(n.alias("processed"), *(of(kind).alias(kind) for kind in ("new", "updated", "same")), F.round((of("new") + of("updated")) * 100.0 / F.greatest(F.lit(1), n), 2).alias("success_rate"))
+
+
 def run_report(steps: DataFrame) -> DataFrame:
     """Steps (``ok`` boolean, ``n_new``, ``n_sentences``, ``seconds``) as one row of totals and rates."""
     n, good = F.count(F.lit(1)), F.count_if("ok")

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from fumiyori.functions import scoring as C
 from fumiyori.functions import text as X
 from fumiyori.functions import vocabulary as V
+from fumiyori.operators import merging as M
+from fumiyori.operators import relations as R
 from fumiyori.operators import resolving as G
 from fumiyori.operators import statistics as S
 from fumiyori.plans import relation_queries
-from fumiyori.plans.entity_queries import _KEY, _PAIRS, _context_b_sql, _texts, _values
+from fumiyori.plans.entity_queries import _KEY, _PAIRS, _context_b_sql, _index_pages, _texts, _values
 from fumiyori.plans.relation_queries import _LAT, _LON, query
+from fumiyori.plans.text_queries import _USUAL
 from fumiyori.sources import pages as P
 
 _BEFORE = set(relation_queries.Q)
@@ -180,6 +183,74 @@ def record_find(t):
     return t("authors").where(F.col("copyright_status").eqNullSafe(F.lit("active"))).select("author_id", "author_name", "copyright_status")
 
 
+# --- verdicts, reports, old names ------------------------------------------------------------
+
+
+@query(f"""
+    WITH c AS (SELECT name, place_type, count(*) AS n, count_if(is_place) AS k, sum(confidence) AS s FROM ({_context_b_sql(_PAIRS)}) GROUP BY 1, 2),
+    v AS (SELECT name, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, sum(s) AS s, arg_max(place_type, {{'n': n, 't': place_type}}) AS place_type FROM c GROUP BY 1)
+    SELECT name, n, k / n >= 0.5 AS is_valid, round(s / n * CASE WHEN k = 0 THEN 1.0 WHEN k / n < 0.3 THEN 0.8 WHEN k / n < 0.7 THEN 0.9 ELSE 1.0 END, 9) AS confidence,
+           CASE WHEN k = 0 THEN '削除推奨' WHEN k / n < 0.3 THEN '削除検討' WHEN k / n < 0.7 THEN '要再検討' ELSE '保持推奨' END AS action, place_type FROM v""")
+def context_verdicts(t):
+    """The verdict on every mention text over all its contexts, with the kind of place most of them give."""
+    none = F.lit(None).cast("string")
+    judged = _texts(t).select("name", C.context_b(F.col("name"), F.col("sentence_text"), none, none).alias("c")).select("name", "c.is_place", "c.confidence", "c.place_type")
+    return S.place_verdicts(judged, "name")
+
+
+@query(f"SELECT count(*) AS processed, count_if(change = 'new') AS new, count_if(change = 'updated') AS updated, count_if(change = 'same') AS same, round((count_if(change = 'new') + count_if(change = 'updated')) * 100.0::DOUBLE / greatest(1, count(*)), 2) AS success_rate FROM ({relation_queries.ORACLES['sync_classify']})")
+def import_report(t):
+    """Counts and success of an import of authors."""
+    a = t("authors").select("author_name", "birth_year", "copyright_status")
+    return S.import_report(M.classify_sync(a, relation_queries._changes(a), "author_name", ["birth_year", "copyright_status"]))
+
+
+@query("SELECT author_id, coalesce(CASE WHEN birth_year > 1900 THEN birth_year + 1 END, birth_year) AS birth_year, death_year FROM authors")
+def patched_authors(t):
+    """Authors with some years corrected by id."""
+    a = t("authors").select("author_id", "birth_year", "death_year")
+    return M.patch(a, a.select("author_id", F.when(F.col("birth_year") > 1900, F.col("birth_year") + 1).alias("birth_year")), "author_id")
+
+
+@query("SELECT author_id, author_name, aozora_works_count FROM authors WHERE author_name_kana IS NULL OR birth_year IS NULL OR death_year IS NULL ORDER BY aozora_works_count DESC NULLS LAST, author_name, author_id LIMIT 50")
+def missing_info_worklist(t):
+    """The authors with most works among those that lack a reading or a year (a top-k report)."""
+    missing = t("authors").where("author_name_kana IS NULL OR birth_year IS NULL OR death_year IS NULL")
+    return missing.orderBy(F.col("aozora_works_count").desc_nulls_last(), "author_name", "author_id").select("author_id", "author_name", "aozora_works_count").limit(50)
+
+
+@query("SELECT 'https://bunko.example/index/' || section || '.html' AS url, regexp_replace(translate(author_name, '<>&()', ''), '^[\\s　\\x{00a0}]+|[\\s　\\x{00a0}]+$', '', 'g') AS text, 'https://bunko.example/index/person' || author_id || '.html' AS person_url FROM authors WHERE section IS NOT NULL")
+def person_links(t):
+    """Links to the pages of persons on the index pages."""
+    return P.person_links(_index_pages(t))
+
+
+@query(f"SELECT sentence_id, array_to_string(list_filter([CASE WHEN length(x) < 10 THEN 'too_short' END, CASE WHEN length(x) > 1000 THEN 'too_long' END, CASE WHEN regexp_matches(x, '[^{_USUAL}]') THEN 'unusual_characters' END], lambda i: i IS NOT NULL), ',') AS issues FROM (SELECT sentence_id, sentence_text AS x FROM sentences)")
+def sentence_issues(t):
+    """What keeps each sentence from the full score."""
+    return t("sentences").select("sentence_id", F.concat_ws(",", C.sentence_issues(F.col("sentence_text"))).alias("issues"))
+
+
+@query("SELECT title, author_id, aozora_work_url FROM works")
+def work_rows(t):
+    """Works from rows with old names."""
+    return P.work_rows(t("works").select(F.col("title").alias("work_title"), "author_id", F.lit(None).cast("string").alias("aozora_url"), F.col("aozora_work_url").alias("work_url")))
+
+
+@query("SELECT sentence_id, master_id, matched_text, coalesce(start_position, -1) AS start_position FROM sentence_places")
+def mention_rows(t):
+    """Mentions from rows with old names."""
+    return P.mention_rows(t("sentence_places").select("sentence_id", F.col("master_id").alias("place_id"), "matched_text", "start_position", F.lit(-1).alias("position_in_sentence")))
+
+
+@query("SELECT relation_id, work_id, author_id FROM sentence_places LEFT JOIN (SELECT sentence_id, work_id FROM sentences) USING (sentence_id) LEFT JOIN (SELECT work_id, author_id FROM works) USING (work_id)")
+def relation_keys(t):
+    """Mentions whose work and author were known for the verified ones only, the others filled in."""
+    keys = t("sentence_places").select("relation_id", "sentence_id", "ai_verified").join(t("sentences").select("sentence_id", "work_id"), "sentence_id", "left").join(t("works").select("work_id", "author_id"), "work_id", "left")
+    base = keys.select("relation_id", *(F.when(F.col("ai_verified"), F.col(c)).alias(c) for c in ("work_id", "author_id")))
+    return R.refill(base, keys.select("relation_id", "work_id", "author_id"), "relation_id", ["work_id", "author_id"])
+
+
 QUERIES = {k: v for k, v in relation_queries.Q.items() if k not in _BEFORE}
 ORACLES = {k: v for k, v in relation_queries.ORACLES.items() if k in QUERIES}
 

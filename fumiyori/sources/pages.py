@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fumiyori.functions import vocabulary as V
-from fumiyori.functions.text import best_literary_option, clean_text, extract_year, is_literary, life_years, normalize_title, strip
+from fumiyori.functions.text import best_literary_option, clean_text, extract_year, is_literary, is_person_page, life_years, normalize_title, strip
 
 _TAG = r"<[^>]+>"
 
@@ -227,6 +227,30 @@ def new_works(listed: DataFrame, known: DataFrame) -> DataFrame:
     return titled.join(known.select("author_id", "title").distinct(), ["author_id", "title"], "left_anti")
 
 
+def first_of(df: DataFrame, *names: str) -> Column:
+    """The first value that is not null of the columns that ``df`` has among ``names``; null if it has none."""
+    there = [F.col(n) for n in names if n in df.columns]
+    return F.coalesce(*there) if there else F.lit(None)
+
+
+def work_rows(rows: DataFrame) -> DataFrame:
+    """Works under their table names, from whichever of the old names the rows have."""
+    return rows.select(first_of(rows, "work_title", "title").cast("string").alias("title"), first_of(rows, "author_id").cast("long").alias("author_id"), first_of(rows, "aozora_url", "aozora_work_url", "work_url").cast("string").alias("aozora_work_url"))
+
+
+def mention_rows(rows: DataFrame) -> DataFrame:
+    """Mentions under their table names, from whichever of the old names the rows have."""
+    return rows.select(
+        first_of(rows, "sentence_id").cast("long").alias("sentence_id"), first_of(rows, "master_id", "place_id").cast("long").alias("master_id"), first_of(rows, "matched_text").cast("string").alias("matched_text"), first_of(rows, "start_position", "position_in_sentence").cast("int").alias("start_position")
+    )
+
+
+def person_links(pages: DataFrame) -> DataFrame:
+    """``url, text, person_url`` of the links to pages of persons, absolute and without a place in the page."""
+    found = links(pages, "person").where(is_person_page(F.col("href")))
+    return found.select("url", "text", absolute(F.substring_index("href", "#", 1), F.col("url")).alias("person_url"))
+
+
 def ingested(fetched: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(works with a text that are not known yet, works to be tried again) of fetched pages ``author, title, text``."""
     fresh = fetched.join(known.select("author", "title").distinct(), ["author", "title"], "left_anti")

@@ -142,6 +142,49 @@ def test_tokens(spark):
     assert df.select(X.tokens(F.lit(" 吾輩 は　猫 "), separated=True)).first()[0] == ["吾輩", "は", "猫"]
 
 
+def test_verdicts_take_the_kind_most_contexts_give(spark):
+    df = spark.createDataFrame([("a", True, 0.8, "x"), ("a", True, 0.6, "x"), ("a", False, 0.4, "y"), ("b", False, 0.9, "y"), ("b", False, 0.7, "x"), ("c", True, 1.0, None)], "name string, is_place boolean, confidence double, place_type string")
+    assert rows(statistics.place_verdicts(df, "name")) == [("a", 3, True, 0.54, "要再検討", "x"), ("b", 2, False, 0.8, "削除推奨", "y"), ("c", 1, True, 1.0, "保持推奨", None)]
+
+
+def test_index_is_kept_up(spark):
+    masters = spark.createDataFrame([(1, "a b", "A", None), (2, "c", "C", None), (3, "d", "D", None)], "master_id long, normalized_name string, display_name string, canonical_name string")
+    aliases = spark.createDataFrame([(1, "old"), (2, "see"), (None, "x")], "master_id long, alias_name string")
+    index = resolving.search_index(masters, aliases)
+    now = masters.where("master_id <> 3").withColumn("display_name", F.when(F.col("master_id") == 1, "Z").otherwise(F.col("display_name")))
+    changed = spark.createDataFrame([(1,), (3,)], "master_id long")
+    assert rows(resolving.updated_index(index, changed, now, aliases)) == rows(resolving.search_index(now, aliases))
+
+
+def test_cache_expires_and_is_invalidated(spark):
+    from fumiyori.api import Cache
+
+    clock, made = [0.0], []
+    cache = Cache(10, lambda: clock[0])
+    make = lambda: made.append(1) or spark.range(3)
+    assert cache.get("authors:1", make).count() == 3 and cache.get("authors:1", make).count() == 3 and len(made) == 1
+    clock[0] = 10.0
+    assert cache.get("authors:1", make).count() == 3 and len(made) == 2
+    cache.get("works:1", make)
+    assert cache.invalidate("authors:") == 1 and cache.invalidate() == 1 and cache.invalidate() == 0
+
+
+def test_old_names_and_person_pages(spark):
+    one = spark.createDataFrame([("t", 1, None, "u")], "work_title string, author_id long, aozora_url string, work_url string")
+    assert rows(P.work_rows(one)) == [("t", 1, "u")] and rows(P.work_rows(one.select("author_id"))) == [(None, 1, None)]
+    hrefs = {"person12.html#a": True, "person12.html": True, "person.html": False, "x/person12.html": False, "person12.html\n": False}
+    df = spark.createDataFrame([(h,) for h in hrefs], "h string")
+    assert {r.h: r.p for r in df.select("h", X.is_person_page(F.col("h")).alias("p")).collect()} == hrefs
+
+
+def test_preview_of_an_export(spark, tmp_path):
+    import json
+
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"authors": [{"name": "某", "works_count": 3}, {"name": "誰"}], "total_count": 2, "scraped_at": "x"}))
+    assert [(r.total_count, r.scraped_at, r.name, r.works_count) for r in P.preview_author_json(spark, str(path), 1).collect()] == [(2, "x", "某", 3)]
+
+
 def test_maintenance_reports_steps(spark, tmp_path):
     for name, schema in (("works", "work_id long, title string, author_id long, publication_year int"), ("sentences", "sentence_id long, work_id long, sentence_order int, sentence_text string"), ("authors", "author_id long, author_name string, birth_year int, death_year int"), ("place_masters", "master_id long, display_name string, validation_status string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
