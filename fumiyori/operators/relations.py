@@ -120,12 +120,12 @@ def match_authors(names: DataFrame, authors: DataFrame, name: str = "name") -> D
     rest = wanted.join(found, "name", "left_anti").withColumn("surname", F.when(F.col("name").rlike("[ 　]"), F.regexp_extract("name", "^[^ 　]+", 0)).otherwise(F.substring("name", 1, 2)))
     # A surname meets the names that have its rarest pair of characters (or its only character), so no loop over all names is needed.
     spelled = authors.where("author_name <> ''").groupBy("author_name").agg(F.min("author_id").alias("author_id"))
-    met = containing(rest.where("surname <> ''").select("name", "surname"), "surname", spelled, "author_name")
-    return found.unionByName(met.groupBy("name").agg(F.min("author_id").alias("author_id")))
+    first = containing(rest.select("surname"), "surname", spelled, "author_name").groupBy("surname").agg(F.min("author_id").alias("author_id"))
+    return found.unionByName(rest.join(first, "surname").select("name", "author_id"))
 
 
 def containing(probes: DataFrame, part: str, rows: DataFrame, whole: str) -> DataFrame:
-    """Pairs of ``probes`` and ``rows`` where the string ``part`` lies within ``whole``.
+    """The distinct strings ``part`` of ``probes`` with all ``rows`` whose ``whole`` they lie within.
 
     Strings meet by equality on one pair of characters of ``part``, the one that the fewest
     wholes have; parts of one character meet on that character. Empty parts meet nothing.
@@ -135,11 +135,10 @@ def containing(probes: DataFrame, part: str, rows: DataFrame, whole: str) -> Dat
     letters = F.array_distinct(F.split(F.col(whole), ""))
     parts = probes.where(F.length(part) > 0).select(part).distinct()
     # Single characters are indexed only if some part is one.
-    singles = rows.select(F.explode(letters).alias("_gram"), whole).join(parts.where(F.length(part) == 1).select(F.col(part).alias("_gram")), "_gram", "left_semi")
-    index = rows.select(F.explode(grams(F.col(whole))).alias("_gram"), whole).unionByName(singles).distinct()
+    singles = rows.select(F.explode(letters).alias("_gram"), *rows.columns).join(parts.where(F.length(part) == 1).select(F.col(part).alias("_gram")), "_gram", "left_semi")
+    index = rows.select(F.explode(grams(F.col(whole))).alias("_gram"), *rows.columns).unionByName(singles)
     counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     keyed = parts.select(part, F.explode(F.when(F.length(part) >= 2, grams(F.col(part))).otherwise(F.array(F.col(part)))).alias("_gram"))
     # A gram that no whole has rules its part out.
     rarest = keyed.join(counts, "_gram", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("g")).where("g.n > 0").select(part, F.col("g.gram").alias("_gram"))
-    met = rarest.join(index, "_gram").where(F.col(whole).contains(F.col(part))).select(part, whole)
-    return probes.join(met, part).join(rows, whole)
+    return rarest.join(index, "_gram").where(F.col(whole).contains(F.col(part))).select(part, *rows.columns)

@@ -12,6 +12,7 @@ from fumiyori.functions.scoring import coordinate, is_invalid_candidate
 from fumiyori.functions.text import normalize_place_name, prefecture_of, strip
 from fumiyori.operators.relations import containing
 from fumiyori.operators.sizing import broadcast_if_small
+from fumiyori.session import cut_lineage
 
 #: Characters of the shortest name that is looked up in sentences.
 GRAM = 2
@@ -92,20 +93,22 @@ def resolve_masters(names: DataFrame, masters: DataFrame, aliases: DataFrame, na
     and for the name in display names, and takes the shortest normalized name, then the lowest
     id; an empty key is in none.
     """
-    wanted = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct().withColumn("key", normalize_place_name(F.col("name")))
+    # Every tier reads the distinct names: they are written once.
+    wanted = cut_lineage(names.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct().withColumn("key", normalize_place_name(F.col("name"))))
     live = masters.where("validation_status IS NULL OR validation_status <> 'rejected'").select("master_id", "normalized_name", "display_name")
     tier = lambda df, n: df.select("name", "master_id", F.lit(n).alias("tier"))
     hits = tier(wanted.join(live, wanted.key == live.normalized_name), 1).unionByName(tier(wanted.join(live, wanted.name == live.display_name), 2)).unionByName(
         tier(wanted.join(aliases.where("master_id IS NOT NULL").select("master_id", "alias_name").join(live.select("master_id"), "master_id"), F.col("name") == F.col("alias_name")), 3)
     )
     exact = hits.groupBy("name").agg(F.min(F.struct("tier", "master_id")).alias("m")).select("name", "m.master_id", "m.tier")
-    open_ = wanted.join(exact, "name", "left_anti").where("key <> ''")
+    open_ = cut_lineage(wanted.join(exact, "name", "left_anti").where("key <> ''"))
     # Per spelling the first master in the order of the tier: nothing else of a repeated spelling can win.
     first = lambda c: live.where(F.col(c) != "").groupBy(c).agg(F.min(F.struct(F.length("normalized_name").alias("n"), "master_id", "normalized_name")).alias("m")).select(F.col(c).alias("spelling"), "m.master_id", "m.normalized_name")
-    partly = containing(open_.select("name", "key"), "key", first("normalized_name"), "spelling").select("name", "master_id", "normalized_name").unionByName(
-        containing(open_.select("name"), "name", first("display_name"), "spelling").select("name", "master_id", "normalized_name")
-    )
-    best = partly.groupBy("name").agg(F.min(F.struct(F.length("normalized_name").alias("n"), "master_id")).alias("m")).select("name", "m.master_id", F.lit(4).alias("tier"))
+    rank = F.min(F.struct(F.length("normalized_name").alias("n"), "master_id")).alias("m")
+    by_key = containing(open_, "key", first("normalized_name"), "spelling").groupBy("key").agg(rank)
+    by_name = containing(open_, "name", first("display_name"), "spelling").groupBy("name").agg(rank)
+    both = open_.join(by_key, "key").select("name", "m").unionByName(by_name.select("name", "m"))
+    best = both.groupBy("name").agg(F.min("m").alias("m")).select("name", "m.master_id", F.lit(4).alias("tier"))
     return wanted.select("name").join(exact.unionByName(best), "name", "left")
 
 
