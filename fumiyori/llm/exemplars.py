@@ -33,6 +33,7 @@ hier steht (später|noch|) (der|ein) (richtige|eigentliche|) text
 your (text|content|title|description) (goes|comes|will go|will appear) here
 ~(text|content|copy|translation|summary|description|article) (to follow|to come|goes here|to be added|to be written|to be announced|to be supplied)
 ~to be (announced|added|supplied)
+~(tbd|tba|tbc|text text|text text text|n a)
 ~todo (write|add|fill in|finish|insert|complete) (this |the |)(section|text|chapter|paragraph|part|page|content|story)
 ~todo
 ~texte (provisoire|temporaire|factice|de remplissage|provisoire à remplacer)
@@ -46,6 +47,7 @@ your (text|content|title|description) (goes|comes|will go|will appear) here
 (本文|テキスト|文章|文字|説明文|タイトル|見出し|文言|写真|画像)(が入ります|を入力してください|を入れてください)
 ~(テキスト|サンプル|ダミー|テスト|説明文|本文|文章)(テキスト|サンプル|ダミー|テスト|説明文|本文|文章)
 ~(サンプル|ダミー|テスト|仮)(テキスト|文章|原稿|の文章)
+~(本文|内容|説明|見出し|題名)(未入力|未設定|未記入)
 ~(文章|テキスト|文)は(ダミー|サンプル|仮のもの)です
 文字の大きさ、量、字間、行間等を確認するために入れています
 ~(asdf|asdf asdf|asdf jkl|qwerty|foo bar|foo bar baz|test test|test test test|aaa bbb ccc|xxx xxx|xxxx xxxx|xxxxx xxxxx|blah blah blah)
@@ -56,6 +58,7 @@ your (text|content|title|description) (goes|comes|will go|will appear) here
 (本文|作品|ページ|サイト|内容|続き|頁)は(現在|ただいま|)(準備中|工事中|作成中|執筆中|制作中|編集中)です
 ~(後日|近日|近日中に|追って|まもなく|間もなく)(公開|掲載|追加|更新|配信)(予定|します|いたします)
 ~(乞うご期待|今しばらくお待ちください|公開までしばらくお待ちください)
+~(まだ|未だ)(公開|掲載)(されていません|しておりません)
 ~(coming soon|coming shortly|check back soon|check back later|stay tuned)
 (page|site|section|article|entry|chapter|website) is (currently |still |)(under construction|being (prepared|written|updated)|in preparation)
 ~(under construction|work in progress)
@@ -81,6 +84,12 @@ your (text|content|title|description) (goes|comes|will go|will appear) here
 (requested url|url you requested|page you requested|page you are looking for|file you requested) (was not found|could not be found|does not exist|has been (moved|removed|deleted)|is not available|may have been (moved|removed|deleted))
 ~(could not|couldn t|can t|cannot|unable to) find (the|that|this) (page|file|document|article)
 ~(something went wrong|error has occurred|unexpected error|internal error|unknown error|fatal error|script error|server error)
+~(looks like|it looks like) something (broke|went wrong)( on our (end|side)|)
+~(request|page|form|submission) (could not|cannot|can not) be (processed|completed|loaded|displayed)
+~(can t|couldn t|could not|cannot) (seem to |)find what you (were|are) looking for
+~(link|url|address) (you followed |you clicked |)(may|might) (be|have been) (broken|expired|removed|moved|incorrect)
+~(page|article|content|file) (may|might) have been (removed|moved|deleted|renamed)
+~http (#400|#401|#403|#404|#500|#502|#503)
 (an|unknown|unexpected|internal|fatal|server|database|script|system|application) error (occurred|has occurred|while processing)
 (server|site|service) is (temporarily|currently) (unavailable|unable|not responding|overloaded|down)
 unable to (service|handle|process|complete) your request
@@ -100,6 +109,7 @@ file (render|main|app|index) py line 0 in (module|body|main)
 ~(seite|datei|url|adresse) (wurde nicht gefunden|nicht gefunden|existiert nicht|ist nicht verfügbar|konnte nicht gefunden werden)
 (angeforderte|gewünschte|gesuchte) (seite|datei|url|adresse) (wurde|konnte) nicht gefunden
 ~(fehler ist aufgetreten|serverfehler|interner serverfehler|server nicht erreichbar|dienst nicht verfügbar)
+~(anfrage|seite) (konnte|kann) nicht (bearbeitet|verarbeitet|geladen|angezeigt) werden
 ~(page|fichier|adresse|ressource) (est introuvable|introuvable|n existe pas|n existe plus|n a pas été trouvée|non trouvée)
 (page|adresse|ressource) (demandée|recherchée) (est introuvable|introuvable|n existe pas|n existe plus|n a pas été trouvée)
 ~(erreur s est produite|erreur est survenue|erreur inattendue|erreur interne)
@@ -113,14 +123,19 @@ file (render|main|app|index) py line 0 in (module|body|main)
 ~(サーバー|サーバ|データベース|システム|内部|通信|接続|予期しない|予期せぬ|不明な|)エラーが発生(しました|しています|いたしました)
 (サーバー|サーバ|データベース|システム|予期しない)エラーが発生しました
 ~(サーバー|サーバ|データベース)(に|へ)接続できません
+~(接続|セッション|通信|リクエスト)がタイムアウト(しました|になりました)
+~(サーバー|サーバ)(には|に)(ありません|存在しません|見つかりません)
 ~(页面|网页|文件|您访问的页面|您要找的页面|您请求的页面)(不存在|未找到|找不到|没有找到|无法找到|已被删除|已被移除|无法显示)
 (页面|网页|文件)不存在或(已被|已)(删除|移除|移动)
 ~(找不到|无法找到|未找到|没有找到)(该|此|您要的|您请求的|)(页面|网页|文件|服务器)
 ~(服务器|系统|内部|数据库|网络|数据库连接|服务器内部)(错误|发生错误|出错|连接失败|无法连接|繁忙)
 ~(发生|出现)(错误|未知错误|了错误|了一个错误)
+~(网页|页面|网站|服务器)(无法访问|无法打开|暂时无法访问)
+~(内容|页面|文章|商品)(已下架|已删除|已被删除|已失效)
 ~(페이지를|파일을|문서를|주소를) (찾을 수 없습니다|찾지 못했습니다)
 (요청하신|찾으시는) (페이지를|파일을|문서를) (찾을 수 없습니다|찾지 못했습니다)
 ~페이지가 (존재하지 않습니다|삭제되었습니다|없습니다)
+~(존재하지 않는|삭제된|찾을 수 없는) 페이지입니다
 ~(오류가|에러가) (발생했습니다|발생하였습니다)
 ~(서버에|데이터베이스에) (연결할 수 없습니다|접속할 수 없습니다)
 """,
@@ -133,6 +148,7 @@ file (render|main|app|index) py line 0 in (module|body|main)
 ~(ログイン|サインイン|会員登録)(して|を行って)ください
 (閲覧|ご覧|表示|利用|続きを読む|続きを見る)(する|)に(は|)(ログイン|会員登録|サインイン|認証)が必要
 ~(ログイン|会員登録|サインイン|認証)が必要です
+~(会員|会員の方|ログインした方|登録者)のみ(ご覧いただけます|閲覧できます|ご利用いただけます|閲覧可能です)
 ~(会員|登録会員)(限定|専用)(の|)(ページ|記事|コンテンツ)です
 ~(アクセス|閲覧|表示)(が拒否されました|が禁止されています|は許可されていません|が制限されています|する権限がありません|権限がありません)
 ~(認証|ログイン|本人確認)に失敗しました
@@ -159,16 +175,24 @@ not (authorized|permitted) to (view|access|read|open|see) this (page|document|re
 ~(under|scheduled|undergoing|planned|system|site) maintenance
 ~(try again later|check back later|come back later|try again in a few minutes)
 ~(subscribe|register|upgrade) to (continue reading|read the full (article|story|text))
+~(content|page|article|story|section) is (for|available to|only for|reserved for) (members|subscribers|registered users)( only|)
+~(members|subscribers) only
+~(reached|used up|exceeded) (your|the) (limit|number) of free (articles|stories|pages)
+~(scheduled|planned|unplanned|server) (downtime|outage)
+~(wait|hold on) while we (verify|check) your (browser|connection)
 (seite|system|server|website) (wird|ist) (gerade|derzeit|momentan|zurzeit|) (gewartet|in wartung|wegen wartungsarbeiten)
 ~(wartungsarbeiten|wartungsmodus)
 ~(melden sie sich an|loggen sie sich ein|bitte anmelden|bitte einloggen|anmeldung erforderlich|anmeldung fehlgeschlagen)
 ~(zugriff|zugang) (verweigert|nicht gestattet|nicht erlaubt)
 ~keine (berechtigung|zugriffsrechte)
 ~sitzung ist abgelaufen
+~(nur für|nur) (mitglieder|abonnenten|angemeldete nutzer|registrierte nutzer)( sichtbar| zugänglich| lesbar|)
 ~accès (refusé|interdit|non autorisé)
 ~(veuillez|merci de) vous (connecter|identifier|authentifier)
 ~(connexion|authentification|identification) (requise|nécessaire)
 ~session a expiré
+~(devez|doit) être (connecté|abonné|inscrit|identifié)
+~réservé aux (membres|abonnés)
 ~(site|service|page|serveur) (est |)(actuellement |)en (cours de |)maintenance
 ~(请先|请|您需要先|需要)(登录|登入|注册)
 ~(登录后|注册后)(查看|才能查看|可见|继续阅读|即可阅读)
@@ -181,6 +205,7 @@ not (authorized|permitted) to (view|access|read|open|see) this (page|document|re
 ~다시 로그인해 주세요
 ~(접근이|접속이|액세스가) (거부되었습니다|제한되었습니다|차단되었습니다)
 ~(접근 권한이|열람 권한이) 없습니다
+~(회원만|로그인한 사용자만|가입자만) (볼|이용할|열람할) 수 있습니다
 ~(세션이|로그인이) 만료되었습니다
 ~(현재|시스템|서버|사이트) (점검 중입니다|점검중입니다|유지보수 중입니다)
 ~(잠시 후|나중에) 다시 시도해 (주세요|주십시오)
@@ -200,6 +225,7 @@ check that scripts are (allowed|enabled)
 ~(JavaScript|スクリプト|ジャバスクリプト|クッキー|Cookie)(を有効|が無効|が有効|をオンに|が必要|の有効化)
 ブラウザ(では|は|の)(スクリプト|JavaScript)(が無効|に対応していません|を有効)
 ~設定を変更してください
+~(JavaScript|スクリプト)に対応したブラウザ
 ~(aktivieren|erlauben) sie (javascript|skripte|cookies)
 aktivieren sie javascript um diese seite
 ~(javascript|skripte) (ist|sind|wird|muss) (deaktiviert|erforderlich|benötigt|aktiviert sein|nicht aktiviert)

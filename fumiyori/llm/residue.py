@@ -50,6 +50,7 @@ BLIND_TERMS = 4
 
 _SLOT = re.compile(r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|%%\s*[\w.]+\s*%%|@@\s*[\w.]+\s*@@|<%[^%<>\n]+%>|\{%[^%{}\n]+%\}")
 _WEAK_SLOT = re.compile(r"\[\[([^\[\]\n]+)\]\]|<<([^<>\n]+)>>|__([A-Za-z][A-Za-z0-9_.]*?)__|\[(?![＃#])([^\[\]\n]+)\]|<([A-Z]{2,}(?:_[A-Z]+)*|[a-z]+[_ ][a-z_ ]+)>|%([A-Z]{2,}(?:_[A-Z]+)*)%|｛([^｛｝\n]+)｝|\{([A-Za-z_][\w. ]*)\}")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ASKING = re.compile(r"【([^【】\n]*)】")
 _BREAK = re.compile(r"[\r\n\u0085  \x0b\x0c]+")
 _END = re.compile(r"(?<=[。!?])|(?<=[.])(?=\s)")
@@ -64,7 +65,7 @@ def folded(text: str) -> str:
     text = text.replace("§", " ").replace("¤", " ").replace("¢", " ")
     if "{" in text or "%" in text or "@@" in text or "<" in text or "[" in text or "__" in text or "｛" in text or "【" in text:
         text = _SLOT.sub(" § ", text)
-        text = _WEAK_SLOT.sub(lambda m: " ¤ " + m.group(m.lastindex).replace("_", " ") + " ", text)
+        text = _WEAK_SLOT.sub(lambda m: " ¤ " + _HUMP.sub(" ", m.group(m.lastindex).replace("_", " ")) + " ", text)
         text = _ASKING.sub(r" ¢ \1 ", text)
     return unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).casefold()
 
