@@ -443,7 +443,7 @@ def test_residue_inside_other_sentences(spark):
     assert {r.doc_id for r in residue.residue_windows(df).select("doc_id").distinct().collect()} == set(range(len(INSIDE)))
 
 
-# Wordings that are no exemplar as they stand, and ordinary sentences with the same words.
+# Wordings of residue (19 of the 52 are exemplars as they stand), and ordinary sentences with the same words.
 OTHER_WORDING = """
 Page not found
 Enable JavaScript to continue.
