@@ -320,6 +320,35 @@ def test_long_chains_are_one_group(spark):
     assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys((2000, 2001), 2000) | dict.fromkeys((3000, 3001, 3002), 3000)
 
 
+@pytest.mark.parametrize("share", [1, 7, 1_000_000])
+def test_groups_are_the_same_however_many_links_a_task_takes(spark, monkeypatch, share):
+    monkeypatch.setattr(names, "LINKS_A_TASK", share)
+    random.seed(5)
+    ids = random.sample(range(1000), 40)
+    links = [*zip(ids, ids[1:]), *((random.randrange(2000, 2020), random.randrange(2000, 2020)) for _ in range(12)), (5, 5)]
+    group = {i: i for link in links for i in link}
+    while (lower := {i: min([g, *(group[b] for a, b in links if a == i), *(group[a] for a, b in links if b == i)]) for i, g in group.items()}) != group:
+        group = lower
+    found = [tuple(r) for r in names._components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(found) == sorted(group.items())
+    assert names._components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_plans_of_names_stay_small(spark, monkeypatch):
+    joins = []
+    cut = names.cut_lineage
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(names, "cut_lineage", counted)
+    got = same(spark, [("Edward Petreguck", None, 1899, None, None), ("Edwrad Petreguck", None, 1899, None, None), ("E. Petreguck", None, None, None, None), ("緑琴 梅露", None, 1895, 1920, None), ("梅露　緑琴", None, None, None, None)])
+    assert got == {(1, 2), (1, 3), (2, 3), (4, 5)}
+    # The driver plans and keeps every join, on however few rows: a doubled plan shows here, not in the result.
+    assert max(joins) <= 2 and sum(joins) <= 6
+
+
 @pytest.mark.parametrize("name, core", [("渚松国文学究所", "渚松"), ("渚松梅川国文学研究処", "渚松梅川"), ("浜文芸協会", "浜"), ("渚松梅国文学研究所", "渚松梅")])
 def test_organisations_of_any_length(name, core):
     found = names.parse(name, "", "")
